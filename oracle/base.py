@@ -80,7 +80,7 @@ fact AS MATERIALIZED (
 
 def query(ctes, select: str, doubles=(), dates=(), flags=()) -> str:
     """The select over the CTEs; numbers rounded to six places, dates as text, flags as 0/1."""
-    replaced = [f"round(round({c}, 10), 6) + 0.0 AS {c}" for c in doubles]
+    replaced = [f"floor(round({c}, 10) * 1e6 + 0.5) / 1e6 AS {c}" for c in doubles]
     replaced += [f"CAST({c} AS VARCHAR) AS {c}" for c in dates]
     replaced += [f"CAST({c} AS INTEGER) AS {c}" for c in flags]
     replace = f" REPLACE ({', '.join(replaced)})" if replaced else ""

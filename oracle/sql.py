@@ -313,7 +313,7 @@ def statements() -> dict[str, str]:
       FROM information_schema.columns c LEFT JOIN refers r ON r.table_name = c.table_name AND r.column_name = c.column_name
         LEFT JOIN about a ON a.table_name = c.table_name
       WHERE c.table_name IN ({", ".join(lit(t) for t in GIVEN_TABLES)})"""
-    out["adhoc_sql"] = """SELECT c_custkey, c_name, count(*) AS n_lines, round(round(sum(l_extendedprice), 10), 6) + 0.0 AS revenue
+    out["adhoc_sql"] = """SELECT c_custkey, c_name, count(*) AS n_lines, floor(round(sum(l_extendedprice), 10) * 1e6 + 0.5) / 1e6 AS revenue
       FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
       GROUP BY c_custkey, c_name ORDER BY sum(l_extendedprice) DESC, c_custkey LIMIT 10"""
     out["sql_log_audit"] = query([LOG], f"SELECT event_id, query_text, {reason()} = 'Valid SQL query' AS valid, {reason()} AS reason FROM log", flags=["valid"])

@@ -1,5 +1,6 @@
 """Text columns: extraction, cleaning, tokens. Null text counts as empty text throughout."""
 
+import json
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
@@ -9,11 +10,14 @@ from resona.functions import patterns as P
 from resona.functions import words as W
 
 
-def literal_map(table: Mapping[str, str]) -> Column:
-    """A constant map column; meant for small fixed tables only."""
-    if len(table) > 5000:
-        raise ValueError("table too large for a constant; join it as a DataFrame instead")
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+MAX_TABLE = 5000
+
+
+def literal_map(table: Mapping, value_type: str = "string") -> Column:
+    """A constant map column, folded once when the query is planned; for small fixed tables only."""
+    if len(table) > MAX_TABLE:
+        raise ValueError(f"a table of more than {MAX_TABLE} entries should be joined, not inlined")
+    return F.from_json(F.lit(json.dumps(table)), f"map<string,{value_type}>")
 
 
 def text_or_empty(text: Column) -> Column:

@@ -83,14 +83,25 @@ def valid_row() -> Column:
 # ---- k-means -----------------------------------------------------------------------------------
 
 
+def distinct_texts(valid: DataFrame, model: tfidf.TfidfModel) -> DataFrame:
+    """Each distinct cleaned text once, with its vector and its number of rows as `weight`.
+
+    Equal comments have equal vectors, so k-means over these weighted rows has the same cost function
+    as over all rows; its many passes then skip the copies, however often a text was posted.
+    """
+    texts = valid.groupBy("textcleaned").agg(F.count("*").cast("double").alias("weight"))
+    return add_vectors(texts.withColumn("tokens", F.split("textcleaned", " ")), model)
+
+
 def kmeans(
-    df: DataFrame, k: int, features: str = "features", seed: int = SEED, restarts: int = RESTARTS,
-    parallel: int = 4,
+    df: DataFrame, k: int, features: str = "features", weight: str | None = None, seed: int = SEED,
+    restarts: int = RESTARTS, parallel: int = 4,
 ) -> KMeansModel:
     """The best of several k-means runs by training cost; equal costs go to the first run."""
 
     def run(i: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol="cluster").fit(df)
+        estimator = KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol="cluster")
+        return (estimator.setWeightCol(weight) if weight else estimator).fit(df)
 
     with ThreadPoolExecutor(parallel) as pool:
         models = list(pool.map(run, range(restarts)))
@@ -134,28 +145,32 @@ def kmeans_assign(df: DataFrame, centres: DataFrame, features: str = "features")
     )
 
 
-def silhouette(df: DataFrame, cluster: str = "cluster", features: str = "features") -> float:
+def silhouette(
+    df: DataFrame, cluster: str = "cluster", features: str = "features", weight: str | None = None
+) -> float:
     """Mean silhouette with squared Euclidean distances over all rows. That distance needs only sums
     per cluster, not pairs of rows, so nothing is sampled."""
-    return ClusteringEvaluator(predictionCol=cluster, featuresCol=features).evaluate(df)
+    evaluator = ClusteringEvaluator(predictionCol=cluster, featuresCol=features)
+    return (evaluator.setWeightCol(weight) if weight else evaluator).evaluate(df)
 
 
 def choose_k(
-    df: DataFrame, max_k: int = MAX_K, features: str = "features", seed: int = SEED,
-    restarts: int = RESTARTS,
+    df: DataFrame, max_k: int = MAX_K, features: str = "features", weight: str | None = None,
+    n_rows: int | None = None, seed: int = SEED, restarts: int = RESTARTS,
 ) -> tuple[list[tuple[int, float, bool]], KMeansModel | None]:
     """Silhouette of k = 2 up to `max_k` (k, score, chosen) and the best model.
 
-    A k with fewer rows, or fewer than two clusters found, scores -1; the first best k is chosen.
+    `n_rows` counts all rows, also those that are not clustered; half of it bounds k. A k with fewer
+    rows, or fewer than two clusters found, scores -1; the first best k is chosen.
     """
-    n = df.count()
+    n = df.agg(F.sum(weight) if weight else F.count("*")).first()[0] or 0
     tried = []
-    for k in range(2, min(max_k, max(2, n // 2)) + 1):
+    for k in range(2, min(max_k, max(2, int(n if n_rows is None else n_rows) // 2)) + 1):
         model, score = None, -1.0
         if n >= k:
-            model = kmeans(df, k, features, seed, restarts)
+            model = kmeans(df, k, features, weight, seed, restarts)
             if sum(size > 0 for size in model.summary.clusterSizes) > 1:
-                score = silhouette(model.transform(df), features=features)
+                score = silhouette(model.transform(df), features=features, weight=weight)
         tried.append((k, score, model))
     best = max(tried, key=lambda t: t[1])
     return [(k, score, k == best[0]) for k, score, _ in tried], best[2]
@@ -298,17 +313,18 @@ def product_clusters(
 ) -> DataFrame:
     """Add `cluster_label`, one of the category names or `others`; rows are kept 1:1.
 
-    Only the vectors of valid rows are stored for the repeated k-means passes. The result is then
+    Only the distinct valid texts are stored for the repeated k-means passes. The result is then
     computed row by row from the fitted models, without a join back.
     """
     vectors, model = vectorise(df, text)
     others = df.withColumn("cluster_label", F.lit(OTHERS))
     if model is None:
         return others
-    valid = cut_lineage(vectors.where(valid_row()).select(row_id, "textcleaned", "features"))
-    _, best = choose_k(valid, max_k, restarts=restarts)
+    texts = cut_lineage(distinct_texts(vectors.where(valid_row()), model))
+    _, best = choose_k(texts, max_k, weight="weight", n_rows=df.count(), restarts=restarts)
     if best is None:
         return others
+    valid = vectors.where(valid_row()).select(row_id, "textcleaned", "features")
     representatives = cluster_representatives(best.transform(valid), row_id)
     labels = label_clusters(representatives).collect()  # at most max_k rows
     category = F.element_at(

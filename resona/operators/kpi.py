@@ -53,17 +53,19 @@ def engagement_vs_prs(comments: DataFrame, videos: DataFrame) -> DataFrame:
     return pairs.select("engagement_rate", "product_resonance_score")
 
 
-def avg_by_duration(comments: DataFrame, videos: DataFrame) -> DataFrame:
-    """Means per video length over joined rows, so a video weighs as much as it has comments.
-
-    Comments are summed per video before the join: what is joined is one row per video, whatever
-    the number of its comments.
-    """
+def per_video(comments: DataFrame) -> DataFrame:
+    """(videoid, cluster_label, n, prs, n_prs): comments and score sums. One row per video and
+    category is what the charts join with the videos, however many comments a video has."""
     prs = F.col("product_resonance_score")
-    per_video = comments.where(F.col("videoid").isNotNull()).groupBy("videoid").agg(
+    return comments.where(F.col("videoid").isNotNull()).groupBy("videoid", "cluster_label").agg(
         F.count("*").alias("n"), F.sum(prs).alias("prs"), F.count(prs).alias("n_prs")
     )
-    joined = videos.join(per_video, "videoid").where(F.col("contentduration_seconds").isNotNull())
+
+
+def avg_by_duration(sums: DataFrame, videos: DataFrame) -> DataFrame:
+    """Means per video length over comments, so a video weighs as much as it has comments.
+    `sums` comes from `per_video`."""
+    joined = sums.join(videos, "videoid").where(F.col("contentduration_seconds").isNotNull())
     rate = F.col("engagement_rate")
     return (
         joined.groupBy("contentduration_seconds").agg(
@@ -74,9 +76,10 @@ def avg_by_duration(comments: DataFrame, videos: DataFrame) -> DataFrame:
     )
 
 
-def top_liked_category(comments: DataFrame, videos: DataFrame, n: int = 10) -> DataFrame:
+def top_liked_category(sums: DataFrame, videos: DataFrame, n: int = 10) -> DataFrame:
     """Likes by category for the n channels with most video likes; a video's likes count once per
-    comment. Only channels with a comment in one of the categories appear, best first."""
+    comment. Only channels with a comment in one of the categories appear, best first. `sums` comes
+    from `per_video`."""
     top = (
         videos.where(F.col("channelid").isNotNull())
         .groupBy("channelid").agg(F.sum("likecount_video").alias("likes"))
@@ -85,12 +88,9 @@ def top_liked_category(comments: DataFrame, videos: DataFrame, n: int = 10) -> D
     their_videos = videos.join(F.broadcast(top), "channelid", "left_semi").select(
         "videoid", "channelid", "likecount_video"
     )
-    per_video = comments.where(F.col("cluster_label").isin(CHART_CATEGORIES)).groupBy(
-        "videoid", "cluster_label"
-    ).agg(F.count("*").alias("n"))
     pivoted = (
-        their_videos.join(per_video, "videoid").groupBy("channelid")
-        .pivot("cluster_label", CHART_CATEGORIES)
+        their_videos.join(sums.where(F.col("cluster_label").isin(CHART_CATEGORIES)), "videoid")
+        .groupBy("channelid").pivot("cluster_label", CHART_CATEGORIES)
         .agg(F.sum(F.col("likecount_video") * F.col("n")))
         .na.fill(0)
     )
@@ -156,13 +156,17 @@ def category_sentiment(comments: DataFrame) -> DataFrame:
     )
 
 
-def category_trend(comments: DataFrame, dates: DataFrame) -> DataFrame:
-    """Comments per category and day. Counted per date id before the join with the date table."""
-    per_day = comments.where(F.col("cluster_label").isNotNull() & F.col("dateid").isNotNull()).groupBy(
-        "cluster_label", "dateid"
-    ).agg(F.count("*").alias("n"))
+def sum_trend(per_day: DataFrame, dates: DataFrame) -> DataFrame:
+    """Comments per category and day from counts `n` per category and date id."""
+    known = per_day.where(F.col("cluster_label").isNotNull() & F.col("dateid").isNotNull())
     return (
-        per_day.join(dates.select("dateid", "date"), "dateid")
+        known.join(dates.select("dateid", "date"), "dateid")
         .groupBy("cluster_label", "date").agg(F.sum("n").alias("total_comments"))
         .orderBy("cluster_label", "date")
     )
+
+
+def category_trend(comments: DataFrame, dates: DataFrame) -> DataFrame:
+    """Comments per category and day. Counted per date id before the join with the date table."""
+    per_day = comments.groupBy("cluster_label", "dateid").agg(F.count("*").alias("n"))
+    return sum_trend(per_day, dates)

@@ -4,10 +4,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resona.operators import kpi
+from resona.session import cut_lineage
 
 
 @dataclass
@@ -31,9 +32,9 @@ METRICS: dict[str, Callable[[Star], DataFrame]] = {
     "Chart: Engagement Rate VS Product Resonance Score":
         lambda s: kpi.engagement_vs_prs(s.comments, s.videos),
     "Chart: Average SoE Metric by Content Duration":
-        lambda s: kpi.avg_by_duration(s.comments, s.videos),
+        lambda s: kpi.avg_by_duration(kpi.per_video(s.comments), s.videos),
     "Chart: Top Liked Product Category Content":
-        lambda s: kpi.top_liked_category(s.comments, s.videos),
+        lambda s: kpi.top_liked_category(kpi.per_video(s.comments), s.videos),
     "Chart: Video Topic Category Distribution": lambda s: kpi.topic_distribution(s.topics),
     "KPI: Total Comments Analyzed": lambda s: kpi.kpi_total_comments(s.comments),
     "KPI: Comment Spam Ratio": lambda s: kpi.kpi_spam_ratio(s.comments),
@@ -69,8 +70,57 @@ def _long(name: str, df: DataFrame) -> DataFrame:
     return df.select(F.lit(name).alias("metric"), key.alias("key"), F.inline(values))
 
 
+def _comment_metrics(comments: DataFrame) -> dict[str, DataFrame]:
+    """The metrics that need sums over comments only, all from one pass over them.
+
+    The pass leaves one row per category, sentiment and day, which is stored; each metric sums that.
+    """
+    prs = F.col("product_resonance_score")
+    days = cut_lineage(comments.groupBy("cluster_label", "sentiment_label", "dateid").agg(
+        F.count("*").alias("n"), F.count_if("is_spam").alias("spam"),
+        F.count_if(F.col("sentiment_score") >= kpi.QUALITY_SENTIMENT).alias("good"),
+        F.sum(prs).alias("prs"), F.count(prs).alias("n_prs"),
+        F.count_if(prs >= kpi.QUALITY_PRS).alias("quality"),
+    ))
+
+    def ratio(part: str, whole: str, scale: float = 1.0) -> Column:
+        return F.coalesce(F.try_divide(F.sum(part) * scale, F.sum(whole)), F.lit(0.0))
+
+    by_category = days.where("cluster_label IS NOT NULL").groupBy("cluster_label")
+    labelled = days.where("sentiment_label IS NOT NULL")
+    labels_total = labelled.agg(F.sum("n").alias("n")).scalar()
+    return {
+        "KPI: Average PRS Score": days.agg(ratio("prs", "n_prs").alias("avg_prs")),
+        "KPI: Video Quality Comments Ratio":
+            days.agg(ratio("quality", "n_prs").alias("quality_comment_ratio")),
+        "KPI: Total Comments Analyzed":
+            days.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_comments")),
+        "KPI: Comment Spam Ratio": days.agg(ratio("spam", "n").alias("spam_ratio")),
+        "KPI: Comment Quality (%)": days.agg(ratio("good", "n", 100.0).alias("comment_quality_pct")),
+        "KPI: Comments Sentiment Ratio": labelled.groupBy("sentiment_label").agg(
+            (F.sum("n") / labels_total).alias("share")
+        ),
+        "Chart: Average PRS by Product Category": by_category.agg(
+            F.try_divide(F.sum("prs"), F.sum("n_prs")).alias("avg_prs")
+        ),
+        "Chart: Product Category Sentiment Breakdown": labelled.where("cluster_label IS NOT NULL")
+        .groupBy("cluster_label", "sentiment_label").agg(F.sum("n").alias("count")),
+        "days": days,
+    }
+
+
 def metric_catalogue(star: Star) -> DataFrame:
-    """Every metric as one long table (metric, key, measure, value)."""
-    return reduce(
-        DataFrame.unionByName, [_long(name, metric(star)) for name, metric in METRICS.items()]
-    )
+    """Every metric as one long table (metric, key, measure, value).
+
+    The comments are read three times in all: for the sums by day, for the sums by video, and for the
+    chart that lists every comment.
+    """
+    shared = _comment_metrics(star.comments)
+    days, videos = shared.pop("days"), cut_lineage(kpi.per_video(star.comments))
+    shared["Chart: Product Category Trend Distribution"] = kpi.sum_trend(days, star.dates)
+    shared["Chart: Average SoE Metric by Content Duration"] = kpi.avg_by_duration(videos, star.videos)
+    shared["Chart: Top Liked Product Category Content"] = kpi.top_liked_category(videos, star.videos)
+    return reduce(DataFrame.unionByName, [
+        _long(name, shared[name] if name in shared else metric(star))
+        for name, metric in METRICS.items()
+    ])

@@ -1,6 +1,7 @@
 """Every query by name: each takes (spark, folder of the given tables) and returns a frame."""
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ def plain(df: DataFrame) -> DataFrame:
     """Result columns as they can be compared across engines: numbers to six places (by way of ten,
     so that the last bit of a sum cannot decide a tie), dates as text, flags as 0/1, lists as text."""
     shown = {
-        "double": lambda c: F.round(F.round(c, 10), 6) + F.lit(0.0),
+        "double": lambda c: F.floor(F.round(c, 10) * 1e6 + 0.5) / 1e6,
         "date": lambda c: c.cast("string"),
         "boolean": lambda c: c.cast("int"),
         "array<string>": lambda c: F.array_join(c, "|"),
@@ -86,12 +87,18 @@ def _embeddings(s, d):
     return K.dense_features(table(s, d, "embeddings"), "embedding")
 
 
-def _star(s, d):
-    comments = D.comments(s, d).withColumn("hashtags_comments", T.extract_hashtags(F.col(TEXT)))
-    return metrics.Star(
-        D.star_comments(s, d), D.star_videos(s, d), D.star_dates(s, d), D.star_topic_bridge(s, d),
-        star.bridge_hashtag(comments), star.dim_hashtag(comments),
-    )
+class _Star:
+    """The star tables, each built when a metric first asks for it."""
+
+    def __init__(self, s, d):
+        self.source = (s, d)
+
+    comments = cached_property(lambda self: D.star_comments(*self.source))
+    videos = cached_property(lambda self: D.star_videos(*self.source))
+    dates = cached_property(lambda self: D.star_dates(*self.source))
+    topics = cached_property(lambda self: D.star_topic_bridge(*self.source))
+    hashtag_uses = cached_property(lambda self: star.bridge_hashtag(_tagged(*self.source)))
+    hashtags = cached_property(lambda self: star.dim_hashtag(_tagged(*self.source)))
 
 
 def _per_comment(name: str, function: Callable[[Column], Column]) -> Query:
@@ -101,7 +108,7 @@ def _per_comment(name: str, function: Callable[[Column], Column]) -> Query:
 
 
 def _on_star(metric: Callable[[metrics.Star], DataFrame]) -> Query:
-    return lambda s, d: metric(_star(s, d))
+    return lambda s, d: metric(_Star(s, d))
 
 
 def _on_facts(metric: Callable[[DataFrame], DataFrame]) -> Query:
@@ -379,10 +386,15 @@ def _valid_vectors(s, d):
     return cut_lineage(filtered.where(K.valid_row())), model
 
 
+def _distinct_texts(s, d):
+    filtered, model = _filtered(s, d)
+    return cut_lineage(K.distinct_texts(filtered.where(K.valid_row()), model))
+
+
 def kmeans(s, d):
-    vectors, _ = _valid_vectors(s, d)
-    model = K.kmeans(vectors, 3)
-    return model.transform(vectors).select("commentid", "cluster")
+    texts = _distinct_texts(s, d)
+    model = K.kmeans(texts, 3, weight="weight")
+    return model.transform(texts).select("textcleaned", "weight", "cluster")
 
 
 def kmeans_assign(s, d):
@@ -398,8 +410,7 @@ def silhouette(s, d):
 
 
 def choose_k(s, d):
-    vectors, _ = _valid_vectors(s, d)
-    rows, _ = K.choose_k(vectors)
+    rows, _ = K.choose_k(_distinct_texts(s, d), weight="weight")
     return s.createDataFrame(rows, "k int, score double, chosen boolean")
 
 

@@ -39,6 +39,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store a frame that several later jobs read, in a way that survives lost executors."""
+    """Store a frame that several later jobs read, in a way that survives lost executors.
+
+    A small frame that came out in fewer parts than there are cores is stored once more in as many
+    parts as cores, so that the later passes use all of them.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    stored = df.checkpoint(eager=True)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if stored.rdd.getNumPartitions() < cores:
+        stored = stored.repartition(cores).checkpoint(eager=True)
+    return stored
