@@ -94,10 +94,9 @@ def clean_text_cluster(text: Column) -> Column:
     vowel-less runs of six and more."""
     t = F.replace(F.replace(text_or_empty(text), F.lit("\\n"), F.lit(" ")), F.lit("\\t"), F.lit(" "))
     t = F.regexp_replace(F.lower(t), P.MENTION_OR_HASHTAG, "")
-    t = F.regexp_replace(F.regexp_replace(t, P.SPACES, " "), "[^a-z0-9 ]", "")
-    t = F.regexp_replace(t, r"\b[^aeiou ]{6,}\b", "")
-    t = F.regexp_replace(t, r"\b[a-z0-9]\b", "")
-    t = F.regexp_replace(t, r"\b[0-9]+\b", "")
+    t = F.regexp_replace(t, f"[^a-z0-9{P.SPACE_CHARS}]+", "")
+    # Only plain words are left, so the three kinds of unwanted words can go in one pass.
+    t = F.regexp_replace(t, rf"\b(?:[b-df-hj-np-tv-z0-9]{{6,}}|[a-z0-9]|[0-9]+)\b", "")
     return collapse_spaces(t)
 
 

@@ -93,19 +93,33 @@ def distinct_texts(valid: DataFrame, model: tfidf.TfidfModel) -> DataFrame:
     return add_vectors(texts.withColumn("tokens", F.split("textcleaned", " ")), model)
 
 
-def kmeans(
-    df: DataFrame, k: int, features: str = "features", weight: str | None = None, seed: int = SEED,
-    restarts: int = RESTARTS, parallel: int = 4,
-) -> KMeansModel:
-    """The best of several k-means runs by training cost; equal costs go to the first run."""
+def kmeans_per_k(
+    df: DataFrame, ks: Sequence[int], features: str = "features", weight: str | None = None,
+    seed: int = SEED, restarts: int = RESTARTS, parallel: int = 8,
+) -> dict[int, KMeansModel]:
+    """For each k the best of several k-means runs by training cost; equal costs go to the first run.
+
+    The runs are independent Spark jobs; several are submitted at a time so that the short ones do
+    not leave the cluster idle.
+    """
 
-    def run(i: int) -> KMeansModel:
+    def run(task: tuple[int, int]) -> KMeansModel:
+        k, i = task
         estimator = KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol="cluster")
         return (estimator.setWeightCol(weight) if weight else estimator).fit(df)
 
+    tasks = [(k, i) for k in ks for i in range(restarts)]
     with ThreadPoolExecutor(parallel) as pool:
-        models = list(pool.map(run, range(restarts)))
-    return min(models, key=lambda m: m.summary.trainingCost)
+        models = dict(zip(tasks, pool.map(run, tasks)))
+    return {
+        k: min((models[k, i] for i in range(restarts)), key=lambda m: m.summary.trainingCost)
+        for k in ks
+    }
+
+
+def kmeans(df: DataFrame, k: int, features: str = "features", weight: str | None = None,
+           seed: int = SEED, restarts: int = RESTARTS) -> KMeansModel:
+    return kmeans_per_k(df, [k], features, weight, seed, restarts)[k]
 
 
 def centroids(df: DataFrame, cluster: str = "cluster", features: str = "features") -> DataFrame:
@@ -164,16 +178,17 @@ def choose_k(
     rows, or fewer than two clusters found, scores -1; the first best k is chosen.
     """
     n = df.agg(F.sum(weight) if weight else F.count("*")).first()[0] or 0
-    tried = []
-    for k in range(2, min(max_k, max(2, int(n if n_rows is None else n_rows) // 2)) + 1):
-        model, score = None, -1.0
-        if n >= k:
-            model = kmeans(df, k, features, weight, seed, restarts)
-            if sum(size > 0 for size in model.summary.clusterSizes) > 1:
-                score = silhouette(model.transform(df), features=features, weight=weight)
-        tried.append((k, score, model))
-    best = max(tried, key=lambda t: t[1])
-    return [(k, score, k == best[0]) for k, score, _ in tried], best[2]
+    ks = range(2, min(max_k, max(2, int(n if n_rows is None else n_rows) // 2)) + 1)
+    models = kmeans_per_k(df, [k for k in ks if n >= k], features, weight, seed, restarts)
+
+    def score(k: int) -> float:
+        if k not in models or sum(size > 0 for size in models[k].summary.clusterSizes) < 2:
+            return -1.0
+        return silhouette(models[k].transform(df), features=features, weight=weight)
+
+    scores = {k: score(k) for k in ks}
+    best = max(ks, key=scores.get)
+    return [(k, scores[k], k == best) for k in ks], models.get(best)
 
 
 # ---- describing clusters -----------------------------------------------------------------------
@@ -235,7 +250,8 @@ def cluster_keyphrases(
         model.transform(phrases, "_terms", "vector").join(centres, cluster)
         .withColumn("relevance", F.coalesce(F.try_divide(product, length), F.lit(0.0)))
         .select(cluster, "phrase", "relevance", tfidf.indices(vector).alias("at"),
-                tfidf.values(vector).alias("weights"))
+                tfidf.values(vector).alias("weights")),
+        heavy=True,
     )
 
     def similarity(p: Column) -> Column:

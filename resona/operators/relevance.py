@@ -102,7 +102,6 @@ def weighted_relevance(
 def relevance(
     comments: DataFrame,
     videos: DataFrame,
-    text: str = "commenttext",
     sem_weight: float = 1.0,
     bonus: float = HASHTAG_BONUS,
     max_score: float = 1.0,
@@ -110,14 +109,14 @@ def relevance(
     model: tfidf.TfidfModel | None = None,
 ) -> DataFrame:
     """Add `weighted_relevance` and `is_relevant`; blank comments and comments of videos without
-    text get 0."""
+    text get 0. `comments` come from `preprocess_comments`."""
     described = with_video_text(videos)
-    texts = distinct_video_texts(described)
-    model = model or fit_embedding(texts)
-    video_side = embed(texts, "video_text", model, "_video").join(
-        described.select("videoid", "hashtags_video"), "videoid"
-    ).drop("video_text")
-    comment_side = embed(preprocess_comments(comments, text), "comment_clean", model, "_comment")
+    model = model or fit_embedding(distinct_video_texts(described))
+    texts = described.where(F.trim("video_text") != "").dropDuplicates(["videoid"])
+    video_side = embed(texts, "video_text", model, "_video").select(
+        "videoid", "_video", "hashtags_video"
+    )
+    comment_side = embed(comments, "comment_clean", model, "_comment")
     joined = salted_join(comment_side, video_side, "videoid", "commentid", "left")
     score = weighted_relevance(
         cosine(F.col("_comment"), F.col("_video")),

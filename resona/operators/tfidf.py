@@ -34,13 +34,16 @@ def vocabulary(
     `max_df` of the non-empty documents; equal frequencies in term order."""
     full = docs.where(F.size(terms) > 0).select(terms)
     n_docs = full.agg(F.count("*").alias("n"))
-    once = F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"),
-                       F.lit(0).alias("cf"), F.lit(1).alias("df")))
-    every = F.transform(terms, lambda t: F.struct(t.alias("term"),
-                        F.lit(1).alias("cf"), F.lit(0).alias("df")))
+    # Sorted, the first of several equal terms of a document is the one that differs from its
+    # predecessor; it alone counts for df.
+    ordered = full.select(F.sort_array(terms).alias("t"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("t", F.lit(1), F.size("t") - 1))
+    marked = F.zip_with("t", before, lambda term, last: F.struct(
+        term.alias("term"), (~term.eqNullSafe(last)).cast("int").alias("first")
+    ))
     counted = (
-        full.select(F.inline(F.concat(every, once)))
-        .groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+        ordered.select(F.inline(marked))
+        .groupBy("term").agg(F.count("*").alias("cf"), F.sum("first").alias("df"))
     )
     idf = F.log((n_docs.scalar() + 1) / (F.col("df") + 1)) + 1
     return (

@@ -314,7 +314,7 @@ def hashtag_overlap_bonus(s, d):
 
 
 def _relevance(s, d):
-    return R.relevance(D.raw_comments(s, d), D.videos(s, d))
+    return R.relevance(R.preprocess_comments(D.raw_comments(s, d)), D.videos(s, d))
 
 
 def relevance_routing(s, d):
@@ -323,7 +323,7 @@ def relevance_routing(s, d):
     videos = D.videos(s, d).withColumns({
         c: F.when(seen, F.col(c)) for c in ("title", "description", "tags")
     })
-    return R.relevance(D.raw_comments(s, d), videos).select(
+    return R.relevance(R.preprocess_comments(D.raw_comments(s, d)), videos).select(
         "commentid", "weighted_relevance", "is_relevant"
     )
 

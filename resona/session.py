@@ -28,8 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         current = tempfile.mkdtemp(prefix="resona-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(current)
+        spark.conf.set("spark.checkpoint.dir", current)
     return current
 
 
@@ -38,15 +37,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store a frame that several later jobs read, in a way that survives lost executors.
+def cut_lineage(df: DataFrame, heavy: bool = False) -> DataFrame:
+    """Store a frame that several later jobs read, as a Parquet table in the shared folder.
 
-    A small frame that came out in fewer parts than there are cores is stored once more in as many
-    parts as cores, so that the later passes use all of them.
+    The table survives lost executors, and later passes read only the columns they need. With `heavy`
+    later passes, a frame that came out in fewer parts than there are cores (so a small one) is
+    stored once more in as many parts as cores.
     """
-    shared_dir(df.sparkSession)
-    stored = df.checkpoint(eager=True)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if stored.rdd.getNumPartitions() < cores:
-        stored = stored.repartition(cores).checkpoint(eager=True)
-    return stored
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+
+    def stored(frame: DataFrame) -> DataFrame:
+        path = new_path(spark, "stage")
+        frame.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    table = stored(df)
+    if heavy and table.rdd.getNumPartitions() < cores:
+        table = stored(table.repartition(cores))
+    return table

@@ -7,6 +7,7 @@ category and resonance score need the whole table and stay with the batch job.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from resona.operators.relevance import preprocess_comments
 from resona.plans.score import score_text
 from resona.sources.schemas import THREAD_PAGE
 from resona.sources.threads import flatten_threads
@@ -19,7 +20,7 @@ def read_thread_stream(spark: SparkSession, path: str, files_per_trigger: int =
 
 
 def score_stream(pages: DataFrame) -> DataFrame:
-    return score_text(flatten_threads(pages))
+    return score_text(preprocess_comments(flatten_threads(pages)))
 
 
 def write_stream(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
