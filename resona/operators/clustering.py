@@ -337,7 +337,8 @@ def product_clusters(
     if model is None:
         return others
     texts = cut_lineage(distinct_texts(vectors.where(valid_row()), model))
-    _, best = choose_k(texts, max_k, weight="weight", n_rows=df.count(), restarts=restarts)
+    n_rows = df.limit(2 * max_k).count()  # more rows than that do not change the range of k
+    _, best = choose_k(texts, max_k, weight="weight", n_rows=n_rows, restarts=restarts)
     if best is None:
         return others
     valid = vectors.where(valid_row()).select(row_id, "textcleaned", "features")

@@ -75,10 +75,10 @@ def histogram(df: DataFrame, value: str, bins: int = 10, by: Sequence[str] = ())
     """Equal bins from the least to the greatest value, the last one closed; the edges are shared by
     all groups. Null values are left out, empty bins are not listed when grouped."""
     known = df.where(F.col(value).isNotNull())
-    edges = known.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    flat = F.col("lo") == F.col("hi")  # a single value sits in the middle of a bin range of width 1
-    lo = edges.select(F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo"))).scalar()
-    hi = edges.select(F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi"))).scalar()
+    least, most = F.min(value).cast("double"), F.max(value).cast("double")
+    half = F.when(least == most, 0.5).otherwise(0.0)  # one value only: a range of width 1 around it
+    edges = known.agg(F.struct((least - half).alias("lo"), (most + half).alias("hi")).alias("e"))
+    lo, hi = edges.scalar()["lo"], edges.scalar()["hi"]
     position = F.floor((F.col(value) - lo) / (hi - lo) * bins)
     counts = (
         known.withColumn("bin", F.least(position, F.lit(bins - 1)).cast("int"))

@@ -15,6 +15,7 @@ from resona.operators import report, sentiment as SE, spam as SP, star, tfidf
 from resona.plans import metrics
 from resona.plans.catalogue import DESCRIPTIONS, GIVEN_REFERENCES, GIVEN_TABLES
 from resona.plans.score import score_comments
+from resona.plans.skew import salted_join
 from resona.session import cut_lineage
 from resona.sources import derived as D
 from resona.sources import threads, warehouse
@@ -56,11 +57,6 @@ def _scored(s, d):
     ), D.videos(s, d), cluster=False)
 
 
-def _labelled_documents(s, d):
-    labels = table(s, d, "labels")
-    return spread(table(s, d, "documents")).join(labels, "doc_id", "left")
-
-
 def _labelled(s, d):
     return D.comments(s, d).select("commentid", "cluster_label", "commenttext")
 
@@ -260,26 +256,24 @@ FUNCTIONS = {
 # ---- spam, relevance, sentiment, actionability -------------------------------------------------
 
 
-def _trained(label: str, output: str) -> Query:
-    def run(s, d):
-        documents = cut_lineage(_labelled_documents(s, d).select("doc_id", "text", label))
-        model = SP.train_text_classifier(documents.where(F.col(label).isNotNull()), "text", label)
-        return SP.apply_text_classifier(model, documents, output).select("doc_id", output)
-
-    return run
+def _with_probability(s, d, label):
+    """Documents with the probability `p` of a model trained on the labelled ones among them."""
+    documents = spread(table(s, d, "documents")).select("doc_id", "text")
+    labelled = cut_lineage(documents.join(table(s, d, "labels").select("doc_id", label), "doc_id"))
+    model = SP.train_text_classifier(labelled, "text", label)
+    return SP.apply_text_classifier(model, documents, "p")
 
 
 def spam_model_trained(s, d):
-    scores = _trained("toxic", "p")(s, d)
-    documents = spread(table(s, d, "documents")).join(scores, "doc_id")
+    documents = _with_probability(s, d, "toxic")
     return SP.detect_spam(documents, "text", model_score=F.col("p")).select(
         "doc_id", "spam_score", "is_spam"
     )
 
 
 def sentiment_trained(s, d):
-    scores = _trained("quality", "p")(s, d)
-    return SE.sentiment(scores, probability=F.col("p")).drop("p")
+    documents = _with_probability(s, d, "quality")
+    return SE.sentiment(documents, probability=F.col("p")).drop("p", "text")
 
 
 def text_embedding(s, d):
@@ -308,7 +302,8 @@ def hashtag_overlap_bonus(s, d):
         "commentid", "videoid", "hashtags_comments"
     )
     videos = _described(s, d).select("videoid", "hashtags_video")
-    return comments.join(videos, "videoid").select("commentid", R.hashtag_bonus(
+    joined = salted_join(comments, videos, "videoid", "commentid")
+    return joined.select("commentid", R.hashtag_bonus(
         F.col("hashtags_comments"), F.col("hashtags_video")
     ).alias("bonus"))
 
@@ -516,7 +511,7 @@ METRIC_QUERIES = dict(zip(
 
 def comment_table(s, d):
     videos = D.videos(s, d).drop("channelid")
-    return report.comment_table(D.comments(s, d).join(videos, "videoid"))
+    return report.comment_table(salted_join(D.comments(s, d), videos, "videoid", "commentid"))
 
 
 REPORT = {

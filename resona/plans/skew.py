@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from resona.session import cut_lineage
+
 MAX_HOT_KEYS = 10_000
 NULL_SLOTS = 4096
 
@@ -14,7 +16,7 @@ def hot_keys(facts: DataFrame, key: str, rows_per_task: int) -> DataFrame:
     them whatever the size of the table; that bound is what makes the broadcasts below safe.
     """
     counts = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    total = facts.agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("n"))
     floor = F.greatest(F.lit(rows_per_task), total.scalar() / MAX_HOT_KEYS)
     return counts.where(F.col("n") > floor).select(
         key, F.ceil(F.col("n") / rows_per_task).cast("int").alias("_spread")
@@ -53,5 +55,7 @@ def salted_join(
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Broadcast a frame if it has at most `max_rows` rows, else leave the choice to Spark."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """Compute a small frame once, store it, and broadcast it if it has at most `max_rows` rows; a
+    larger one is joined the way Spark chooses."""
+    stored = cut_lineage(df)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,12 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     )
 
 
+@cache
+def _local_dir() -> tempfile.TemporaryDirectory:
+    """Removed when the interpreter ends."""
+    return tempfile.TemporaryDirectory(prefix="resona-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (`spark.checkpoint.dir`); a temporary one in local mode only."""
     context = spark.sparkContext
@@ -27,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not current:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        current = tempfile.mkdtemp(prefix="resona-")
+        current = _local_dir().name
         spark.conf.set("spark.checkpoint.dir", current)
     return current
 

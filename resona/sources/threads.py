@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resona.functions import video as V
+from resona.plans.skew import salted_join
 from resona.sources.schemas import THREAD_PAGE
 
 
@@ -52,6 +53,15 @@ def flatten_threads(pages: DataFrame) -> DataFrame:
 def videos_with_comments(videos: DataFrame, comments: DataFrame) -> DataFrame:
     """Every video with its comments; a video without any keeps one row with null comment fields.
 
-    Hot videos need no special care: the join is split at run time and nothing is grouped after it.
+    Written as two joins, because the comments of a hot video can be spread over tasks in an inner
+    join with the comments on the left, but not on the right of an outer join.
     """
-    return videos.join(comments.drop("channelid"), "videoid", "left")
+    columns = ["videoid", *[c for c in videos.columns if c != "videoid"]]
+    fields = [c for c in comments.columns if c not in columns]
+    matched = salted_join(
+        comments.select("videoid", *fields), videos.select(*columns), "videoid", "commentid"
+    )
+    silent = videos.join(comments.select("videoid").distinct(), "videoid", "left_anti")
+    return matched.select(*columns, *fields).unionByName(
+        silent.select(*columns), allowMissingColumns=True
+    )
