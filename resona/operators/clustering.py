@@ -238,9 +238,9 @@ def cluster_keyphrases(
     """
     rows = df.where(F.col(cluster).isNotNull())
     centres = broadcast_checked(centroids(rows, cluster))
-    phrases = (
-        rows.select(cluster, F.explode(F.array_distinct(tfidf.ngrams(F.col("tokens")))).alias("phrase"))
-        .distinct().withColumn("_terms", tfidf.ngrams(F.split("phrase", " ")))
+    found = F.explode(F.array_distinct(tfidf.ngrams(F.col("tokens")))).alias("phrase")
+    phrases = cut_lineage(rows.select(cluster, found).distinct(), heavy=True).withColumn(
+        "_terms", tfidf.ngrams(F.split("phrase", " "))
     )
     centre, vector = F.col("centre"), F.col("vector")
     length = F.sqrt(F.aggregate(centre, F.lit(0.0), lambda acc, x: acc + x * x))
@@ -250,8 +250,7 @@ def cluster_keyphrases(
         model.transform(phrases, "_terms", "vector").join(centres, cluster)
         .withColumn("relevance", F.coalesce(F.try_divide(product, length), F.lit(0.0)))
         .select(cluster, "phrase", "relevance", tfidf.indices(vector).alias("at"),
-                tfidf.values(vector).alias("weights")),
-        heavy=True,
+                tfidf.values(vector).alias("weights"))
     )
 
     def similarity(p: Column) -> Column:
@@ -313,35 +312,34 @@ def apply_cluster_label(df: DataFrame, labels: DataFrame, cluster: str = "cluste
     return joined.withColumn("cluster_label", F.coalesce("category", F.lit(OTHERS))).drop("category")
 
 
-def vectorise(df: DataFrame, text: str = "commenttext") -> tuple[DataFrame, tfidf.TfidfModel | None]:
-    """Add tokens, cleaned text and vectors as the clustering sees them, and the fitted model."""
-    prepared = cluster_preprocess(df, text)
-    model = fit_terms(prepared)
-    if not model.terms:
-        return prepared.withColumn("textcleaned", F.lit(EMPTY)), None
-    kept = [r["term"] for r in kept_terms(prepared, model).select("term").collect()]
-    return add_vectors(vocab_filter(prepared, kept), model), model
-
-
 def product_clusters(
     df: DataFrame, text: str = "commenttext", row_id: str = "commentid", max_k: int = MAX_K,
     restarts: int = RESTARTS,
 ) -> DataFrame:
     """Add `cluster_label`, one of the category names or `others`; rows are kept 1:1.
 
-    Only the distinct valid texts are stored for the repeated k-means passes. The result is then
-    computed row by row from the fitted models, without a join back.
+    The text is read twice: once for the tokens, which are stored for the fitting passes, and once
+    for the result, which is computed row by row from the fitted models without a join back. The
+    repeated k-means passes see only the distinct valid texts.
     """
-    vectors, model = vectorise(df, text)
     others = df.withColumn("cluster_label", F.lit(OTHERS))
-    if model is None:
+    tokens = cut_lineage(
+        cluster_preprocess(df.select(row_id, text), text).select(row_id, "tokens", "textcleaned")
+    )
+    model = fit_terms(tokens)
+    if not model.terms:
         return others
-    texts = cut_lineage(distinct_texts(vectors.where(valid_row()), model))
-    n_rows = df.limit(2 * max_k).count()  # more rows than that do not change the range of k
+    kept = [r["term"] for r in kept_terms(tokens, model).select("term").collect()]
+
+    def vectors(rows: DataFrame) -> DataFrame:
+        return add_vectors(vocab_filter(rows, kept), model)
+
+    valid = vectors(tokens).where(valid_row())
+    texts = cut_lineage(distinct_texts(valid, model))
+    n_rows = tokens.limit(2 * max_k).count()  # more rows than that do not change the range of k
     _, best = choose_k(texts, max_k, weight="weight", n_rows=n_rows, restarts=restarts)
     if best is None:
         return others
-    valid = vectors.where(valid_row()).select(row_id, "textcleaned", "features")
     representatives = cluster_representatives(best.transform(valid), row_id)
     labels = label_clusters(representatives).collect()  # at most max_k rows
     category = F.element_at(
@@ -349,8 +347,8 @@ def product_clusters(
         F.col("cluster"),
     )
     label = F.coalesce(F.when(valid_row(), category), F.lit(OTHERS))
-    return best.transform(vectors).withColumn("cluster_label", label).select(
-        *df.columns, "cluster_label"
+    return best.transform(vectors(cluster_preprocess(df, text))).select(
+        *df.columns, label.alias("cluster_label")
     )
 
 
