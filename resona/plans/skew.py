@@ -10,12 +10,14 @@ NULL_SLOTS = 4096
 
 
 def hot_keys(facts: DataFrame, key: str, rows_per_task: int) -> DataFrame:
-    """Keys with more rows than one task should take, and the number of tasks to spread them over.
+    """Keys (null among them) with more rows than one task should take, and over how many tasks to
+    spread them.
 
     A hot key holds more than 1/MAX_HOT_KEYS of all rows, so there are fewer than MAX_HOT_KEYS of
-    them whatever the size of the table; that bound is what makes the broadcasts below safe.
+    them whatever the size of the table; that bound is what makes it safe to collect them. The pass
+    reads the key column only and counts before it shuffles.
     """
-    counts = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    counts = facts.groupBy(key).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("n"))
     floor = F.greatest(F.lit(rows_per_task), total.scalar() / MAX_HOT_KEYS)
     return counts.where(F.col("n") > floor).select(
@@ -33,19 +35,21 @@ def salted_join(
 ) -> DataFrame:
     """`facts` join `per_key` on `key`, with the rows of hot keys spread by a hash of `row_id`.
 
-    The `per_key` rows of a hot key are copied once per spread slot; all other keys join as usual.
-    Rows without a key match nothing and are spread as well.
-    The result equals a plain join for every input.
+    Without hot keys this is a plain join. Otherwise the `per_key` rows of a hot key are copied once
+    per spread slot, all other keys join as usual, and rows without a key, which match nothing, are
+    spread as well. The result equals a plain join for every input.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    hot = F.broadcast(hot_keys(facts, key, rows_per_task))
+    found = hot_keys(facts, key, rows_per_task)
+    rows = found.collect()
+    if not rows:
+        return facts.join(per_key, key, how)
+    hot = F.broadcast(facts.sparkSession.createDataFrame(rows, found.schema))
     spread = F.coalesce(F.col("_spread"), F.lit(1))
     no_key = F.lit(-1) - F.pmod(F.xxhash64(row_id), F.lit(NULL_SLOTS))
     slot = F.when(F.col(key).isNull(), no_key).otherwise(F.pmod(F.xxhash64(row_id), spread))
-    left = (
-        facts.join(hot, key, "left").withColumn("_slot", slot.cast("int")).drop("_spread")
-    )
+    left = facts.join(hot, key, "left").withColumn("_slot", slot.cast("int")).drop("_spread")
     right = (
         per_key.join(hot, key, "left")
         .withColumn("_slot", F.explode(F.sequence(F.lit(0), spread - 1)))
