@@ -308,10 +308,11 @@ def statements() -> dict[str, str]:
         f"AND {c} NOT IN (SELECT {pc} FROM {p}) GROUP BY {c}" for n, t, c, p, pc in refs)
     out["catalog_describe"] = f"""WITH refers(table_name, column_name, relationship) AS ({values(
         (t, c, f'FOREIGN KEY ({c}) REFERENCES {p}({pc})') for t, c, p, pc in GIVEN_REFERENCES)}),
-        about(table_name, description) AS ({values(DESCRIPTIONS.items())})
-      SELECT c.table_name, CAST(ordinal_position AS INTEGER) AS position, c.column_name, {spark_type()} AS data_type, relationship, description
+        about(table_name, description) AS ({values(DESCRIPTIONS.items())}),
+        counts AS ({" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in GIVEN_TABLES)})
+      SELECT n_rows, c.table_name, CAST(ordinal_position AS INTEGER) AS position, c.column_name, {spark_type()} AS data_type, relationship, description
       FROM information_schema.columns c LEFT JOIN refers r ON r.table_name = c.table_name AND r.column_name = c.column_name
-        LEFT JOIN about a ON a.table_name = c.table_name
+        LEFT JOIN about a ON a.table_name = c.table_name JOIN counts n ON n.table_name = c.table_name
       WHERE c.table_name IN ({", ".join(lit(t) for t in GIVEN_TABLES)})"""
     out["adhoc_sql"] = """SELECT c_custkey, c_name, count(*) AS n_lines, floor(round(sum(l_extendedprice), 10) * 1e6 + 0.5) / 1e6 AS revenue
       FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey

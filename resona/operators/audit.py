@@ -41,7 +41,8 @@ def catalog_describe(
     references: Sequence[tuple[str, str, str, str]],
     descriptions: dict[str, str],
 ) -> DataFrame:
-    """One row per column: table, position, column, type, what it refers to, table description."""
+    """One row per column: table, position, column, type, what it refers to, table description, and
+    the table's exact number of rows."""
     columns = spark.createDataFrame(
         [(name, i, f.name, f.dataType.simpleString())
          for name, df in tables.items() for i, f in enumerate(df.schema.fields, 1)],
@@ -52,8 +53,13 @@ def catalog_describe(
         "table_name string, column_name string, relationship string",
     )
     about = spark.createDataFrame(list(descriptions.items()), "table_name string, description string")
+    counts = reduce(DataFrame.unionByName, [
+        df.agg(F.count("*").alias("n_rows")).withColumn("table_name", F.lit(name))
+        for name, df in tables.items()
+    ])
     return (
-        columns.join(refers, ["table_name", "column_name"], "left").join(about, "table_name", "left")
+        columns.join(refers, ["table_name", "column_name"], "left")
+        .join(about, "table_name", "left").join(counts, "table_name")
     )
 
 
