@@ -1,7 +1,7 @@
 """The DuckDB statement of every registered query that SQL can express."""
 
 from oracle import text as X
-from oracle.base import COMMENTS, STAR, VIDEOS, lit, pick, query, values
+from oracle.base import COMMENTS, STAR, VIDEOS, lit, query, values
 from resona.functions import patterns as P
 from resona.functions import rules as R
 from resona.functions import words as W

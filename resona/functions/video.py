@@ -73,9 +73,9 @@ def coerce_date(text: Column) -> Column:
 
 
 def coerce_int(value: Column) -> Column:
-    """Whole number of a text or number; null and unreadable values give 0."""
+    """Whole number of a text or number; null, unreadable and out-of-range values give 0."""
     number = F.nanvl(value.try_cast("double"), F.lit(None))
-    return F.coalesce(number, F.lit(0.0)).cast("long")
+    return F.coalesce(number.try_cast("long"), F.lit(0).cast("long"))
 
 
 def combined_video_text(title: Column, description: Column, tags: Column) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from resona.functions import video as V
 from resona.plans.skew import salted_join
-from resona.sources.schemas import THREAD_PAGE
+from resona.sources.schemas import THREAD_PAGE, VIDEO_RECORD
 
 
 def read_threads(spark: SparkSession, path: str) -> DataFrame:
@@ -13,6 +13,11 @@ def read_threads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(THREAD_PAGE).json(path)
 
 
+def read_videos(spark: SparkSession, path: str) -> DataFrame:
+    """Landed JSON video records."""
+    return spark.read.schema(VIDEO_RECORD).json(path)
+
+
 def parse_pages(pages: DataFrame, column: str = "page") -> DataFrame:
     """Pages held as JSON text in a column."""
     return pages.select(F.from_json(column, THREAD_PAGE).alias("p")).select("p.*")

@@ -115,7 +115,7 @@ def test_topics(apply):
 def test_coercion(apply):
     assert str(apply(V.coerce_date, "2024-02-29T10:00:00Z")) == "2024-02-29"
     assert apply(V.coerce_date, "2024-02-30") is None
-    numbers = {"12": 12, "3.9": 3, "-3.9": -3, "n/a": 0, None: 0, "": 0}
+    numbers = {"12": 12, "3.9": 3, "-3.9": -3, "n/a": 0, None: 0, "": 0, "inf": 0}
     assert {x: apply(V.coerce_int, x) for x in numbers} == numbers
     assert apply(V.coerce_int, float("nan"), "double") == 0
 

@@ -43,6 +43,16 @@ def test_threads_from_json(spark, landed):
     assert rows["a.2"]["videoid"] == "v1"
 
 
+def test_video_records_from_json(spark, tmp_path):
+    (tmp_path / "v.json").write_text(json.dumps({
+        "videoid": "v1", "title": "t", "publishedat": "2024-01-02T03:04:05Z", "duration": "PT5M",
+        "viewcount": 0, "likecount": 3, "commentcount": 1, "topiccategory": ["x/wiki/Beauty"],
+    }))
+    row = star.prepare_videos(threads.read_videos(spark, str(tmp_path))).first()
+    assert (row["engagement_rate"], row["contentduration_seconds"], row["topics"]) == (4.0, 300.0, ["Beauty"])
+    assert row["publishedat"] == datetime.date(2024, 1, 2) and row["tags"] is None
+
+
 def test_stream_scores_equal_batch_scores(spark, landed, tmp_path):
     scored = ingest.score_stream(ingest.read_thread_stream(spark, landed))
     query = ingest.write_stream(scored, str(tmp_path / "out"), str(tmp_path / "state"))
