@@ -4,17 +4,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from resona.llm import decontaminate, simhash
+from resona.llm import decontaminate, fingerprints, language, quality, simhash, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_fingerprints": fingerprints.op2,
+        "op3_language": language.op3,
+        "op4_urls": urls.op4,
+        "op5_quality": quality.op5,
         "op6_decontaminate": decontaminate.op6,
         "op7_simhash": simhash.op7,
+        "op9_toxicity": toxicity.op9,
     }
 
 
 def statements() -> dict[str, str]:
-    return {}
+    return {"op4_urls": urls.SQL}
