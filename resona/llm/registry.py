@@ -4,13 +4,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from resona.llm import decontaminate, fingerprints, language, quality, simhash, toxicity, urls
+from resona.llm import bpe, decontaminate, extract, fingerprints, language, quality, simhash, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_bpe": bpe.op1,
         "op2_fingerprints": fingerprints.op2,
         "op3_language": language.op3,
         "op4_urls": urls.op4,
@@ -18,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op6_decontaminate": decontaminate.op6,
         "op7_simhash": simhash.op7,
         "op9_toxicity": toxicity.op9,
+        "op10_extract": extract.op10,
     }
 
 
