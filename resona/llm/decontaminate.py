@@ -139,8 +139,9 @@ def occurrences(
     item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slack: int | None = None,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """One row per document row: doc_id, n_words, and `hits`, an array of (first, last, items, near):
-    word positions of each match of a benchmark window and the items that have that window.
+    """One row per document row: doc_id, key (xxhash64 of doc_id and text), n_words, and `hits`, an array
+    of (first, last, items, near): word positions of each match of a benchmark window and the items that
+    have that window.
 
     The benchmark passes through the driver in blocks of `block_bytes`, whatever its size; each block
     is searched in all documents. Null texts have no words, null item texts and ids no windows, empty
@@ -154,15 +155,15 @@ def occurrences(
         _search(source, block, window, slack) for block in blocks(items.toLocalIterator(), block_bytes)
     ] or [_search(source, [], window, slack)]
     if len(found) == 1:
-        return found[0].drop("row")
+        return found[0]
     whole = found[0].withColumn("block", F.lit(0))
     for number, more in enumerate(found[1:], 1):
         whole = whole.unionByName(more.withColumn("block", F.lit(number)))
-    key = ["doc_id", "row", "n_words"]
-    once = whole.groupBy(*key, "block").agg(F.first("hits").alias("hits"), F.count("*").alias("copies"))
+    row = ["doc_id", "key", "n_words"]
+    once = whole.groupBy(*row, "block").agg(F.first("hits").alias("hits"), F.count("*").alias("copies"))
     return (
-        once.groupBy(*key).agg(F.flatten(F.collect_list("hits")).alias("hits"), F.max("copies").alias("copies"))
-        .withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select("doc_id", "n_words", "hits")
+        once.groupBy(*row).agg(F.flatten(F.collect_list("hits")).alias("hits"), F.max("copies").alias("copies"))
+        .withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select(*row, "hits")
     )
 
 
@@ -176,23 +177,23 @@ def _search(source: DataFrame, block: list, window: int, slack: int | None) -> D
     owners = [sorted(x) for x in by_phrase.values()]
 
     def index(batches):
-        held, count, numbers, sizes, keys = [], 0, [], [], []
+        held, count, ids_of, sizes, keys = [], 0, [], [], []
 
         def closed():
             row = post(held, ids)
-            return pd.DataFrame([row | {"ids": list(keys), "rows": list(numbers), "sizes": list(sizes)}])
+            return pd.DataFrame([row | {"ids": list(ids_of), "keys": list(keys), "sizes": list(sizes)}])
 
         for batch in batches:
-            for key, row, text in zip(batch["doc_id"], batch["row"], batch["text"]):
+            for doc, key, text in zip(batch["doc_id"], batch["key"], batch["text"]):
                 tokens = words(text)
                 held.append((len(held), tokens))
-                keys.append(None if pd.isna(key) else int(key))
-                numbers.append(row)
+                ids_of.append(None if pd.isna(doc) else int(doc))
+                keys.append(key)
                 sizes.append(len(tokens))
                 count += len(tokens)
                 if count >= SHARD_WORDS:
                     yield closed()
-                    held, count, numbers, sizes, keys = [], 0, [], [], []
+                    held, count, ids_of, sizes, keys = [], 0, [], [], []
         if held:
             yield closed()
 
@@ -203,50 +204,58 @@ def _search(source: DataFrame, block: list, window: int, slack: int | None) -> D
                 for doc, first, last, phrase, near in lookup(shard, phrases, slack):
                     hits.setdefault(doc, []).append((first, last, owners[phrase], near))
                 yield pd.DataFrame({
-                    "doc_id": pd.Series(shard.ids, dtype="Int64"), "row": shard.rows,
+                    "doc_id": pd.Series(shard.ids, dtype="Int64"), "key": shard.keys,
                     "n_words": shard.sizes, "hits": [hits.get(i, []) for i in range(len(shard.ids))],
                 })
 
-    rows = source.withColumn("row", F.xxhash64("doc_id", "text"))
-    stored = cut_lineage(rows.select("doc_id", "row", "text").mapInPandas(
-        index, f"{SHARD}, ids array<long>, rows array<long>, sizes array<int>"
+    rows = source.withColumn("key", F.xxhash64("doc_id", "text"))
+    stored = cut_lineage(rows.select("doc_id", "key", "text").mapInPandas(
+        index, f"{SHARD}, ids array<long>, keys array<long>, sizes array<int>"
     ))
     return stored.mapInPandas(
-        search, "doc_id long, row long, n_words int, "
+        search, "doc_id long, key long, n_words int, "
         "hits array<struct<first:int,last:int,items:array<string>,near:boolean>>"
     )
 
 
 def judged(matches: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items, contaminated of each row of `occurrences`: a document is
+    """doc_id, key, n_words, n_hit, n_items, items, contaminated of each row of `occurrences`: a document is
     contaminated if at least a twentieth of its words lie in matches."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for key, size, hits in zip(batch["doc_id"], batch["n_words"], batch["hits"]):
+            for doc, key, size, hits in zip(*(batch[c] for c in ("doc_id", "key", "n_words", "hits"))):
                 hit = np.zeros(size + 1, np.int32)
                 for h in hits:
                     hit[h["first"]] += 1
                     hit[h["last"] + 1] -= 1
                 found = sorted({i for h in hits for i in h["items"]})
                 n_hit = int((np.cumsum(hit[:size]) > 0).sum())
-                rows.append((key, size, n_hit, len(found), found, n_hit > 0 and 20 * n_hit >= size))
+                rows.append((doc, key, size, n_hit, len(found), found, n_hit > 0 and 20 * n_hit >= size))
             out = pd.DataFrame(
-                rows, columns=["doc_id", "n_words", "n_hit", "n_items", "items", "contaminated"])
+                rows, columns=["doc_id", "key", "n_words", "n_hit", "n_items", "items", "contaminated"])
             yield out.astype({"doc_id": "Int64"})
 
     return matches.mapInPandas(run, (
-        "doc_id long, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean"
+        "doc_id long, key long, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean"
     ))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document row: doc_id, n_words, n_hit, n_items, items (ids as text, sorted),
+    """One row per document row: doc_id, key, n_words, n_hit, n_items, items (ids as text, sorted),
     contaminated. Cases as in `occurrences`."""
     return judged(occurrences(docs, benchmark))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs` (with doc_id and text) that are not contaminated."""
+    found = cut_lineage(
+        decontaminate(docs, benchmark).filter("contaminated").select(F.col("key").alias("_key")).distinct())
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    return keyed.join(found, "_key", "left_anti").select(*[col(c) for c in docs.columns])
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(

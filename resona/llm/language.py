@@ -140,22 +140,34 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
 
 
+def fitted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """A model of `docs` without the held-out quarter."""
+    bounded_batches(docs.sparkSession)
+    return train(docs.filter(~held_out(col(doc_id))).select(
+        col(doc_id).alias("key"), col(text).alias("text"), col(lang).alias("lang")))
+
+
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """`docs` with the added columns held_out, lang_pred and score; columns of these names are replaced.
 
     Trained on `docs` without the held-out quarter. Rows come back one for one, repeated ones too; an
     empty table gives an empty result, one without any language `und` throughout.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    out = held_out(col(doc_id))
-    model = train(docs.filter(~out).select(
-        col(doc_id).alias("key"), col(text).alias("text"), col(lang).alias("lang")))
-    found = docs.withColumn("held_out", out).withColumn("_found", predicted(spark, model, col(text)))
-    return found.withColumns(
+    found = predicted(docs.sparkSession, fitted(docs, doc_id, text, lang), col(text))
+    marked = docs.withColumns({"held_out": held_out(col(doc_id)), "_found": found})
+    return marked.withColumns(
         {"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
 
 
+def with_known_language(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+    """The rows of `docs` (with doc_id, text and lang) whose text is in a learned language with at least
+    `least_score`; texts without letters go."""
+    found = predicted(docs.sparkSession, fitted(docs), F.col("text"))
+    marked = docs.withColumn("_found", found)
+    kept = (F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= least_score)
+    return marked.filter(kept).drop("_found")
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", "held_out", "lang_pred", "score")

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from resona.llm import bpe, decontaminate, extract, fingerprints, language, quality, simhash, toxicity, urls
+from resona.llm import bpe, decontaminate, extract, fingerprints, language, passages, quality, simhash, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op5_quality": quality.op5,
         "op6_decontaminate": decontaminate.op6,
         "op7_simhash": simhash.op7,
+        "op8_passages": passages.op8,
         "op9_toxicity": toxicity.op9,
         "op10_extract": extract.op10,
     }

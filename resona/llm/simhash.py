@@ -175,32 +175,49 @@ def hamming_links(fingerprints: DataFrame, max_bits: int = 2, shard_size: int =
     return spreading.groupBy("shard").applyInPandas(search, "a long, b long").distinct()
 
 
-def near_duplicates(
+def classes(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     words_per_shingle: int = 3, max_bits: int = 2,
 ) -> DataFrame:
-    """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id.
+    """One row per row of `docs`: doc_id, key (xxhash64 of doc_id and text), fp, component_id, first.
 
-    Two documents link if their fingerprints differ in at most `max_bits` bits; component_id is the
-    smallest doc_id reachable over links. Null and empty texts have fingerprint zero and link to each
-    other like any others. Repeated rows come back as often as they went in. A null doc_id is kept and
-    never chosen as component_id, which is null only if no document of the component has an id. An empty
-    table gives an empty result; other columns are not read.
+    Two documents link if their fingerprints differ in at most `max_bits` bits. `first` is the key of the
+    component's first row by doc_id, nulls last, then by key; component_id is that row's doc_id.
     """
     bounded_batches(docs.sparkSession)
     marked = cut_lineage(docs.select(
-        col(doc_id).alias("doc_id"), fingerprint(col(text), words_per_shingle).alias("fp")
+        col(doc_id).alias("doc_id"), F.xxhash64(col(doc_id), col(text)).alias("key"),
+        fingerprint(col(text), words_per_shingle).alias("fp"),
     ))
-    first = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")
+    first = cut_lineage(marked.groupBy("fp").agg(F.min(row).alias("row")))
     roots = components(hamming_links(first, max_bits)).withColumnRenamed("node", "fp")
-    rooted = first.join(roots, "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    smallest = cut_lineage(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    owner = cut_lineage(rooted.join(smallest, "root").select("fp", "component_id"))
-    return marked.join(owner, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    rooted = first.join(roots, "fp", "left").select("fp", "row", F.coalesce("root", "fp").alias("root"))
+    smallest = cut_lineage(rooted.groupBy("root").agg(F.min("row").alias("least")))
+    owner = cut_lineage(rooted.join(smallest, "root").select(
+        "fp", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("first")))
+    return marked.join(owner, "fp").select("doc_id", "key", "fp", "component_id", "first")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id, the smallest doc_id
+    reachable over links.
+
+    Null and empty texts have fingerprint zero and link to each other like any others. Repeated rows come
+    back as often as they went in. A null doc_id is kept; component_id is null only if no document of the
+    component has an id. An empty table gives an empty result; other columns are not read. Options as in
+    `classes`.
+    """
+    found = classes(docs, doc_id, text, **options)
+    shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return found.select("doc_id", shown, "component_id")
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of `docs` for each component of `classes`, its first; equal rows are one."""
+    firsts = cut_lineage(classes(docs, doc_id, text, **options).select(F.col("first").alias("_key")).distinct())
+    keyed = docs.withColumn("_key", F.xxhash64(col(doc_id), col(text)))
+    return keyed.join(firsts, "_key").dropDuplicates(["_key"]).select(*[col(c) for c in docs.columns])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
