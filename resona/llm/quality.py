@@ -121,11 +121,11 @@ def resample(
     target = counts(rows.join(F.broadcast(good), "doc_id", "left_semi").select("text"))
     ratio = log_ratio(target, raw) if target.any() else np.zeros(BUCKETS)
     key = F.col("log_weight") + gumbel(F.coalesce("doc_id", F.lit(-1)), F.col("mark"), seed=seed)
-    weighed = rows.select(
+    weighed = cut_lineage(rows.select(  # stored, for range partitioning reads it twice
         "doc_id", F.xxhash64("text").alias("mark"),
         log_weight(spark, ratio, F.col("text")).alias("log_weight"),
-    ).withColumn("gumbel_key", key)
-    found = ranked(weighed, F.col("gumbel_key"), ["doc_id", "mark"])
+    ))
+    found = ranked(weighed.withColumn("gumbel_key", key), F.col("gumbel_key"), ["doc_id", "mark"])
     total = cut_lineage(found)
     wanted = -(-int(total.count() * share * 1_000_000) // 1_000_000)
     return total.select(
