@@ -18,7 +18,7 @@ BUCKETS = 1 << 20
 DOCS_PER_CLASS = 4000  # labelled documents of each class that training reads at most
 PRIOR = 5.0  # documents added to each class before the ratio is taken
 LEAST_RATIO = 0.4  # weaker features are left out of the fit
-PENALTY = 0.002
+PENALTY = 0.01
 
 
 def buckets(text: str | None) -> np.ndarray:
@@ -100,9 +100,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = DOCS_PER_CLASS) -
         hit = hit[place[hit] >= 0]
         return Vectors.sparse(len(kept), place[hit], ratio[hit])
 
+    even = size["n"] / 2  # both classes weigh as much
+    weight = F.when(F.col("label") == 1, even / size["p"]).otherwise(even / (size["n"] - size["p"]))
     fitted = LogisticRegression(
-        regParam=PENALTY, standardization=False, maxIter=60, featuresCol="x", labelCol="y",
-    ).fit(rows.select(scaled("buckets").alias("x"), F.col("label").cast("double").alias("y")))
+        regParam=PENALTY, standardization=False, maxIter=60, featuresCol="x", labelCol="y", weightCol="w",
+    ).fit(rows.select(
+        scaled("buckets").alias("x"), F.col("label").cast("double").alias("y"), weight.alias("w")))
     weights = np.zeros(BUCKETS)
     weights[kept] = fitted.coefficients.toArray() * ratio[kept]
     return Model(weights, float(fitted.intercept))
