@@ -267,7 +267,9 @@ def encode(
     tokens = F.broadcast(spark.createDataFrame(pd.DataFrame({"word": list(whole)}), "word string"))
     counts = count_words(docs.select(source.alias("text")), pattern).join(tokens, "word", "left_anti")
     top = counts.orderBy(F.desc("n"), "word").limit(known_words)
-    stored = cut_lineage(encode_words(top.select(F.encode("word", "UTF-8").alias("word")), path))
+    spread = top.select(F.encode("word", "UTF-8").alias("word")).repartition(
+        4 * spark.sparkContext.defaultParallelism)  # the limit leaves one part
+    stored = cut_lineage(encode_words(spread, path))
     packed = stored.select(F.decode("word", "UTF-8").alias("word"), "ids").toArrow()
     words, found = packed["word"].to_pylist(), packed["ids"]
     known = {w: i for i, w in enumerate([*whole, *words])}
