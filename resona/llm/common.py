@@ -17,6 +17,15 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def as_text(name: str) -> Column:
+    """An id as text, to pass it through pandas: there, a column of longs with a null becomes doubles."""
+    return col(name).cast("string")
+
+
+def as_id(name: str) -> Column:
+    return col(name).cast("long")
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Hand Python workers at most BATCH_ROWS rows at once: texts are long, and a batch is held whole.
     A smaller setting of the session stays."""

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resona.llm.common import bounded_batches, col, read
+from resona.llm.common import as_id, as_text, bounded_batches, col, read
 from resona.session import cut_lineage
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -187,7 +187,7 @@ def _search(source: DataFrame, block: list, window: int, slack: int | None) -> D
             for doc, key, text in zip(batch["doc_id"], batch["key"], batch["text"]):
                 tokens = words(text)
                 held.append((len(held), tokens))
-                ids_of.append(None if pd.isna(doc) else int(doc))
+                ids_of.append(doc)
                 keys.append(key)
                 sizes.append(len(tokens))
                 count += len(tokens)
@@ -204,18 +204,18 @@ def _search(source: DataFrame, block: list, window: int, slack: int | None) -> D
                 for doc, first, last, phrase, near in lookup(shard, phrases, slack):
                     hits.setdefault(doc, []).append((first, last, owners[phrase], near))
                 yield pd.DataFrame({
-                    "doc_id": pd.Series(shard.ids, dtype="Int64"), "key": shard.keys,
+                    "doc_id": list(shard.ids), "key": shard.keys,
                     "n_words": shard.sizes, "hits": [hits.get(i, []) for i in range(len(shard.ids))],
                 })
 
-    rows = source.withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = source.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("doc_id", as_text("doc_id"))
     stored = cut_lineage(rows.select("doc_id", "key", "text").mapInPandas(
-        index, f"{SHARD}, ids array<long>, keys array<long>, sizes array<int>"
+        index, f"{SHARD}, ids array<string>, keys array<long>, sizes array<int>"
     ))
     return stored.mapInPandas(
-        search, "doc_id long, key long, n_words int, "
+        search, "doc_id string, key long, n_words int, "
         "hits array<struct<first:int,last:int,items:array<string>,near:boolean>>"
-    )
+    ).withColumn("doc_id", as_id("doc_id"))
 
 
 def judged(matches: DataFrame) -> DataFrame:
@@ -235,11 +235,11 @@ def judged(matches: DataFrame) -> DataFrame:
                 rows.append((doc, key, size, n_hit, len(found), found, n_hit > 0 and 20 * n_hit >= size))
             out = pd.DataFrame(
                 rows, columns=["doc_id", "key", "n_words", "n_hit", "n_items", "items", "contaminated"])
-            yield out.astype({"doc_id": "Int64"})
+            yield out
 
-    return matches.mapInPandas(run, (
-        "doc_id long, key long, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean"
-    ))
+    return matches.withColumn("doc_id", as_text("doc_id")).mapInPandas(run, (
+        "doc_id string, key long, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean"
+    )).withColumn("doc_id", as_id("doc_id"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resona.llm.common import bounded_batches, col, read
+from resona.llm.common import as_id, as_text, bounded_batches, col, read
 
 EXACT = 4  # 64-bit lanes modulo 2**64
 LANES = 256  # 16-bit lanes modulo 2**16
@@ -158,7 +158,7 @@ def edited(text: str, following: str) -> str:
 
 
 OUT = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double"
 )
 
@@ -178,7 +178,7 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for at, own, doc_id, mark, text in batch.itertuples(index=False, name=None):
-            text, key = text or "", (None if pd.isna(doc_id) else int(doc_id), mark)
+            text, key = text or "", (doc_id, mark)
             if at != part:
                 part, pending = at, None
             if own and pending and pending[0] == key:
@@ -189,7 +189,7 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out += row(text, found)
             pending = (key, 1, text, found) if own else None
         names = [c.split()[0] for c in OUT.split(", ")]
-        yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(out, columns=names)
 
 
 def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,7 +203,8 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     bounded_batches(docs.sparkSession)
     chosen = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
-    return with_next(chosen).select("part", "own", "doc_id", "mark", "text").mapInPandas(_compare, OUT)
+    parts = with_next(chosen).select("part", "own", as_text("doc_id").alias("doc_id"), "mark", "text")
+    return parts.mapInPandas(_compare, OUT).withColumn("doc_id", as_id("doc_id"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

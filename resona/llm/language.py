@@ -62,7 +62,7 @@ class Model:
                     cache.clear()
                 own = cache[word] = self.rows(word)
             rows += own
-            weights += [n / len(own)] * len(own)
+            weights += [n / len(own) for _ in own]
         total = np.asarray(weights) @ self.scores[rows] if rows else np.zeros(len(self.languages))
         best = int(np.argmax(total))
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
