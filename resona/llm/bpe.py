@@ -241,7 +241,8 @@ def count_words(docs: DataFrame, pattern: str) -> DataFrame:
             if len(held) >= HELD_COUNTS:
                 yield pd.DataFrame({"word": list(held), "n": list(held.values())})
                 held.clear()
-        yield pd.DataFrame({"word": list(held), "n": list(held.values())}, dtype=None if held else object)
+        if held:
+            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
 
     counted = docs.select("text").mapInPandas(run, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))

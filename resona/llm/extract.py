@@ -18,14 +18,14 @@ from resona.llm.htmltext import Block, blocks, host
 from resona.session import cut_lineage
 
 LEAST_SHARE = 0.2  # of a host's votes that a path needs to win, so at most five paths win
-OUTER_WEIGHT = 0.9  # of a block's points that each container further out gets; 1 would favour the body
-POINTS_PER_BLOCK = 20
+OUTER_WEIGHT = 0.8  # of a block's points that each container further out gets; 1 would favour the body
+POINTS_PER_MARK = 10
 
 
 def points(block: Block) -> float:
     """Length of the text outside links, and a little for each sentence mark; links count against it."""
     own = len(block.text) - 2 * block.linked
-    return own + POINTS_PER_BLOCK * sum(block.text.count(c) for c in ".,;!?。，") if own > 0 else own
+    return own + POINTS_PER_MARK * sum(block.text.count(c) for c in ".,;!?。，") if own > 0 else own
 
 
 def scores(page: list[Block]) -> dict[tuple[int, ...], float]:
@@ -41,12 +41,27 @@ def scores(page: list[Block]) -> dict[tuple[int, ...], float]:
 
 
 def best(page: list[Block]) -> tuple[tuple[str, ...], float]:
-    """Path of the best container and its points; equal ones: the first in the page. No blocks: empty."""
+    """Path of the best container and its points; equal ones: the first in the page. No blocks: empty.
+
+    The container with the most points is widened to the article element around it, or else outwards as
+    long as that adds a heading in front of it.
+    """
     total = scores(page)
     if not total:
         return (), 0.0
     chosen = max(total, key=lambda k: (total[k], [-n for n in k]))
-    return next(b.path[:len(chosen)] for b in page if b.nodes[:len(chosen)] == chosen), total[chosen]
+    path = next(b.path for b in page if b.nodes[:len(chosen)] == chosen)
+    size = len(chosen)
+    article = next((i + 1 for i in range(size) if path[i].split(".")[0] == "article"), None)
+    if article:
+        return path[:article], total[chosen]
+    while size > 1 and path[size - 2].split(".")[0] in ("div", "main", "section"):
+        around = [b for b in page if b.nodes[:size - 1] == chosen[:size - 1]]
+        before = next(i for i, b in enumerate(around) if b.nodes[:size] == chosen[:size])
+        if not any(b.heading for b in around[:before]):
+            break
+        size -= 1
+    return path[:size], total[chosen]
 
 
 def text_of(page: list[Block], winners: list[str]) -> str:
@@ -76,7 +91,8 @@ def votes(pages: DataFrame) -> DataFrame:
                 path, worth = best(blocks(source))
                 if path and worth > 0:
                     rows.append((host(url), " ".join(path)))
-            yield pd.DataFrame(rows, columns=["host", "path"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["host", "path"])
 
     return pages.select("url", "html").mapInPandas(run, "host string, path string").groupBy(
         "host", "path").agg(F.count("*").alias("votes"))

@@ -25,6 +25,7 @@ BLOCK = {
     "ol", "optgroup", "option", "p", "pre", "search", "section", "select", "summary", "table", "tbody",
     "td", "tfoot", "th", "thead", "tr", "ul",
 }
+HEADING = {"h1", "h2", "h3"}
 CONTAINER = {"article", "body", "center", "div", "main", "section", "table", "tbody", "td", "tr"}
 # Start tags that end an open element, up to the nearest of the elements named last.
 ENDS = {
@@ -63,12 +64,14 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 @dataclass
 class Block:
     """Text between block boundaries; `path` names the containers around it, the outermost first, and
-    `nodes` numbers them within the page. `linked` counts the characters inside links."""
+    `nodes` numbers them within the page. `linked` counts the characters inside links, `heading` tells
+    whether it is one."""
 
     text: str
     path: tuple[str, ...]
     nodes: tuple[int, ...]
     linked: int
+    heading: bool = False
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -106,14 +109,15 @@ def blocks(source: str | None) -> list[Block]:
     source, found, at = source or "", [], 0
     open_tags: list[tuple[str, bool, bool]] = []  # tag, boilerplate (also above), inside an article
     path: list[tuple[str, int, int]] = []  # container step, its number, depth in open_tags
-    number = dropping = links = linked = 0
+    number = dropping = links = headings = linked = 0
     text: list[str] = []
 
     def flush() -> None:
         nonlocal linked
         whole = " ".join("".join(text).split())
         if whole:
-            found.append(Block(whole, tuple(p[0] for p in path), tuple(p[1] for p in path), linked))
+            steps, nodes = tuple(p[0] for p in path), tuple(p[1] for p in path)
+            found.append(Block(whole, steps, nodes, linked, bool(headings)))
         text.clear()
         linked = 0
 
@@ -126,13 +130,14 @@ def blocks(source: str | None) -> list[Block]:
                 linked += len(piece.strip())
 
     def close(depth: int) -> None:
-        nonlocal dropping, links
+        nonlocal dropping, links, headings
         while len(open_tags) > depth:
             tag, drops, _ = open_tags.pop()
             if tag in BLOCK:
                 flush()
             dropping -= drops
             links -= tag == "a"
+            headings -= tag in HEADING
             while path and path[-1][2] >= len(open_tags):
                 path.pop()
 
@@ -194,6 +199,7 @@ def blocks(source: str | None) -> list[Block]:
         open_tags.append((tag, drops, inside or tag in ("article", "main")))
         dropping += drops
         links += tag == "a"
+        headings += tag in HEADING
         if tag in CONTAINER:
             path.append((step(tag, given), number, len(open_tags) - 1))
     close(0)

@@ -96,9 +96,9 @@ def train(labelled: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Model:
                     for size in range(1, LONGEST_GRAM + 1):
                         for gram in grams(word, size):
                             found[size, gram, lang] += n
-            keys = list(zip(*found)) or [[], [], []]
-            yield pd.DataFrame(
-                {"size": keys[0], "gram": keys[1], "lang": keys[2], "n": list(found.values())})
+            if found:
+                sizes, own, langs = zip(*found)
+                yield pd.DataFrame({"size": sizes, "gram": own, "lang": langs, "n": list(found.values())})
 
     counted = sample.mapInPandas(count, "size int, gram string, lang string, n long")
     summed = counted.groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))

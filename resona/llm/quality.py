@@ -14,7 +14,7 @@ from resona.llm.common import bounded_batches, col, read
 from resona.session import cut_lineage
 
 BUCKETS = 1 << 16
-SMOOTHING = 1.0
+PRIOR = 1000.0  # n-grams of the raw model that are added to the target's
 CHUNK = 128  # n-grams whose evidence a document's weight stands for, so that length alone decides nothing
 TARGET_DOCS = 20_000  # good documents that the target model is fitted on at most, the first by a hash
 SHARE = 0.5  # of the documents that are drawn
@@ -52,8 +52,9 @@ def counts(texts: DataFrame) -> np.ndarray:
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    p = (target + SMOOTHING) / (target + SMOOTHING).sum()
-    q = (raw + SMOOTHING) / (raw + SMOOTHING).sum()
+    """By bucket, with the target model drawn towards the raw one, so what is too rare to tell weighs little."""
+    q = (raw + 1) / (raw + 1).sum()
+    p = (target + PRIOR * q) / (target.sum() + PRIOR)
     return np.log(p / q)
 
 
@@ -106,8 +107,8 @@ def resample(
     The target model counts the texts of up to `target_docs` documents whose label is 1 (their ids are
     what is broadcast), the raw model the texts of all rows. The first ceil(share * rows) by falling log_weight + Gumbel noise are selected, which draws without
     replacement in proportion to the weights. Noise comes from doc_id and text, so exactly repeated rows
-    share their key and stand next to each other. Null and empty texts weigh 0; without target texts the
-    model is even, so all weights are those of length-smoothed noise near 0. Null ids are kept; an empty
+    share their key and stand next to each other. Null and empty texts weigh 0; without target texts
+    all weights are 0. Null ids are kept; an empty
     table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
