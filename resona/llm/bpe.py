@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from resona.llm.common import bounded_batches, col, read
 from resona.session import cut_lineage
 
-KNOWN_WORDS = 250_000  # most frequent distinct words: encoded once in Spark, looked up by all tasks
+KNOWN_WORDS = 100_000  # most frequent distinct words: encoded once in Spark, looked up by all tasks
 LONG_WORD = 128  # bytes; longer words are merged through a heap
 HELD_COUNTS = 200_000  # distinct words a task counts before it passes them on
 SHIFT = 1 << 20  # more than any id: entries of the literal are left id * SHIFT + joined id

@@ -15,7 +15,7 @@ from resona.session import cut_lineage
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 LONGEST_GRAM = 5
-DOCS_PER_LANGUAGE = 1500  # expected size of the training sample, by a hash of the id
+DOCS_PER_LANGUAGE = 800  # expected size of the training sample, by a hash of the id
 MIN_WORD_COUNT = 2  # rarer words are left to their n-grams
 SMOOTHING = 0.5
 CACHED_WORDS = 200_000  # per Python worker; a full cache is emptied
@@ -108,16 +108,17 @@ def train(labelled: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Model:
     kept = per_gram.filter((F.col("n") >= MIN_WORD_COUNT)).select(
         "size", "gram", *[F.coalesce(F.col("by")[x], F.lit(0)).cast("int").alias(f"c{i}")
                           for i, x in enumerate(languages)]
-    ).toPandas().sort_values(["size", "gram"], ignore_index=True)
-    counts = kept[[f"c{i}" for i in range(len(languages))]].to_numpy(float) + SMOOTHING
-    scores = np.zeros_like(counts)
+    ).toArrow()
+    sizes_of = kept["size"].to_numpy()
+    counts = np.stack([kept[f"c{i}"].to_numpy() for i in range(len(languages))], axis=1) + SMOOTHING
+    scores = np.zeros(counts.shape, np.float32)
     for size in range(LONGEST_GRAM + 1):
-        own = (kept["size"] == size).to_numpy()
+        own = sizes_of == size
         scores[own] = np.log(counts[own] / counts[own].sum(axis=0))
-    is_word = (kept["size"] == 0).to_numpy()
-    number = dict(zip(kept["gram"][is_word], np.flatnonzero(is_word).tolist()))
-    gram = dict(zip(kept["gram"][~is_word], np.flatnonzero(~is_word).tolist()))
-    return Model(languages, number, gram, scores.astype(np.float32))
+    number, gram = {}, {}
+    for row, (size, piece) in enumerate(zip(sizes_of.tolist(), kept["gram"].to_pylist())):
+        (gram if size else number)[piece] = row
+    return Model(languages, number, gram, scores)
 
 
 def predicted(spark: SparkSession, model: Model, text: Column) -> Column:
