@@ -130,6 +130,8 @@ def keyword_hits(x, category):
 
 
 def pattern_hits(x, category):
+    if not R.PATTERNS[category]:
+        return "0"
     return "(" + " + ".join(
         f"CAST(regexp_matches({x}, {lit(portable(p))}) AS INTEGER)" for p in R.PATTERNS[category]) + ")"
 

@@ -9,7 +9,8 @@ from resona.functions.text import strip
 
 # Words that refuse a text, patterns that look like an injection, and the reasons.
 BANNED_WORDS = (
-    "DROP DELETE TRUNCATE ALTER CREATE INSERT UPDATE GRANT REVOKE EXECUTE SHUTDOWN KILL".split()
+    "DROP", "DELETE", "TRUNCATE", "ALTER", "CREATE", "INSERT", "UPDATE", "GRANT", "REVOKE",
+    "EXECUTE", "SHUTDOWN", "KILL",
 )
 INJECTIONS = (r"UNION\s+ALL", r"1\s*=\s*1", r"OR\s+1\s*=\s*1")
 VALID = "Valid SQL query"

@@ -1,7 +1,7 @@
 """Text columns: extraction, cleaning, tokens. Null text counts as empty text throughout."""
 
 import json
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,14 +10,14 @@ from resona.functions import patterns as P
 from resona.functions import words as W
 
 
-MAX_TABLE = 5000
+def lookup(table: Mapping, value_type: str = "string") -> Callable[[Column], Column]:
+    """Function from a column of keys to their values in a fixed table, null if there is none.
 
-
-def literal_map(table: Mapping, value_type: str = "string") -> Column:
-    """A constant map column, folded once when the query is planned; for small fixed tables only."""
-    if len(table) > MAX_TABLE:
-        raise ValueError(f"a table of more than {MAX_TABLE} entries should be joined, not inlined")
-    return F.from_json(F.lit(json.dumps(table)), f"map<string,{value_type}>")
+    The table is one constant map, folded once when the query is planned. It travels with the tasks and a
+    lookup goes through its keys, so it is meant for dictionaries, not for data.
+    """
+    constant = F.from_json(F.lit(json.dumps(dict(table))), f"map<string,{value_type}>")
+    return lambda key: F.element_at(constant, key)
 
 
 def text_or_empty(text: Column) -> Column:
@@ -44,17 +44,17 @@ def extract_hashtags(text: Column) -> Column:
 
 def extract_emojis(text: Column, names: Mapping[str, str] | None = None) -> Column:
     """Names of the distinct emoji in a text, sorted (the order carries no meaning)."""
-    table = literal_map(W.emoji_names() if names is None else names)
+    name = lookup(W.emoji_names() if names is None else names)
     found = F.array_distinct(F.regexp_extract_all(text_or_empty(text), F.lit(P.EMOJI), 0))
-    return F.array_sort(F.transform(found, lambda e: F.coalesce(F.element_at(table, e), e)))
+    return F.array_sort(F.transform(found, lambda e: F.coalesce(name(e), e)))
 
 
 def demojize(text: Column, names: Mapping[str, str] | None = None) -> Column:
     """Replace each emoji by `:name:`; only characters in the pictograph blocks are looked up."""
-    table = literal_map(W.emoji_names() if names is None else names)
+    name_of = lookup(W.emoji_names() if names is None else names)
 
     def spelled(ch: Column) -> Column:
-        name = F.concat(F.lit(":"), F.element_at(table, ch), F.lit(":"))
+        name = F.concat(F.lit(":"), name_of(ch), F.lit(":"))
         return F.when(ch.rlike(P.PICTOGRAPH), F.coalesce(name, ch)).otherwise(ch)
 
     return F.when(
@@ -109,9 +109,9 @@ def tokenize_reduce(text: Column) -> Column:
 
 def expand_slang(tokens: Column, slang: Mapping[str, str] = W.SLANG) -> Column:
     """Replace abbreviations; an expansion of several words becomes several tokens."""
-    table = literal_map(slang)
+    meaning = lookup(slang)
     return F.flatten(
-        F.transform(tokens, lambda t: F.split(F.coalesce(F.element_at(table, F.lower(t)), t), " "))
+        F.transform(tokens, lambda t: F.split(F.coalesce(meaning(F.lower(t)), t), " "))
     )
 
 
@@ -138,8 +138,8 @@ def drop_meaningless_tokens(tokens: Column) -> Column:
 
 def lemmatize(tokens: Column, lemmas: Mapping[str, str] = W.DEMO_LEMMAS) -> Column:
     """Dictionary form of each token; tokens without an entry stay as they are."""
-    table = literal_map(lemmas)
-    return F.transform(tokens, lambda t: F.coalesce(F.element_at(table, F.lower(t)), F.lower(t)))
+    form = lookup(lemmas)
+    return F.transform(tokens, lambda t: F.coalesce(form(F.lower(t)), F.lower(t)))
 
 
 def too_short(cleaned: Column, min_length: int = 10) -> Column:

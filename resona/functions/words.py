@@ -3,32 +3,46 @@
 import unicodedata
 
 # English stop words of the public NLTK corpus.
-ENGLISH_STOP_WORDS = """
-i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves
-he him his himself she she's her hers herself it it's its itself they them their theirs themselves
-what which who whom this that that'll these those am is are was were be been being have has had
-having do does did doing a an the and but if or because as until while of at by for with about
-against between into through during before after above below to from up down in out on off over
-under again further then once here there when where why how all any both each few more most other
-some such no nor not only own same so than too very s t can will just don don't should should've
-now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn
-hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't shouldn
-shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
-""".split()
+ENGLISH_STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "you're", "you've",
+    "you'll", "you'd", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself",
+    "she", "she's", "her", "hers", "herself", "it", "it's", "its", "itself", "they", "them",
+    "their", "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "that'll",
+    "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has",
+    "had", "having", "do", "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or",
+    "because", "as", "until", "while", "of", "at", "by", "for", "with", "about", "against",
+    "between", "into", "through", "during", "before", "after", "above", "below", "to", "from",
+    "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once",
+    "here", "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more",
+    "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than",
+    "too", "very", "s", "t", "can", "will", "just", "don", "don't", "should", "should've", "now",
+    "d", "ll", "m", "o", "re", "ve", "y", "ain", "aren", "aren't", "couldn", "couldn't", "didn",
+    "didn't", "doesn", "doesn't", "hadn", "hadn't", "hasn", "hasn't", "haven", "haven't", "isn",
+    "isn't", "ma", "mightn", "mightn't", "mustn", "mustn't", "needn", "needn't", "shan", "shan't",
+    "shouldn", "shouldn't", "wasn", "wasn't", "weren", "weren't", "won", "won't", "wouldn",
+    "wouldn't",
+]
 
 # Extra stop words for grouping comments by product.
-PRODUCT_STOP_WORDS = """
-like get go would could should also really much many good great love nice best use using used got
-going even still just want need make made way time day work works try tried buy bought look looks
-please one cute thank thanks video hai hi wow people think omg ur bro without better see seen thing
-things say said tell come came back first second last next new old right left yes yeah okay ok well
-maybe probably actually totally super pretty very quite definitely absolutely completely name lol
-always black real im men videos never wig share dont long stunning put thought song dear every oh
-stop pls
-""".split()
+PRODUCT_STOP_WORDS = [
+    "like", "get", "go", "would", "could", "should", "also", "really", "much", "many", "good",
+    "great", "love", "nice", "best", "use", "using", "used", "got", "going", "even", "still",
+    "just", "want", "need", "make", "made", "way", "time", "day", "work", "works", "try", "tried",
+    "buy", "bought", "look", "looks", "please", "one", "cute", "thank", "thanks", "video", "hai",
+    "hi", "wow", "people", "think", "omg", "ur", "bro", "without", "better", "see", "seen",
+    "thing", "things", "say", "said", "tell", "come", "came", "back", "first", "second", "last",
+    "next", "new", "old", "right", "left", "yes", "yeah", "okay", "ok", "well", "maybe",
+    "probably", "actually", "totally", "super", "pretty", "very", "quite", "definitely",
+    "absolutely", "completely", "name", "lol", "always", "black", "real", "im", "men", "videos",
+    "never", "wig", "share", "dont", "long", "stunning", "put", "thought", "song", "dear", "every",
+    "oh", "stop", "pls",
+]
 
 # Tokens kept although they are short.
-KEPT_SHORT_TOKENS = "i a is it me my we he be do so no up on in at to of or".split()
+KEPT_SHORT_TOKENS = [
+    "i", "a", "is", "it", "me", "my", "we", "he", "be", "do", "so", "no", "up", "on", "in", "at",
+    "to", "of", "or",
+]
 
 # Chat abbreviations and what they stand for.
 SLANG = {
@@ -41,10 +55,10 @@ SLANG = {
 }
 
 # Product words whose corpus weight is raised, and the factor.
-PRODUCT_TERMS = """
-makeup lipstick foundation mascara eyeliner eyeshadow blush primer concealer powder serum toner
-shampoo perfume spf
-""".split()
+PRODUCT_TERMS = [
+    "makeup", "lipstick", "foundation", "mascara", "eyeliner", "eyeshadow", "blush", "primer",
+    "concealer", "powder", "serum", "toner", "shampoo", "perfume", "spf",
+]
 PRODUCT_TERM_FACTOR = 5.0
 
 # A small demonstration table of word forms; pass a full one for production use.

@@ -1,18 +1,19 @@
 """Relevance of each comment to its own video: cosine of text vectors plus a hashtag bonus."""
 
+from collections.abc import Sequence
+
 from pyspark.ml.feature import Word2Vec
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resona.functions.text import clean_text_basic, extract_hashtags, split_words
 from resona.functions.video import combined_video_text
 from resona.operators import tfidf
 from resona.plans.skew import salted_join
+from resona.session import cut_lineage
 
 THRESHOLD = 0.3
 HASHTAG_BONUS = 0.10
-# Enough for the words of all video texts; bounds the model on the driver and in the tasks.
-MAX_FEATURES = 50_000
 
 
 def with_video_text(videos: DataFrame) -> DataFrame:
@@ -40,52 +41,89 @@ def distinct_video_texts(videos: DataFrame) -> DataFrame:
     )
 
 
-def fit_embedding(video_texts: DataFrame) -> tfidf.TfidfModel:
-    """Sparse TF-IDF embedding whose word weights come from the distinct video texts."""
-    words = video_texts.select(tfidf.ngrams(split_words(F.col("video_text")), (1,)).alias("words"))
-    return tfidf.fit(words, "words", MAX_FEATURES, max_df=1.0)
+def _words(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """(…keys, term): every word of two and more characters."""
+    return df.select(*keys, F.explode(tfidf.ngrams(split_words(F.col(text)), (1,))).alias("term"))
 
 
-def embed(df: DataFrame, text: str, model: tfidf.TfidfModel, output: str) -> DataFrame:
-    words = df.withColumn("_words", split_words(F.col(text)))
-    return model.transform(words, "_words", output).drop("_words")
+def fit_idf(video_texts: DataFrame) -> DataFrame:
+    """(term, idf) over all words of the distinct video texts, as a stored table of any size."""
+    n_docs = video_texts.agg(F.count("*").alias("n"))
+    words = _words(video_texts, ["videoid", "video_text"], "video_text").distinct()
+    counted = words.groupBy("term").agg(F.count("*").alias("df"))
+    return cut_lineage(
+        counted.select("term", (F.log((n_docs.scalar() + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    )
+
+
+def embed(df: DataFrame, keys: Sequence[str], text: str, idf: DataFrame) -> DataFrame:
+    """(…keys, term, weight): the unit-length TF-IDF vector of each text, as rows; words without an
+    idf are left out."""
+    raw = _raw_weights(df, keys, text, idf)
+    norm = F.sqrt(F.sum(F.col("weight") ** 2).over(Window.partitionBy(*keys)))
+    return raw.withColumn("weight", F.col("weight") / norm)
+
+
+def _raw_weights(df: DataFrame, keys: Sequence[str], text: str, idf: DataFrame) -> DataFrame:
+    return (
+        _words(df, keys, text).join(idf, "term").groupBy(*keys, "term")
+        .agg((F.count("*") * F.first("idf")).alias("weight"))
+    )
 
 
-def embed_dense(df: DataFrame, text: str, output: str, size: int = 32, parts: int = 8) -> DataFrame:
-    """The other embedding: mean of word vectors trained on the same texts."""
+def embed_dense(
+    df: DataFrame, text: str, output: str, size: int = 32, parts: int = 8, min_count: int = 1
+) -> DataFrame:
+    """The other embedding: mean of word vectors trained on the same texts.
+
+    The trainer holds one vector of `size` floats for each distinct word that occurs at least
+    `min_count` times on the driver and in the tasks; raise `min_count` for large vocabularies.
+    """
     words = df.withColumn("_words", split_words(F.col(text)))
-    model = Word2Vec(vectorSize=size, minCount=2, seed=42, numPartitions=parts, maxIter=1,
+    model = Word2Vec(vectorSize=size, minCount=min_count, seed=42, numPartitions=parts, maxIter=1,
                      inputCol="_words", outputCol=output).fit(words)
     return model.transform(words).drop("_words")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two unit-length vectors; one pass over the entries of the first."""
-    there, weight = tfidf.indices(b), tfidf.values(b)
-    mine = F.arrays_zip(tfidf.indices(a).alias("i"), tfidf.values(a).alias("w"))
+def one_text(videos: DataFrame) -> DataFrame:
+    """One row per video that has a text; of several the last by publishing date, then by text."""
+    order = [c for c in ("publishedat", "video_text") if c in videos.columns]
+    kept = F.struct("video_text", *[c for c in ("hashtags_video",) if c in videos.columns])
+    return (
+        videos.where(F.trim("video_text") != "").groupBy("videoid")
+        .agg(F.max_by(kept, F.struct(*order)).alias("kept")).select("videoid", "kept.*")
+    )
+
 
-    def product(entry: Column) -> Column:
-        other = F.get(weight, F.array_position(there, entry["i"]).cast("int") - 1)
-        return entry["w"] * F.coalesce(other, F.lit(0.0))
+def cosines(comments: DataFrame, texts: DataFrame, idf: DataFrame) -> DataFrame:
+    """(commentid, cosine) of comments that share a word with their video.
 
-    return F.aggregate(mine, F.lit(0.0), lambda acc, e: acc + product(e))
+    Words meet by (videoid, term), so a video with very many comments is spread by its words, and the
+    work grows with the words of the comments, not with its square.
+    """
+    mine = _raw_weights(comments, ["commentid", "videoid"], "comment_clean", idf)
+    theirs = embed(texts, ["videoid"], "video_text", idf).withColumnRenamed("weight", "_video")
+    both = mine.join(theirs, ["videoid", "term"], "left")
+    summed = both.groupBy("commentid").agg(
+        F.sum(F.col("weight") * F.col("_video")).alias("dot"), F.sum(F.col("weight") ** 2).alias("square"))
+    return summed.where(F.col("dot").isNotNull()).select(
+        "commentid", (F.col("dot") / F.sqrt("square")).alias("cosine"))
 
 
 def rowwise_cosine(
-    comments: DataFrame, videos: DataFrame, model: tfidf.TfidfModel | None = None
+    comments: DataFrame, videos: DataFrame, idf: DataFrame | None = None
 ) -> DataFrame:
     """Add `cosine` of each comment with its own video (null if that video has no text).
 
-    `comments` need `comment_clean`, `videos` need `video_text`. The work is one equi join; rows of a
-    video with very many comments are spread over tasks.
+    `comments` need `comment_clean`, `videos` need `video_text`; commentid is their key.
     """
-    texts = distinct_video_texts(videos)
-    model = model or fit_embedding(texts)
-    video_side = embed(texts, "video_text", model, "_video").select("videoid", "_video")
-    comment_side = embed(comments, "comment_clean", model, "_comment")
-    joined = salted_join(comment_side, video_side, "videoid", "commentid", "left")
-    similarity = F.when(F.col("_video").isNotNull(), cosine(F.col("_comment"), F.col("_video")))
-    return joined.withColumn("cosine", similarity).drop("_comment", "_video")
+    idf = idf or fit_idf(distinct_video_texts(videos))
+    texts = one_text(videos)
+    found = cosines(comments, texts, idf).withColumnRenamed("cosine", "_cosine")
+    joined = salted_join(
+        comments, texts.select("videoid", F.lit(True).alias("_text")), "videoid", "commentid", "left")
+    similarity = F.when(F.col("_text"), F.coalesce("_cosine", F.lit(0.0)))
+    return joined.join(found, "commentid", "left").withColumn("cosine", similarity).drop("_text", "_cosine")
 
 
 def hashtag_bonus(mine: Column, theirs: Column, bonus: float = HASHTAG_BONUS) -> Column:
@@ -106,26 +144,24 @@ def relevance(
     bonus: float = HASHTAG_BONUS,
     max_score: float = 1.0,
     threshold: float = THRESHOLD,
-    model: tfidf.TfidfModel | None = None,
+    idf: DataFrame | None = None,
 ) -> DataFrame:
     """Add `weighted_relevance` and `is_relevant`; blank comments and comments of videos without
-    text get 0. `comments` come from `preprocess_comments`."""
+    text get 0, also if no video has a text. `comments` come from `preprocess_comments`."""
     described = with_video_text(videos)
-    model = model or fit_embedding(distinct_video_texts(described))
-    texts = described.where(F.trim("video_text") != "").dropDuplicates(["videoid"])
-    video_side = embed(texts, "video_text", model, "_video").select(
-        "videoid", "_video", "hashtags_video"
-    )
-    comment_side = embed(comments, "comment_clean", model, "_comment")
-    joined = salted_join(comment_side, video_side, "videoid", "commentid", "left")
+    idf = idf or fit_idf(distinct_video_texts(described))
+    texts = cut_lineage(one_text(described))
+    found = cosines(comments, texts, idf).withColumnRenamed("cosine", "_cosine")
+    video_side = texts.select("videoid", "hashtags_video", F.lit(True).alias("_text"))
+    joined = salted_join(comments, video_side, "videoid", "commentid", "left").join(found, "commentid", "left")
     score = weighted_relevance(
-        cosine(F.col("_comment"), F.col("_video")),
+        F.coalesce("_cosine", F.lit(0.0)),
         hashtag_bonus(F.col("hashtags_comments"), F.col("hashtags_video"), bonus),
         sem_weight, max_score,
     )
-    has_both = (F.col("comment_clean") != "") & F.col("_video").isNotNull()
+    has_both = (F.col("comment_clean") != "") & F.col("_text")
     return (
         joined.withColumn("weighted_relevance", F.when(has_both, score).otherwise(0.0))
         .withColumn("is_relevant", F.col("weighted_relevance") >= threshold)
-        .drop("_comment", "_video", "hashtags_video")
+        .drop("_cosine", "_text", "hashtags_video")
     )

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from resona.functions.text import strip
 from resona.operators.kpi import share, value_shares
 
-SENTIMENTS = ["NEGATIVE", "NEUTRAL", "POSITIVE"]
-
 # Header words of a report section, in the order they are tried, and section names.
 SECTIONS = [
     (["EXECUTIVE SUMMARY"], "executive_summary"),
@@ -38,16 +36,12 @@ def report_counts(df: DataFrame) -> DataFrame:
 
 
 def report_sentiment_dist(df: DataFrame) -> DataFrame:
-    """Share of each sentiment within each video. Counts per (video, label) come first; the totals
-    are sums of those."""
+    """Share of each sentiment within each video, whatever the labels. Counts per (video, label) come
+    first; the totals are sums of those."""
     known = df.where(F.col("videoid").isNotNull() & F.col("sentiment_label").isNotNull())
-    counts = known.groupBy("videoid").agg(
-        F.count("*").alias("n"), *[
-            F.count_if(F.col("sentiment_label") == s).alias(s) for s in SENTIMENTS
-        ]
-    )
-    long = counts.unpivot(["videoid", "n"], SENTIMENTS, "sentiment_label", "count")
-    return long.where(F.col("count") > 0).select(
+    counts = known.groupBy("videoid", "sentiment_label").agg(F.count("*").alias("count"))
+    totals = counts.groupBy("videoid").agg(F.sum("count").alias("n"))
+    return counts.join(totals, "videoid").select(
         "videoid", "sentiment_label", (F.col("count") / F.col("n")).alias("share")
     )
 

@@ -278,8 +278,7 @@ def sentiment_trained(s, d):
 
 def text_embedding(s, d):
     texts = R.distinct_video_texts(_described(s, d))
-    model = R.fit_embedding(texts)
-    return tfidf.term_weights(R.embed(texts, "video_text", model, "features"), ["videoid"], model)
+    return R.embed(texts, ["videoid"], "video_text", R.fit_idf(texts))
 
 
 def text_embedding_word2vec(s, d):

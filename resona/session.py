@@ -1,5 +1,6 @@
 """Session settings and the shared folder for checkpoints and written tables."""
 
+import os
 import tempfile
 import uuid
 from functools import cache
@@ -8,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
-    """Session for tests and the local bench; a cluster brings its own."""
+    """Session for tests and the local bench; a cluster brings its own. RESONA_DRIVER_MEMORY sets the heap."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("resona")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", os.environ.get("RESONA_DRIVER_MEMORY", "6g"))
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")

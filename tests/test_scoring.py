@@ -161,3 +161,49 @@ def test_sql_guard(spark):
         "SELECT 1 UNION  ALL SELECT 2": False, "SELECT * FROM t WHERE 11 = 10": False, "drop table t": False,
     }
     assert {text: check_sql(spark, text)[0] for text in cases} == cases
+
+
+def _comment_video(spark, comments, videos):
+    comments = spark.createDataFrame(comments, "commentid string, videoid string, commenttext string")
+    videos = spark.createDataFrame(videos, "videoid string, title string, description string, tags array<string>, publishedat string")
+    return relevance.preprocess_comments(comments), videos
+
+
+def test_relevance_without_any_video_text(spark):
+    comments, videos = _comment_video(spark, [("c", "v", "nice serum")], [("v", "", None, [], "2024")])
+    rows = relevance.relevance(comments, videos).collect()
+    assert [(r["weighted_relevance"], r["is_relevant"]) for r in rows] == [(0.0, False)]
+    assert relevance.rowwise_cosine(comments, relevance.with_video_text(videos)).first()["cosine"] is None
+
+
+def test_a_video_with_two_texts_keeps_its_comments_single(spark):
+    comments, videos = _comment_video(
+        spark, [("c", "v", "red serum")], [("v", "blue cream", "", [], "2023"), ("v", "red serum", "", [], "2024")])
+    assert [round(r["weighted_relevance"], 6) for r in relevance.relevance(comments, videos).collect()] == [1.0]
+    cosines = relevance.rowwise_cosine(comments, relevance.with_video_text(videos)).collect()
+    assert [round(r["cosine"], 6) for r in cosines] == [1.0]
+
+
+def test_relevance_counts_every_word_of_a_large_vocabulary(spark):
+    words = [f"w{i:05d}x" for i in range(60_000)]
+    rare = " ".join(f"rare{i}" for i in range(3))
+    videos = [(f"v{k}", " ".join(words[k * 1000:(k + 1) * 1000]), "", [], "2024") for k in range(60)]
+    comments, videos = _comment_video(spark, [("c", "z", rare)], [*videos, ("z", rare, "", [], "2024")])
+    assert round(relevance.relevance(comments, videos).first()["weighted_relevance"], 6) == 1.0
+
+
+def test_tables_of_any_size(spark, apply):
+    from resona.functions import text as T
+
+    lemmas = {f"form{i}": f"lemma{i}" for i in range(10_000)}
+    rows = spark.createDataFrame([(["Form9999", "form0", "other"],)], "t array<string>").select(T.lemmatize(F.col("t"), lemmas))
+    assert rows.first()[0] == ["lemma9999", "lemma0", "other"]
+
+
+def test_sentiment_shares_of_any_label(spark):
+    from resona.operators.report import report_sentiment_dist
+
+    df = spark.createDataFrame(
+        [("v", "POSITIVE"), ("v", "MIXED"), ("v", "MIXED"), ("w", "MIXED"), ("w", None)], "videoid string, sentiment_label string")
+    assert {tuple(r) for r in report_sentiment_dist(df).collect()} == {
+        ("v", "POSITIVE", 1 / 3), ("v", "MIXED", 2 / 3), ("w", "MIXED", 1.0)}
