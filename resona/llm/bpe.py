@@ -31,6 +31,7 @@ from resona.session import cut_lineage
 
 KNOWN_WORDS = 100_000  # most frequent distinct words: encoded once in Spark, looked up by all tasks
 LONG_WORD = 128  # bytes; longer words are merged through a heap
+HELD_WORDS = 200_000  # rare words whose ids a task keeps before it begins anew
 HELD_COUNTS = 200_000  # distinct words a task counts before it passes them on
 SHIFT = 1 << 20  # more than any id: entries of the literal are left id * SHIFT + joined id
 
@@ -282,23 +283,37 @@ def encode(
     @F.pandas_udf("array<int>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known, flat, ends, ranks, pairs = shared.value
-        split = regex.compile(pattern).findall
+        split, numbers = regex.compile(pattern).findall, None
         for batch in texts:
-            rare: dict[str, int] = {}
-            numbers = []
-            for text in batch:
-                numbers.append(np.array([
-                    known[w] if w in known else len(known) + rare.setdefault(w, len(rare))
-                    for w in split(text or "")
-                ], np.int64))
-            own = fold_words([w.encode() for w in rare], ranks, pairs)
-            both = np.concatenate([flat, *own]) if own else flat
-            limits = np.concatenate([ends, ends[-1] + np.cumsum([len(x) for x in own], dtype=np.int64)])
-            yield pd.Series([_gather(both, limits, n) for n in numbers])
+            if numbers is None or len(numbers) > len(known) + HELD_WORDS:
+                numbers, both, limits = _Numbers(known), flat, ends
+            found = [
+                np.fromiter(map(numbers.__getitem__, w), np.int64, len(w))
+                for w in (split(t or "") for t in batch)
+            ]
+            if numbers.new:
+                own = fold_words([w.encode() for w in numbers.new], ranks, pairs)
+                numbers.new.clear()
+                both = np.concatenate([both, *own])
+                limits = np.append(limits, limits[-1] + np.cumsum([len(x) for x in own]))
+            yield pd.Series([_gather(both, limits, n) for n in found])
 
     return docs.withColumn("ids", run(source))
 
 
+class _Numbers(dict):
+    """Numbers of words; a new word gets the next one and is listed in `new`."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__(known)
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 def _gather(flat: np.ndarray, limits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     """The stretches limits[k]..limits[k + 1] of `flat` for all numbers k, one after the other."""
     first, size = limits[numbers], limits[numbers + 1] - limits[numbers]
