@@ -58,6 +58,20 @@ BOILERPLATE = {
     "sponsored", "sponsors", "subnav", "subscribe", "subscription", "tagcloud", "teaser", "toolbar",
     "topbar", "widget", "widgets",
 }
+# Those that name texts of others, however long they are.
+OTHERS = {
+    "comment", "commentlist", "comments", "disqus", "recommendations", "recommended", "related", "replies",
+    "reply", "respond", "teaser", "promo", "promos", "promoted",
+}
+# Those that name notes of the site, which may be longer than a short article.
+NOTES = {
+    "ad", "adbox", "adblock", "ads", "adsense", "advert", "adverts", "advertisement", "advertisements",
+    "advertising", "consent", "cookie", "cookies", "gdpr", "sponsor", "sponsored", "sponsors",
+}
+# Inside an article, these name parts of it.
+OF_ARTICLE = {"header", "legal", "form"}
+# First and last words of names that tell how a page is laid out around such a part.
+LAYOUT_FIRST, LAYOUT_LAST = {"with", "without", "no", "has"}, {"open", "opened", "closed"}
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -85,57 +99,89 @@ def step(tag: str, given: dict[str, str]) -> str:
 
 
 def is_boilerplate(tag: str, given: dict[str, str], inside_article: bool) -> bool:
+    """Whether an element is no article text by its tag or because it is not shown."""
     if tag in NEVER or "hidden" in given or given.get("aria-hidden", "").lower() == "true":
         return True
     if tag == "header":
         return not inside_article
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", ""), re.I):
-        return True
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", ""), re.I))
+
+
+def boilerplate_words(tag: str, given: dict[str, str], inside_article: bool) -> set[str]:
+    """Words in the names of an element that speak against it."""
     if tag in ("html", "body", "main", "article"):
-        return "comment" in _named(given) and tag == "article"
+        return _named(given) & {"comment"} if tag == "article" else set()
+    if tag == "header":
+        return set()
+    found = _named(given) & BOILERPLATE
     if inside_article and tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "b", "i", "em", "strong", "span", "a"):
-        return bool(_named(given) & (BOILERPLATE - {"header", "banner", "legal", "search", "form"}))
-    return bool(_named(given) & BOILERPLATE)
+        return found - OF_ARTICLE - {"banner", "search"}
+    return found - OF_ARTICLE if inside_article else found
 
 
 def _named(given: dict[str, str]) -> set[str]:
+    found: set[str] = set()
+    for name in " ".join(given[key] for key in ("class", "id", "role") if key in given).split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        if len(words) < 2 or words[0] not in LAYOUT_FIRST and words[-1] not in LAYOUT_LAST:
+            found.update(words)
+    return found
+
+
+def dropped(
+    pieces: list[tuple[str, tuple[int, ...], bool]], named: dict[int, set[str]], holding: dict[int, set[str]],
+    framed: bool,
+) -> set[int]:
+    """Which of the elements with such names (`named`) to drop: not those that hold a main element, and,
+    if they don't name texts of others, not those that hold an article. Where no article or main element
+    has text outside them (`framed`), those that hold more than half of the text outside links stay too, unless
+    they name notes. `pieces` are (text, such elements around it, linked)."""
+    sizes, whole = dict.fromkeys(named, 0), 0
+    for text, around, linked in pieces:
+        if not linked and not any(named[n] & OTHERS for n in around):
+            whole += len(text.strip())
+            for n in around:
+                sizes[n] += len(text.strip())
     return {
-        w.lower() for key in ("class", "id", "role") if key in given for w in WORDS.findall(given[key])
+        n for n, words in named.items() if "main" not in holding[n] and (
+            words & OTHERS or not ("article" in holding[n] or not framed and not words & NOTES and 2 * sizes[n] > whole))
     }
 
 
 def blocks(source: str | None) -> list[Block]:
-    """Blocks of a page in order, without the parts that `is_boilerplate` names. Null has none."""
-    source, found, at = source or "", [], 0
+    """Blocks of a page in order, without the parts that `is_boilerplate` and `dropped` name; those of
+    `dropped` stay where nothing else is left. Null has none."""
+    source, at = source or "", 0
     open_tags: list[tuple[str, bool, bool]] = []  # tag, boilerplate (also above), inside an article
     path: list[tuple[str, int, int]] = []  # container step, its number, depth in open_tags
-    number = dropping = links = headings = linked = 0
-    text: list[str] = []
+    number = dropping = links = headings = 0
+    text: list[tuple[str, tuple[int, ...], bool]] = []  # piece, named elements around it, inside a link
+    pieces: list[tuple[list, tuple, tuple, bool]] = []
+    around: tuple[int, ...] = ()
+    depths: list[int] = []  # in open_tags, of the elements `around`
+    named: dict[int, set[str]] = {}
+    holding: dict[int, set[str]] = {}
 
     def flush() -> None:
-        nonlocal linked
-        whole = " ".join("".join(text).split())
-        if whole:
+        if any(t.strip() for t, _, _ in text):
             steps, nodes = tuple(p[0] for p in path), tuple(p[1] for p in path)
-            found.append(Block(whole, steps, nodes, linked, bool(headings)))
+            pieces.append((text.copy(), steps, nodes, bool(headings)))
         text.clear()
-        linked = 0
 
     def add(piece: str) -> None:
-        nonlocal linked
         if piece and not dropping:
-            piece = html.unescape(piece)
-            text.append(piece)
-            if links:
-                linked += len(piece.strip())
+            text.append((html.unescape(piece), around, links > 0))
 
     def close(depth: int) -> None:
-        nonlocal dropping, links, headings
+        nonlocal dropping, links, headings, around
         while len(open_tags) > depth:
             tag, drops, _ = open_tags.pop()
             if tag in BLOCK:
                 flush()
             dropping -= drops
+            if depths and depths[-1] >= len(open_tags):
+                depths.pop()
+                around = around[:-1]
             links -= tag == "a"
             headings -= tag in HEADING
             while path and path[-1][2] >= len(open_tags):
@@ -196,6 +242,13 @@ def blocks(source: str | None) -> list[Block]:
         if m[3].endswith("/") and tag not in BLOCK:
             continue
         number += 1
+        words = set() if drops else boilerplate_words(tag, given, inside)
+        if tag in ("article", "main") and not dropping and not words:
+            for n in around:
+                holding[n].add(tag)
+        if words:
+            around, named[number], holding[number] = (*around, number), words, set()
+            depths.append(len(open_tags))
         open_tags.append((tag, drops, inside or tag in ("article", "main")))
         dropping += drops
         links += tag == "a"
@@ -204,7 +257,19 @@ def blocks(source: str | None) -> list[Block]:
             path.append((step(tag, given), number, len(open_tags) - 1))
     close(0)
     flush()
-    return found
+
+    def built(without: set[int]) -> list[Block]:
+        kept = []
+        for own, steps, nodes, heading in pieces:
+            left = [p for p in own if without.isdisjoint(p[1])]
+            whole = " ".join("".join(p[0] for p in left).split())
+            if whole:
+                kept.append(Block(whole, steps, nodes, sum(len(p[0].strip()) for p in left if p[2]), heading))
+        return kept
+
+    framed = any(
+        s.split(".")[0] in ("article", "main") for own, steps, *_ in pieces if not all(p[1] for p in own) for s in steps)
+    return built(dropped([p for own, *_ in pieces for p in own], named, holding, framed)) or built(set())
 
 
 def host(url: str | None) -> str:

@@ -42,6 +42,28 @@ def test_edges(source, text):
     assert "\n".join(b.text for b in blocks(source)) == text
 
 
+@pytest.mark.parametrize("around", [
+    "div class='layout with-sidebar'", "div class=no-sidebar", "div id=page class=has-banner", "div class=menu-open", "div class=widget"])
+def test_wrappers_named_after_other_parts_keep_the_article(around):
+    body = "<article><h1>Title</h1><p>A text, with marks.</p></article>"
+    assert extract.text_of(blocks(page(f"<{around}>{body}<div class=sidebar>side</div></div>")), []) == "Title\nA text, with marks."
+    plain = f"<{around}><div class=x><p>{'A text, with marks. ' * 5}</p></div></div><div class=ad>Buy.</div>"
+    assert extract.text_of(blocks(page(plain)), []) == ("A text, with marks. " * 5).strip()
+
+
+def test_parts_of_an_article_and_pages_of_nothing_else():
+    inside = "<div class=post-header><h1>Title</h1></div><div class=legal><p>Law.</p></div><section class=form><p>Form.</p></section>"
+    assert extract.text_of(blocks(page(f"<article>{inside}<div class=ad>Buy.</div></article>")), []) == "Title\nLaw.\nForm."
+    assert extract.text_of(blocks("<div class=comments><p>All there is.</p></div>"), []) == "All there is."
+    thread = "<div class=comments><article class=comment><p>" + "I like it. " * 50 + "</p></article></div>"
+    assert extract.text_of(blocks(page(f"<article><p>Text.</p></article>{thread}")), []) == "Text."
+
+
+def test_a_long_advert_does_not_outweigh_a_short_article():
+    advert = "<div class=ad>" + "Buy this, and that. " * 20 + "</div><div class=widget>" + "Some long text, too. " * 20 + "</div>"
+    assert extract.text_of(blocks(page(f"{advert}<article><p>Short.</p></article>")), []) == "Short."
+
+
 def test_consensus_overrules_a_page(spark):
     usual = [page(f"<div class='story s{i}'><p>Real text, number {i}, of some length.</p></div><div class=more><p>x.</p></div>") for i in range(9)]
     odd = page("<div class='story s10'><p>Short.</p></div><div class=more><p>A far longer text, with marks, that is not the story here.</p></div>")
