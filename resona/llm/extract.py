@@ -2,8 +2,8 @@
 
 Each page's containers are scored by the text of the blocks they hold. The best one's path, tags with
 generalised classes, is the page's vote; votes are counted per host in Spark. A page is then extracted
-again from the containers on its host's winning paths, and only where none of those occurs in it from its
-own best container.
+again from the containers on its host's winning paths, and only where none of those holds a tenth of the
+points of its own best container from that one.
 """
 
 from collections.abc import Iterator
@@ -18,6 +18,7 @@ from resona.llm.htmltext import Block, blocks, host
 from resona.session import cut_lineage
 
 LEAST_SHARE = 0.2  # of a host's votes that a path needs to win, so at most five paths win
+OF_BEST = 0.1  # of the points of a page's own best container that a winning path needs to be used
 OUTER_WEIGHT = 0.8  # of a block's points that each container further out gets; 1 would favour the body
 POINTS_PER_MARK = 10
 
@@ -44,36 +45,49 @@ def best(page: list[Block]) -> tuple[tuple[str, ...], float]:
     """Path of the best container and its points; equal ones: the first in the page. No blocks: empty.
 
     The container with the most points is widened to the article element around it, or else outwards as
-    long as that adds a heading in front of it.
+    long as that adds a heading in front of it or text beside it (`belongs`).
     """
     total = scores(page)
     if not total:
         return (), 0.0
     chosen = max(total, key=lambda k: (total[k], [-n for n in k]))
     path = next(b.path for b in page if b.nodes[:len(chosen)] == chosen)
-    size = len(chosen)
-    article = next((i + 1 for i in range(size) if path[i].split(".")[0] == "article"), None)
+    size, tags = len(chosen), [s.split(".")[0] for s in path]
+    article = next((i + 1 for i in range(size) if tags[i] == "article"), None)
     if article:
         return path[:article], total[chosen]
     while size > 1 and path[size - 2].split(".")[0] in ("div", "main", "section"):
         around = [b for b in page if b.nodes[:size - 1] == chosen[:size - 1]]
         before = next(i for i, b in enumerate(around) if b.nodes[:size] == chosen[:size])
-        if not any(b.heading for b in around[:before]):
+        if not any(b.heading for b in around[:before]) and not belongs(around, chosen[:size], "main" in tags[:size - 1]):
             break
         size -= 1
     return path[:size], total[chosen]
 
 
+def belongs(around: list[Block], chosen: tuple[int, ...], in_main: bool) -> bool:
+    """Whether the blocks `around` a container but outside it are text, not links: each of the containers
+    beside it and all loose blocks; inside a main element one is enough."""
+    beside: dict[int, float] = {}
+    size = len(chosen)
+    for b in around:
+        if b.nodes[:size] != chosen:
+            part = b.nodes[size - 1] if len(b.nodes) >= size else 0
+            beside[part] = beside.get(part, 0.0) + points(b)
+    return bool(beside) and (any if in_main else all)(p > 0 for p in beside.values())
+
+
 def text_of(page: list[Block], winners: list[str]) -> str:
-    """Text on the winning path with the most points in this page; without one, of its best container."""
+    """Text on the winning path with the most points in this page, if they are at least OF_BEST of those of its
+    best container; without one, of that."""
     total, by_path = scores(page), {}
     for block in page:
         for depth in range(1, len(block.nodes) + 1):
             by_path.setdefault(" ".join(block.path[:depth]), set()).add(block.nodes[:depth])
     present = [w for w in winners if w in by_path]
-    if present:
-        path = max(present, key=lambda w: (sum(total[n] for n in by_path[w]), -winners.index(w)))
-    else:
+    worth = {w: sum(total[n] for n in by_path[w]) for w in present}
+    path = max(present, key=lambda w: (worth[w], -winners.index(w)), default=None)
+    if path is None or worth[path] < OF_BEST * max(total.values()):
         path = " ".join(best(page)[0])
     if not path:
         return "\n".join(b.text for b in page)

@@ -64,6 +64,21 @@ def test_a_long_advert_does_not_outweigh_a_short_article():
     assert extract.text_of(blocks(page(f"{advert}<article><p>Short.</p></article>")), []) == "Short."
 
 
+def test_a_small_box_on_a_winning_path_does_not_replace_the_article():
+    body = "A long enough text, with marks. " * 20
+    source = page(f"<div class=post><p>Box.</p></div><div class=story><p>{body}</p></div>")
+    assert extract.text_of(blocks(source), ["body div.post"]) == body.strip()
+
+
+def test_text_beside_the_largest_block_belongs_to_it():
+    body = "A long enough text, with marks. " * 20
+    parts = f"<p>Intro.</p><div class=lead><p>Lead text.</p></div><div class=body><p>{body}</p></div>"
+    links = "<div class=more><a href=x>One</a> <a href=y>Two</a></div>"
+    for around, text in (("main", parts + links), ("div", parts)):
+        assert extract.text_of(blocks(page(f"<{around}>{text}</{around}>")), []).startswith(f"Intro.\nLead text.\n{body.strip()}")
+    assert extract.text_of(blocks(page(f"<div>{links}<div class=body><p>{body}</p></div></div>")), []) == body.strip()
+
+
 def test_consensus_overrules_a_page(spark):
     usual = [page(f"<div class='story s{i}'><p>Real text, number {i}, of some length.</p></div><div class=more><p>x.</p></div>") for i in range(9)]
     odd = page("<div class='story s10'><p>Short.</p></div><div class=more><p>A far longer text, with marks, that is not the story here.</p></div>")
