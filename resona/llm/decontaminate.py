@@ -2,9 +2,10 @@
 
 The index is split by documents: each shard holds the postings of its documents, a sorted position list
 per term, where positions run through the shard's documents one after the other. It is stored as a table
-with one row per shard. A search hands a block of phrases to every shard; a shard starts with the
-rarest term of a phrase and intersects the lists of the other terms, moved by their offsets, in
-ascending order of length. Only terms that some phrase uses get a posting list.
+with one row per shard. The distinct phrases of the benchmark are a stored table too, in blocks, and every
+block meets every shard in Spark; a shard starts with the rarest term of a phrase and intersects the
+lists of the other terms, moved by their offsets, in ascending order of length. Terms are 64-bit hashes of
+words. Only terms that some phrase uses, and the few others that pass a bitmap of them, get a posting list.
 """
 
 import re
@@ -12,21 +13,26 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resona.llm.common import as_id, as_text, bounded_batches, col, read
+from resona.llm.passages import Membership
 from resona.session import cut_lineage
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 13
 SHARD_WORDS = 400_000  # a shard is closed once it holds so many words; a longer document has one alone
-BLOCK_BYTES = 8_000_000  # benchmark text handed to all shards at once
+BLOCK_BYTES = 8_000_000  # text of the windows in one block
 
 SHARD = (
-    "docs array<long>, starts array<int>, terms array<int>, offsets array<int>, positions array<int>"
+    "shard long, starts array<int>, terms array<long>, offsets array<int>, positions array<int>, "
+    "ids array<string>, keys array<long>, sizes array<int>"
 )
-HITS = "doc int, first int, last int, phrase int, near boolean"
+PHRASES = "phrases array<array<long>>, owners array<array<string>>"
+HITS = "shard long, doc int, hits array<struct<first:int,last:int,items:array<string>,near:boolean>>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -40,22 +46,20 @@ def windows(tokens: list[bytes], size: int = WINDOW) -> set[tuple[bytes, ...]]:
     return set(zip(*(tokens[i:] for i in range(size)))) if size else set()
 
 
-def post(documents: Iterable[tuple[int, list[bytes]]], ids: dict[bytes, int]) -> dict | None:
-    """The index row of one shard: documents as (row number, words), terms by `ids`."""
-    docs, starts, parts, at, look = [], [0], [], 0, ids.get
-    for row, tokens in documents:
-        parts.append(np.fromiter((look(t, -1) for t in tokens), np.int32, len(tokens)))
-        at += len(tokens)
-        docs.append(row)
-        starts.append(at)
-    if not docs:
-        return None
-    terms = np.concatenate(parts)
-    positions = np.flatnonzero(terms >= 0)
+def hashed(tokens: Iterable[bytes], size: int) -> np.ndarray:
+    """64-bit hashes of `size` words."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, size).view(np.int64)
+
+
+def post(documents: list[np.ndarray], known: Membership) -> dict:
+    """The index columns of one shard: documents as terms, those of `known` with a posting list."""
+    starts = np.cumsum([0, *map(len, documents)])
+    terms = np.concatenate(documents)
+    positions = np.flatnonzero(known.has(terms))
     order = np.argsort(terms[positions], kind="stable")
     positions = positions[order].astype(np.int32)
     used, first = np.unique(terms[positions], return_index=True)
-    return {"docs": docs, "starts": starts, "terms": used, "positions": positions,
+    return {"starts": starts, "terms": used, "positions": positions,
             "offsets": np.append(first, len(positions)).astype(np.int32)}
 
 
@@ -121,17 +125,37 @@ def covering(postings, phrase: list[int], centre: int, low: int, high: int, reac
     return None
 
 
-def blocks(rows: Iterable, limit: int) -> Iterator[list]:
-    """Rows (item, text) in lists of about `limit` bytes of text."""
-    block, held = [], 0
-    for row in rows:
-        block.append(row)
-        held += len(row[1])
-        if held >= limit:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
+def phrase_rows(items: DataFrame, window: int) -> DataFrame:
+    """(phrase, items): the distinct windows of the rows (item, text), and the ids of the items that have them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for item, text in zip(batch["item"], batch["text"]):
+                found = [b" ".join(w).decode() for w in windows(words(text), window)]
+                yield pd.DataFrame({"phrase": found, "item": [item] * len(found)}, dtype=object)
+
+    return items.mapInPandas(run, "phrase string, item string").groupBy("phrase").agg(
+        F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def phrase_blocks(phrases: DataFrame, limit: int) -> DataFrame:
+    """PHRASES: rows of about `limit` bytes of windows each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, owners, held = [], [], 0
+        for batch in batches:
+            for phrase, items in zip(batch["phrase"], batch["items"]):
+                tokens = phrase.encode().split(b" ")
+                block.append(hashed(tokens, len(tokens)).tolist())
+                owners.append(list(items))
+                held += len(phrase) + sum(map(len, items))
+                if held >= limit:
+                    yield pd.DataFrame({"phrases": [block], "owners": [owners]})
+                    block, owners, held = [], [], 0
+        if block:
+            yield pd.DataFrame({"phrases": [block], "owners": [owners]})
+
+    return phrases.mapInPandas(run, PHRASES)
 
 
 def occurrences(
@@ -143,79 +167,65 @@ def occurrences(
     of (first, last, items, near): word positions of each match of a benchmark window and the items that
     have that window.
 
-    The benchmark passes through the driver in blocks of `block_bytes`, whatever its size; each block
-    is searched in all documents. Null texts have no words, null item texts and ids no windows, empty
-    tables give no rows or no hits. Repeated rows are kept; other columns are not read.
+    The windows of the benchmark are stored in blocks of about `block_bytes`, and every block meets every
+    shard of the documents, which are read and indexed once; the driver holds no text, only a bitmap of terms.
+    Null texts have no words, null item texts and ids no windows, empty tables give no rows or no hits.
+    Repeated rows are kept; other columns are not read.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     source = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
-    items = benchmark.select(col(item_id).alias("item_id"), col(item_text).alias("text")).dropna()
-    found = [
-        _search(source, block, window, slack) for block in blocks(items.toLocalIterator(), block_bytes)
-    ] or [_search(source, [], window, slack)]
-    if len(found) == 1:
-        return found[0]
-    whole = found[0].withColumn("block", F.lit(0))
-    for number, more in enumerate(found[1:], 1):
-        whole = whole.unionByName(more.withColumn("block", F.lit(number)))
-    row = ["doc_id", "key", "n_words"]
-    once = whole.groupBy(*row, "block").agg(F.first("hits").alias("hits"), F.count("*").alias("copies"))
-    return (
-        once.groupBy(*row).agg(F.flatten(F.collect_list("hits")).alias("hits"), F.max("copies").alias("copies"))
-        .withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select(*row, "hits")
-    )
+    items = benchmark.select(col(item_id).cast("string").alias("item"), col(item_text).alias("text")).dropna()
+    phrases = cut_lineage(phrase_rows(items, window))
 
+    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            used = {t for phrase in batch["phrase"] for t in phrase.encode().split(b" ")}
+            yield pd.DataFrame({"term": hashed(used, len(used))})
 
-def _search(source: DataFrame, block: list, window: int, slack: int | None) -> DataFrame:
-    by_phrase: dict[tuple, set[str]] = {}
-    for item, text in block:
-        for phrase in windows(words(text), window):
-            by_phrase.setdefault(phrase, set()).add(str(item))
-    ids: dict[bytes, int] = {}
-    phrases = [[ids.setdefault(t, len(ids)) for t in phrase] for phrase in by_phrase]
-    owners = [sorted(x) for x in by_phrase.values()]
+    used = cut_lineage(phrases.select("phrase").mapInPandas(terms, "term long").distinct())
+    known = spark.sparkContext.broadcast(Membership.of(used, "term"))
+    blocks = cut_lineage(phrase_blocks(phrases, block_bytes))
 
-    def index(batches):
-        held, count, ids_of, sizes, keys = [], 0, [], [], []
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, count, ids, keys, number = [], 0, [], [], TaskContext.get().partitionId() << 32
 
-        def closed():
-            row = post(held, ids)
-            return pd.DataFrame([row | {"ids": list(ids_of), "keys": list(keys), "sizes": list(sizes)}])
+        def closed() -> pd.DataFrame:
+            return pd.DataFrame([post(held, known.value) | {
+                "shard": number, "ids": list(ids), "keys": list(keys), "sizes": [len(t) for t in held]}])
 
         for batch in batches:
             for doc, key, text in zip(batch["doc_id"], batch["key"], batch["text"]):
                 tokens = words(text)
-                held.append((len(held), tokens))
-                ids_of.append(doc)
+                held.append(hashed(tokens, len(tokens)))
+                ids.append(doc)
                 keys.append(key)
-                sizes.append(len(tokens))
                 count += len(tokens)
                 if count >= SHARD_WORDS:
                     yield closed()
-                    held, count, ids_of, sizes, keys = [], 0, [], [], []
+                    held, count, ids, keys, number = [], 0, [], [], number + 1
         if held:
             yield closed()
 
-    def search(batches):
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard in batch.itertuples():
                 hits: dict[int, list] = {}
-                for doc, first, last, phrase, near in lookup(shard, phrases, slack):
-                    hits.setdefault(doc, []).append((first, last, owners[phrase], near))
-                yield pd.DataFrame({
-                    "doc_id": list(shard.ids), "key": shard.keys,
-                    "n_words": shard.sizes, "hits": [hits.get(i, []) for i in range(len(shard.ids))],
-                })
+                for doc, first, last, phrase, near in lookup(shard, [p.tolist() for p in shard.phrases], slack):
+                    hits.setdefault(doc, []).append((first, last, list(shard.owners[phrase]), near))
+                if hits:
+                    yield pd.DataFrame(
+                        {"shard": [shard.shard] * len(hits), "doc": list(hits), "hits": list(hits.values())})
 
     rows = source.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("doc_id", as_text("doc_id"))
-    stored = cut_lineage(rows.select("doc_id", "key", "text").mapInPandas(
-        index, f"{SHARD}, ids array<string>, keys array<long>, sizes array<int>"
-    ))
-    return stored.mapInPandas(
-        search, "doc_id string, key long, n_words int, "
-        "hits array<struct<first:int,last:int,items:array<string>,near:boolean>>"
-    ).withColumn("doc_id", as_id("doc_id"))
+    stored = cut_lineage(rows.select("doc_id", "key", "text").mapInPandas(index, SHARD))
+    lists = stored.select("shard", "starts", "terms", "offsets", "positions")
+    found = lists.crossJoin(blocks.hint("shuffle_replicate_nl")).mapInPandas(search, HITS).groupBy("shard", "doc").agg(
+        F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    each = stored.select("shard", F.posexplode(F.arrays_zip("ids", "keys", "sizes")).alias("doc", "row"))
+    return each.join(found, ["shard", "doc"], "left").select(
+        F.col("row.ids").cast("long").alias("doc_id"), F.col("row.keys").alias("key"), F.col("row.sizes").alias("n_words"),
+        F.coalesce("hits", F.array().cast("array<struct<first:int,last:int,items:array<string>,near:boolean>>")).alias("hits"))
 
 
 def judged(matches: DataFrame) -> DataFrame:

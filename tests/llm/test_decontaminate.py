@@ -48,6 +48,21 @@ def test_brute_force(spark, docs):
         assert found == expected and len(rows) == len(texts)
 
 
+def test_no_benchmark_text_passes_through_the_driver(spark, docs, monkeypatch):
+    texts, items = cases()
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+
+    def refused(*_, **__):
+        raise AssertionError("rows sent to the driver")
+
+    with monkeypatch.context() as patch:
+        for name in ("toLocalIterator", "collect", "toPandas"):
+            patch.setattr(type(benchmark), name, refused)
+        matches = d.occurrences(docs(*enumerate(texts)), benchmark, block_bytes=500)
+    found = {r.doc_id: r.n_hit for r in d.judged(matches).collect()}
+    assert found == {i: brute(t, items)[1] for i, t in enumerate(texts)}
+
+
 def test_null_ids_repeated_rows_and_empty_tables(spark, docs):
     benchmark = spark.createDataFrame([(1, "short item")], "item_id long, text string")
     frame = docs((None, "short item"), (2**60 + 1, "short item"), (2**60 + 1, "short item"), (3, "clean"))
