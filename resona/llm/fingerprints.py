@@ -3,7 +3,7 @@
 Each paragraph becomes a wide vector and a document's fingerprint is the sum of its paragraphs' vectors,
 lane by lane modulo a power of two. The order of paragraphs does not matter, and adding or subtracting
 the vector of a paragraph inserts or deletes it. The vector has two parts: four 64-bit lanes, hashes of
-the whole paragraph, which tell documents apart; and 256 lanes of 16 bits, the sum of +1/-1 vectors of
+the whole paragraph, which tell documents apart; and 256 lanes of 32 bits, the sum of +1/-1 vectors of
 the paragraph's word triples, whose differences estimate how much two documents share.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from resona.llm.common import as_id, as_text, bounded_batches, col, read
 
 EXACT = 4  # 64-bit lanes modulo 2**64
-LANES = 256  # 16-bit lanes modulo 2**16
+LANES = 256  # 32-bit lanes modulo 2**32
 SHINGLE = 3
 MAX_PARTS = 4096  # parts are streamed in order, so their size is not a question of memory
 PARTS_PER_PARTITION = 3  # evens out what each shuffle partition gets
@@ -76,7 +76,7 @@ class Fingerprint:
                                  for k in range(LANES // 64)], axis=1)
             ones = np.unpackbits(bits.view(np.uint8).reshape(len(block), -1), axis=1)
             total += 2 * ones.sum(axis=0, dtype=np.int32) - len(block)
-        return total.astype(np.uint16)
+        return total.astype(np.uint32)
 
     def __add__(self, other: "Fingerprint") -> "Fingerprint":
         """Insert the paragraphs of another fingerprint."""
@@ -93,14 +93,14 @@ class Fingerprint:
         return hash(self.hex())
 
     def hex(self) -> str:
-        return self.exact.astype(">u8").tobytes().hex() + self.lanes.astype(">u2").tobytes().hex()
+        return self.exact.astype(">u8").tobytes().hex() + self.lanes.astype(">u4").tobytes().hex()
 
     def likeness(self, other: "Fingerprint") -> float:
         """Share of common word triples (2 * common / all), estimated from the lanes; 1 if equal."""
         if (self.exact == other.exact).all():
             return 1.0
-        a, b = (x.lanes.view(np.int16).astype(float) for x in (self, other))
-        difference = (self.lanes - other.lanes).view(np.int16).astype(float)
+        a, b = (x.lanes.view(np.int32).astype(float) for x in (self, other))
+        difference = (self.lanes - other.lanes).view(np.int32).astype(float)
         size = a @ a + b @ b
         return float(np.clip(1 - difference @ difference / size, 0, 1)) if size else 0.0
 

@@ -53,3 +53,10 @@ def test_likeness_follows_the_common_part():
     for share in (0.0, 0.25, 0.5, 0.75):
         kept = words[:int(2000 * share)] + [f"v{i}" for i in range(2000 - int(2000 * share))]
         assert abs(whole.likeness(fp.Fingerprint.of(" ".join(kept))) - share) < 0.3
+
+
+def test_long_repetitive_texts_without_common_words_are_not_alike():
+    of = fp.Fingerprint.of
+    assert of("one " * 20_000).likeness(of("two " * 20_000)) < 0.3
+    lines = [" ".join(f"{c}{i}" for i in range(100)) for c in "ab"]
+    assert of("\n".join([lines[0]] * 3000)).likeness(of("\n".join([lines[1]] * 3000))) < 0.3
