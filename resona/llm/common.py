@@ -26,6 +26,17 @@ def as_id(name: str) -> Column:
     return col(name).cast("long")
 
 
+def scratch(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of `df` has, whatever the case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Hand Python workers at most BATCH_ROWS rows at once: texts are long, and a batch is held whole.
     A smaller setting of the session stays."""

@@ -4,7 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from resona.llm import bpe, decontaminate, extract, fingerprints, language, passages, quality, simhash, toxicity, urls
+from resona.llm import (
+    bpe, decontaminate, extract, fingerprints, language, passages, quality, simhash, tokens, toxicity, urls,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_passages": passages.op8,
         "op9_toxicity": toxicity.op9,
         "op10_extract": extract.op10,
+        "op12_token_counts": tokens.op12,
     }
 
 
