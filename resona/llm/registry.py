@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from resona.llm import (
-    bpe, decontaminate, extract, fingerprints, language, passages, quality, simhash, tokens, toxicity, urls,
+    bpe, codes, decontaminate, extract, fingerprints, language, passages, quality, simhash, tokens, toxicity, urls,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,9 @@ def queries() -> dict[str, Query]:
         "op9_toxicity": toxicity.op9,
         "op10_extract": extract.op10,
         "op12_token_counts": tokens.op12,
+        "op13_vector_codes": codes.op13,
     }
 
 
 def statements() -> dict[str, str]:
-    return {"op4_urls": urls.SQL}
+    return {"op4_urls": urls.SQL, "op13_vector_codes": codes.SQL}
