@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from resona.llm import (
-    bpe, codes, decontaminate, extract, fingerprints, language, passages, quality, simhash, tokens, toxicity, urls,
+    bpe, codes, conversations, decontaminate, extract, fingerprints, language, passages, quality, simhash, tokens, toxicity, urls,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_passages": passages.op8,
         "op9_toxicity": toxicity.op9,
         "op10_extract": extract.op10,
+        "op11_conversations": conversations.op11,
         "op12_token_counts": tokens.op12,
         "op13_vector_codes": codes.op13,
     }
