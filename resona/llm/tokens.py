@@ -7,17 +7,24 @@ So a boundary that the scan of one chunk finds at least `margin` before its end,
 next chunk finds too, is a boundary of the whole text, and behind it both scans go the same way: there
 the two are spliced. Boundaries between tokens of one word prove nothing and are not used.
 
+The library's own cutting into words takes most of its time, so a task cuts texts by the same pattern and asks the
+library for each distinct word once, as long as it remembers it. Texts with special strings, or with code points that
+are too new for all tables of letters to agree on, go to the library whole.
+
 Chunks of a huge document are encoded in different tasks; each tells its boundaries in the overlaps with the
 number of tokens before them. Where an overlap has no common boundary, the document is done again with
 wider chunks and overlaps, at last as one chunk.
 """
 
 import json
+import sys
+import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +35,12 @@ CHUNK = 1 << 15  # code points; longer texts are cut
 OVERLAP = 256  # code points that a chunk reads of the next one at first
 WIDER = 8  # times wider chunks and overlaps after a failed alignment
 LIMIT = 1024  # tokens of a context, for over_limit
+HELD_WORDS = 400_000  # words whose number of tokens a task remembers before it begins anew
+
+UNSURE = -(1 << 40)  # instead of the number of tokens, for words that not all tables cut alike
+
+# Fixed value: the pattern by which byte-level tokenizers cut words.
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 ENDS = "row long, k long, last boolean, total long, head array<long>, head_n array<long>, tail array<long>, tail_n array<long>"
 
@@ -65,6 +78,53 @@ def boundaries(made, text: str) -> tuple[np.ndarray, np.ndarray, int]:
     return np.array([offsets[i][0] for i in first], np.int64), first, len(words)
 
 
+@cache
+def unassigned() -> frozenset[str]:
+    """The code points without a meaning in this Python's Unicode version, which newer tables may call letters."""
+    return frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cn")
+
+
+class Counter(dict):
+    """Numbers of tokens by word, as the library gives them."""
+
+    def __init__(self, source: str):
+        super().__init__()
+        self.made = tokenizer(source)
+        self.plain = margin(source) is not None
+        self.special = [a["content"] for a in json.loads(source).get("added_tokens") or []]
+        self.split = regex.compile(WORDS).findall
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= HELD_WORDS:
+            self.clear()
+        known = word.isascii() or unassigned().isdisjoint(word)
+        n = self[word] = len(self.made.encode(word, add_special_tokens=False)) if known else UNSURE
+        return n
+
+    def words(self, text: str) -> list[str] | None:
+        """The words of a text; None if only the library can tell them."""
+        return self.split(text) if self.plain and not any(s in text for s in self.special) else None
+
+    def count(self, text: str) -> int:
+        words = self.words(text)
+        total = UNSURE if words is None else sum(map(self.__getitem__, words))
+        return total if total >= 0 else len(self.made.encode(text, add_special_tokens=False))
+
+    def boundaries(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
+        words = self.words(text)
+        counts = [UNSURE] if words is None else [0, *map(self.__getitem__, words)]
+        if min(counts) < 0:
+            return boundaries(self.made, text)
+        place, before = np.cumsum([0, *map(len, words)]), np.cumsum(counts)
+        return place[:-1], before[:-1], int(before[-1])
+
+
+@lru_cache(1)
+def counter_of(source: str) -> Counter:
+    """One per worker: what it remembers serves all its tasks."""
+    return Counter(source)
+
+
 def cut(texts: DataFrame, size: int, overlap: int) -> DataFrame:
     """(row, k, last, start, piece): the chunks of (row, text), each with the overlap behind it."""
 
@@ -92,11 +152,11 @@ def counted(texts: DataFrame, source: str, size: int, overlap: int, behind: int)
     shared = spark.sparkContext.broadcast(source)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = tokenizer(shared.value)
+        counter = counter_of(shared.value)
         for batch in batches:
             out = []
             for row, k, last, start, piece in batch.itertuples(index=False, name=None):
-                place, before, total = boundaries(made, piece)
+                place, before, total = counter.boundaries(piece)
                 head = place < overlap
                 tail = (place >= size) & (place <= len(piece) - behind)
                 out.append((row, k, last, total, place[head] + start, before[head], place[tail] + start, before[tail]))
@@ -135,9 +195,9 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", chunk: int = CH
 
     @F.pandas_udf("long")
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        made = tokenizer(shared.value)
+        counter = counter_of(shared.value)
         for batch in batches:
-            yield pd.Series([len(made.encode(t, add_special_tokens=False)) if t else 0 for t in batch], dtype="int64")
+            yield pd.Series([counter.count(t) if t else 0 for t in batch], dtype="int64")
 
     names = [c for c in docs.columns if c.lower() not in ("n_bytes", "n_tokens")]
     (row,) = scratch(docs, "row")

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -55,6 +56,34 @@ def test_common_boundaries_are_those_of_the_whole_text(text):
                 assert true[p] == left[p] and left[p] + right_all - n == total
 
 
+def test_words_are_cut_as_by_the_library_for_all_code_points():
+    """Every code point that this Python knows, behind a letter, a number and a sign; others are left to the library."""
+    counter = tokens.Counter(SOURCE)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c) not in tokens.unassigned()]
+    assert len(points) > 280_000 and "\u0378" in tokens.unassigned()
+    for at in range(0, len(points), 4000):
+        text = "".join(f"a{chr(c)}1{chr(c)}!{chr(c)}x " for c in points[at:at + 4000])
+        ends = [b for _, (_, b) in LIBRARY.pre_tokenizer.pre_tokenize_str(text)]
+        assert np.cumsum([len(w) for w in counter.words(text)]).tolist() == ends
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60) | st.lists(st.sampled_from(["'", "ll", " ", "\n", "a", "é", "<|endoftext|>", "\u0378"])).map("".join))
+def test_remembered_words_count_as_in_the_library(text):
+    counter = tokens.Counter(SOURCE)
+    assert counter.count(text) == library(text)
+    place, before, total = counter.boundaries(text)
+    expected = tokens.boundaries(LIBRARY, text)
+    assert (place.tolist(), before.tolist(), total) == (expected[0].tolist(), expected[1].tolist(), expected[2])
+
+
+def test_a_task_remembers_so_many_words_only(monkeypatch):
+    monkeypatch.setattr(tokens, "HELD_WORDS", 3)
+    counter = tokens.Counter(SOURCE)
+    text = "one two three four five one"
+    assert counter.count(text) == library(text) and len(counter) <= 3
+
+
 def test_tokenizers_without_provable_boundaries_encode_texts_whole(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     assert tokens.margin(open(path, encoding="utf-8").read()) is None
