@@ -1,12 +1,12 @@
 """The DuckDB statement of every registered query that SQL can express."""
 
+from oracle import clusters as K
 from oracle import text as X
 from oracle.base import COMMENTS, STAR, VIDEOS, lit, query, values
 from resona.functions import patterns as P
 from resona.functions import rules as R
 from resona.functions import words as W
 from resona.functions.guard import BANNED_WORDS
-from resona.operators.clustering import PROTOTYPES
 from resona.operators.kpi import CHART_CATEGORIES
 from resona.plans.catalogue import DESCRIPTIONS, GIVEN_REFERENCES, GIVEN_TABLES
 from resona.plans.metrics import METRICS
@@ -104,13 +104,6 @@ def parts(source):
       + 0.2::DOUBLE * sentiment_part + 0.15::DOUBLE * influence_part AS product_resonance_score FROM prs_parts)"""
 
 
-SCORED = [COMMENTS, *TEXT_VIDEOS, *relevances(), *SPAM, SENTIMENT, *ACTION, """stages AS MATERIALIZED (
-  SELECT c.commentid, c.videoid, c.channelid, c.commentpublishedat, c.commentlikes, c.commenttext, c.cluster_label,
-    s.spam_score, s.spam_score >= 0.3 AS is_spam, w.weighted_relevance, w.weighted_relevance >= 0.3 AS is_relevant,
-    t.sentiment_label, t.sentiment_score, a.actionability_score, a.actionability_label
-  FROM comments c JOIN spam s USING (commentid) JOIN weighted w USING (commentid)
-    JOIN sentiments t USING (commentid) JOIN action a USING (commentid))""", parts("stages")]
-
 TOKENS = [f"ct0 AS MATERIALIZED (SELECT commentid, cluster_label, {X.clean_cluster('commenttext')} AS cleaned FROM comments)",
           f"ct1 AS MATERIALIZED (SELECT commentid, cluster_label, {X.short_out(X.slang(X.tokens('cleaned')))} AS tk FROM ct0)",
           f"ct AS MATERIALIZED (SELECT commentid, cluster_label, {X.lemmas(X.meaningless_out(X.stop_out('tk')))} AS tokens FROM ct1)"]
@@ -145,12 +138,12 @@ FILTERED = [*TFIDF, BOOSTED,
             "ft0 AS MATERIALIZED (SELECT commentid, cluster_label, [t FOR t IN tokens IF list_contains(l, t)] AS tokens FROM ct, kept)",
             "ft AS MATERIALIZED (SELECT *, CASE WHEN len(tokens) = 0 THEN '<empty>' ELSE array_to_string(tokens, ' ') END AS textcleaned FROM ft0)",
             "valid AS MATERIALIZED (SELECT * FROM ft WHERE length(textcleaned) >= 10 AND textcleaned <> '<empty>')"]
-LABELS = [f"""proto_hits AS (SELECT cluster_label, """ + ", ".join(
-    f"sum(len([t FOR t IN tokens IF list_contains({X.listed(t.split())}, t)])) / sqrt({len(t.split())}.0::DOUBLE) AS h{i}"
-    for i, t in enumerate(PROTOTYPES.values())) + " FROM valid GROUP BY cluster_label)",
-    "labels_of AS MATERIALIZED (SELECT cluster_label, CASE WHEN greatest(h0, h1, h2, h3, h4) <= 0 THEN 'others' "
-    + " ".join(f"WHEN h{i} = greatest(h0, h1, h2, h3, h4) THEN {lit(n)}" for i, n in enumerate(PROTOTYPES))
-    + " END AS category FROM proto_hits)"]
+SCORED = [*FILTERED, *K.LABELLED, *TEXT_VIDEOS, *relevances(), *SPAM, SENTIMENT, *ACTION, """stages AS MATERIALIZED (
+  SELECT c.commentid, c.videoid, c.channelid, c.commentpublishedat, c.commentlikes, c.commenttext, g.cluster_label,
+    s.spam_score, s.spam_score >= 0.3 AS is_spam, w.weighted_relevance, w.weighted_relevance >= 0.3 AS is_relevant,
+    t.sentiment_label, t.sentiment_score, a.actionability_score, a.actionability_label
+  FROM comments c JOIN spam s USING (commentid) JOIN weighted w USING (commentid)
+    JOIN sentiments t USING (commentid) JOIN action a USING (commentid) JOIN category_label g USING (commentid))""", parts("stages")]
 
 VECTORS = ["""cells AS MATERIALIZED (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)""",
            "centre AS MATERIALIZED (SELECT label, i, avg(x) AS c FROM cells GROUP BY ALL)"]
@@ -412,8 +405,12 @@ def statements() -> dict[str, str]:
     out["cluster_representatives"] = query([*VECTORS, """ranked AS (SELECT label, vec_id, distance, row_number() OVER (PARTITION BY label ORDER BY round(distance, 9), vec_id) AS rank
         FROM (SELECT label, vec_id, sqrt(sum((x - c) ** 2)) AS distance FROM cells JOIN centre USING (label, i) GROUP BY ALL))"""],
         "SELECT label, vec_id, CAST(rank AS INTEGER) AS rank, distance FROM ranked WHERE rank <= 3", doubles=["distance"])
-    out["label_cluster"] = query([*FILTERED, *LABELS], "SELECT cluster_label, category FROM labels_of")
-    out["apply_cluster_label"] = query([*FILTERED, *LABELS], "SELECT commentid, CASE WHEN v.commentid IS NULL THEN 'others' ELSE coalesce(category, 'others') END AS cluster_label FROM ft LEFT JOIN valid v USING (commentid) LEFT JOIN labels_of l ON l.cluster_label = v.cluster_label")
+    given_labels = [*FILTERED, *K.TEXTS, *K.GIVEN, *K.CATEGORY]
+    out["label_cluster"] = query(given_labels, "SELECT cluster AS cluster_label, category FROM category_of")
+    out["apply_cluster_label"] = query(given_labels, "SELECT commentid, coalesce(category, 'others') AS cluster_label FROM ft LEFT JOIN clustered USING (commentid) LEFT JOIN category_of USING (cluster)")
+    out["kmeans"] = query([*FILTERED, *K.TEXTS, *K.fitted([3])], "SELECT textcleaned, w AS weight, CAST(j AS INTEGER) AS cluster FROM dt JOIN own USING (p)", doubles=["weight"])
+    out["choose_k"] = query([*FILTERED, *K.TEXTS, *K.CHOICE], "SELECT CAST(s.k AS INTEGER) AS k, score, s.k = pick.k AS chosen FROM scores s, pick", doubles=["score"], flags=["chosen"])
+    out["product_clusters"] = query([*FILTERED, *K.LABELLED], "SELECT commentid, cluster_label FROM category_label")
 
     # Resonance score
     given_parts = [COMMENTS, parts("comments")]

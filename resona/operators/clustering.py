@@ -1,36 +1,42 @@
 """Product categories: clean tokens, TF-IDF vectors, k-means, and a category per cluster."""
 
+import json
+import math
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from resona.functions import text as T
 from resona.functions import words
-from resona.operators import tfidf
+from resona.operators import kmeans, tfidf
 from resona.plans.skew import broadcast_checked
 from resona.session import cut_lineage
 
 EMPTY = "<empty>"
 OTHERS = "others"
 SEED = 42
-RESTARTS = 10
+RESTARTS = kmeans.RESTARTS
 MAX_K = 6
+REPRESENTATIVES = 3
 STOP_WORDS = words.ENGLISH_STOP_WORDS + words.PRODUCT_STOP_WORDS
 
 # Category names are fixed values; the word lists stand in for a zero-shot text classifier.
 PROTOTYPES = {
-    "Cosmetics (Eye & Lip)": "lipstick lip lips mascara eyeliner eyeshadow eye eyes lash lashes gloss",
-    "Hair treatment": "hair shampoo conditioner curl curls wig cheveux scalp braid dye",
-    "Make Up": "makeup foundation concealer blush primer powder palette brush contour",
-    "Physical appearance": "face body beautiful look figure smile skin weight tall outfit",
-    "Skin care": "serum cream toner skincare spf moisturizer cleanser acne texture mask",
+    "Cosmetics (Eye & Lip)": [
+        "lipstick", "lip", "lips", "mascara", "eyeliner", "eyeshadow", "eye", "eyes", "lash", "lashes", "gloss",
+    ],
+    "Hair treatment": ["hair", "shampoo", "conditioner", "curl", "curls", "wig", "cheveux", "scalp", "braid", "dye"],
+    "Make Up": ["makeup", "foundation", "concealer", "blush", "primer", "powder", "palette", "brush", "contour"],
+    "Physical appearance": ["face", "body", "beautiful", "look", "figure", "smile", "skin", "weight", "tall", "outfit"],
+    "Skin care": [
+        "serum", "cream", "toner", "skincare", "spf", "moisturizer", "cleanser", "acne", "texture", "mask",
+    ],
 }
 
 
@@ -93,35 +99,6 @@ def distinct_texts(valid: DataFrame, model: tfidf.TfidfModel) -> DataFrame:
     return add_vectors(texts.withColumn("tokens", F.split("textcleaned", " ")), model)
 
 
-def kmeans_per_k(
-    df: DataFrame, ks: Sequence[int], features: str = "features", weight: str | None = None,
-    seed: int = SEED, restarts: int = RESTARTS, parallel: int = 8,
-) -> dict[int, KMeansModel]:
-    """For each k the best of several k-means runs by training cost; equal costs go to the first run.
-
-    The runs are independent Spark jobs; several are submitted at a time so that the short ones do
-    not leave the cluster idle.
-    """
-
-    def run(task: tuple[int, int]) -> KMeansModel:
-        k, i = task
-        estimator = KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol="cluster")
-        return (estimator.setWeightCol(weight) if weight else estimator).fit(df)
-
-    tasks = [(k, i) for k in ks for i in range(restarts)]
-    with ThreadPoolExecutor(parallel) as pool:
-        models = dict(zip(tasks, pool.map(run, tasks)))
-    return {
-        k: min((models[k, i] for i in range(restarts)), key=lambda m: m.summary.trainingCost)
-        for k in ks
-    }
-
-
-def kmeans(df: DataFrame, k: int, features: str = "features", weight: str | None = None,
-           seed: int = SEED, restarts: int = RESTARTS) -> KMeansModel:
-    return kmeans_per_k(df, [k], features, weight, seed, restarts)[k]
-
-
 def centroids(df: DataFrame, cluster: str = "cluster", features: str = "features") -> DataFrame:
     """(cluster, centre) as arrays; one mergeable buffer per cluster, so a large cluster is summed
     up in parts."""
@@ -168,27 +145,37 @@ def silhouette(
     return (evaluator.setWeightCol(weight) if weight else evaluator).evaluate(df)
 
 
+def fit_kmeans(
+    df: DataFrame, ks: Sequence[int], key: str, features: str = "features", weight: str | None = None,
+    seed: int = SEED, restarts: int = RESTARTS,
+) -> dict[int, kmeans.Clusters]:
+    """For each k the best of several k-means runs by training cost; all of them share each scan (see `kmeans`)."""
+    found = cut_lineage(kmeans.points(df, key, features, weight))
+    return kmeans.best_per_k(kmeans.fit_all(found, ks, restarts, seed))
+
+
 def choose_k(
-    df: DataFrame, max_k: int = MAX_K, features: str = "features", weight: str | None = None,
+    df: DataFrame, key: str, max_k: int = MAX_K, features: str = "features", weight: str | None = None,
     n_rows: int | None = None, seed: int = SEED, restarts: int = RESTARTS,
-) -> tuple[list[tuple[int, float, bool]], KMeansModel | None]:
+) -> tuple[list[tuple[int, float, bool]], kmeans.Clusters | None]:
     """Silhouette of k = 2 up to `max_k` (k, score, chosen) and the best model.
 
     `n_rows` counts all rows, also those that are not clustered; half of it bounds k. A k with fewer
     rows, or fewer than two clusters found, scores -1; the first best k is chosen.
     """
-    n = df.agg(F.sum(weight) if weight else F.count("*")).first()[0] or 0
+    found = cut_lineage(kmeans.points(df, key, features, weight))
+    n = found.agg(F.sum("w")).first()[0] or 0
     ks = range(2, min(max_k, max(2, int(n if n_rows is None else n_rows) // 2)) + 1)
-    models = kmeans_per_k(df, [k for k in ks if n >= k], features, weight, seed, restarts)
+    models = kmeans.best_per_k(kmeans.fit_all(found, [k for k in ks if n >= k], restarts, seed))
+    scores = dict.fromkeys(ks, -1.0) | kmeans.silhouettes(found, models)
+    best = max(ks, key=lambda k: round(scores[k], 9))
+    return [(k, scores[k], k == best) for k in ks], models.get(best)
 
-    def score(k: int) -> float:
-        if k not in models or sum(size > 0 for size in models[k].summary.clusterSizes) < 2:
-            return -1.0
-        return silhouette(models[k].transform(df), features=features, weight=weight)
 
-    scores = {k: score(k) for k in ks}
-    best = max(ks, key=scores.get)
-    return [(k, scores[k], k == best) for k in ks], models.get(best)
+def centre_rows(spark: SparkSession, model: kmeans.Clusters) -> DataFrame:
+    """(cluster, centre) of a fitted model, as `kmeans_assign` takes them."""
+    rows = [(i, c.tolist()) for i, c in enumerate(model.centres)]
+    return spark.createDataFrame(rows, "cluster int, centre array<double>")
 
 
 # ---- describing clusters -----------------------------------------------------------------------
@@ -214,7 +201,8 @@ def cluster_top_terms(
 
 
 def cluster_representatives(
-    df: DataFrame, row_id: str, cluster: str = "cluster", features: str = "features", n: int = 3
+    df: DataFrame, row_id: str, cluster: str = "cluster", features: str = "features",
+    n: int = REPRESENTATIVES,
 ) -> DataFrame:
     """The n rows nearest to the mean of their cluster. Each task keeps its own n best rows of a
     cluster before anything is shuffled (window group limit)."""
@@ -281,29 +269,48 @@ def cluster_keyphrases(
     )
 
 
+def prototype_vectors(model: tfidf.TfidfModel, prototypes: Mapping[str, Sequence[str]] = PROTOTYPES) -> dict[str, list[float]]:
+    """The unit-length TF-IDF vector of each category's words; all zeros if the vocabulary has none of them."""
+    place, found = {t: i for i, t in enumerate(model.terms)}, {}
+    for name, listed in prototypes.items():
+        vector = [0.0] * len(model.terms)
+        for i in sorted({place[t] for t in listed if t in place}):
+            vector[i] = model.idf[i]
+        norm = math.sqrt(sum(x * x for x in vector))
+        found[name] = [x / norm for x in vector] if norm else vector
+    return found
+
+
+def _constant(numbers: Sequence[float]) -> Column:
+    """An array of numbers as one literal, which Spark folds when it plans."""
+    return F.from_json(F.lit(json.dumps(list(numbers))), "array<double>")
+
+
 def label_clusters(
-    representatives: DataFrame, cluster: str = "cluster", text: str = "textcleaned",
-    prototypes: Mapping[str, str] = PROTOTYPES,
+    representatives: DataFrame, model: tfidf.TfidfModel, cluster: str = "cluster", features: str = "features",
+    prototypes: Mapping[str, Sequence[str]] = PROTOTYPES,
 ) -> DataFrame:
-    """(cluster, category): the category whose words are met most often in the representative texts,
-    over the root of its list length; `others` if none is met. The first category wins a tie."""
-    tokens = F.split(text, " ")
+    """(cluster, category): the category whose words have the highest cosine with the representatives' vectors taken
+    together; `others` if no cosine is above 0. The first category wins a tie.
 
-    def hits(listed: list[str]) -> Column:
-        return F.sum(F.size(F.filter(tokens, lambda t: t.isin(listed))))
+    The sum of the representatives has the same length for every category, so the order of the cosines is that of
+    the products with the unit-length prototypes, which add up per cluster.
+    """
+    vectors = prototype_vectors(model, prototypes)
+    entries = F.arrays_zip(tfidf.indices(F.col(features)).alias("i"), tfidf.values(F.col(features)).alias("v"))
+
+    def product(vector: list[float]) -> Column:
+        dense = _constant(vector)
+        return F.sum(F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + e["v"] * F.get(dense, e["i"])))
 
-    counted = representatives.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(*[
-        hits(terms.split()).alias(f"hits_{i}") for i, terms in enumerate(prototypes.values())
+    scored = representatives.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(*[
+        F.round(product(v), 9).alias(f"score_{i}") for i, v in enumerate(vectors.values())
     ])
-    scores = [
-        F.col(f"hits_{i}") / F.sqrt(F.lit(float(len(terms.split()))))
-        for i, terms in enumerate(prototypes.values())
-    ]
-    best = F.greatest(*scores)
+    best = F.greatest(*[F.col(f"score_{i}") for i in range(len(vectors))])
     ladder = F.when(best <= 0, OTHERS)
-    for name, score in zip(prototypes, scores):
-        ladder = ladder.when(score == best, name)
-    return counted.select(cluster, ladder.otherwise(OTHERS).alias("category"))
+    for i, name in enumerate(vectors):
+        ladder = ladder.when(F.col(f"score_{i}") == best, name)
+    return scored.select(cluster, ladder.otherwise(OTHERS).alias("category"))
 
 
 def apply_cluster_label(df: DataFrame, labels: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -312,44 +319,97 @@ def apply_cluster_label(df: DataFrame, labels: DataFrame, cluster: str = "cluste
     return joined.withColumn("cluster_label", F.coalesce("category", F.lit(OTHERS))).drop("category")
 
 
-def product_clusters(
-    df: DataFrame, text: str = "commenttext", row_id: str = "commentid", max_k: int = MAX_K,
-    restarts: int = RESTARTS,
-) -> DataFrame:
-    """Add `cluster_label`, one of the category names or `others`; rows are kept 1:1.
+# ---- the fitted model --------------------------------------------------------------------------
+
+
+@dataclass
+class ClusterModel:
+    """All that assigning a category to a comment needs: vocabulary with idf, kept terms, and the centres with
+    their categories. At most `max_features` terms and `max_k` centres, so it is small whatever it was fitted on."""
+
+    vocabulary: tfidf.TfidfModel
+    kept: list[str]
+    centres: list[list[float]]
+    categories: list[str]
+
+    def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
+        """`terms` (index, term, idf, kept) and `centres` (cluster, category, centre)."""
+        kept = set(self.kept)
+        terms = [(i, t, w, t in kept) for i, (t, w) in enumerate(zip(self.vocabulary.terms, self.vocabulary.idf))]
+        centres = [(i, c, v) for i, (c, v) in enumerate(zip(self.categories, self.centres))]
+        return {
+            "terms": spark.createDataFrame(terms, "index int, term string, idf double, kept boolean"),
+            "centres": spark.createDataFrame(centres, "cluster int, category string, centre array<double>"),
+        }
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the tables as Parquet under `path`; a model that is there is replaced."""
+        for name, df in self.tables(spark).items():
+            df.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "ClusterModel":
+        terms = spark.read.parquet(f"{path}/terms").orderBy("index").collect()
+        centres = spark.read.parquet(f"{path}/centres").orderBy("cluster").collect()
+        return cls(
+            tfidf.TfidfModel([r["term"] for r in terms], [r["idf"] for r in terms]), [r["term"] for r in terms if r["kept"]],
+            [r["centre"] for r in centres], [r["category"] for r in centres],
+        )
 
-    The text is read twice: once for the tokens, which are stored for the fitting passes, and once
-    for the result, which is computed row by row from the fitted models without a join back. The
-    repeated k-means passes see only the distinct valid texts.
-    """
-    others = df.withColumn("cluster_label", F.lit(OTHERS))
+    def vectors(self, tokens: DataFrame) -> DataFrame:
+        """`tokens` reduced to the kept terms, with `features`."""
+        return add_vectors(vocab_filter(tokens, self.kept), self.vocabulary)
+
+    def assign(self, vectors: DataFrame, output: str = "cluster") -> DataFrame:
+        """Add the nearest centre of rows with `features`; null for rows that are not clustered."""
+        listed = F.array(*[F.struct(F.lit(i).alias("cluster"), _constant(c).alias("centre")) for i, c in enumerate(self.centres)])
+        nearest = F.array_min(F.transform(listed, lambda c: F.struct(
+            F.round(squared_distance(F.col("features"), c["centre"]), 9).alias("d"), c["cluster"].alias("cluster"))))
+        return vectors.withColumn(output, F.when(valid_row(), nearest["cluster"]))
+
+    def apply(self, df: DataFrame, text: str = "commenttext") -> DataFrame:
+        """Add `cluster_label` to every row, in place: no join, no shuffle, batch or stream. Texts that are not
+        clustered get `others`; so does every text if nothing could be fitted."""
+        if not self.centres:
+            return df.withColumn("cluster_label", F.lit(OTHERS))
+        found = self.assign(self.vectors(cluster_preprocess(df, text)), "_cluster")
+        names = F.array(*[F.lit(c) for c in self.categories])
+        label = F.coalesce(F.get(names, F.col("_cluster")), F.lit(OTHERS))
+        return found.select(*[c for c in df.columns if c != "cluster_label"], label.alias("cluster_label"))
+
+
+def fit_clusters(
+    df: DataFrame, text: str = "commenttext", row_id: str = "commentid", max_k: int = MAX_K, restarts: int = RESTARTS,
+) -> ClusterModel:
+    """Fit vocabulary, kept terms, k-means over the distinct valid texts for the best k, and a category per cluster
+    from the rows nearest to its mean. The tokens are stored once for all passes."""
     tokens = cut_lineage(
         cluster_preprocess(df.select(row_id, text), text).select(row_id, "tokens", "textcleaned")
     )
-    model = fit_terms(tokens)
-    if not model.terms:
-        return others
-    kept = [r["term"] for r in kept_terms(tokens, model).select("term").collect()]
-
-    def vectors(rows: DataFrame) -> DataFrame:
-        return add_vectors(vocab_filter(rows, kept), model)
-
-    valid = vectors(tokens).where(valid_row())
-    texts = cut_lineage(distinct_texts(valid, model))
-    n_rows = tokens.limit(2 * max_k).count()  # more rows than that do not change the range of k
-    _, best = choose_k(texts, max_k, weight="weight", n_rows=n_rows, restarts=restarts)
+    vocabulary = fit_terms(tokens)
+    if not vocabulary.terms:
+        return ClusterModel(vocabulary, [], [], [])
+    model = ClusterModel(
+        vocabulary, [r["term"] for r in kept_terms(tokens, vocabulary).select("term").orderBy("term").collect()], [], [])
+    valid = cut_lineage(model.vectors(tokens).where(valid_row()).select(row_id, "textcleaned", "features"))
+    texts = distinct_texts(valid, vocabulary)
+    _, best = choose_k(texts, "textcleaned", max_k, weight="weight", n_rows=tokens.count(), restarts=restarts)
     if best is None:
-        return others
-    representatives = cluster_representatives(best.transform(valid), row_id)
-    labels = label_clusters(representatives).collect()  # at most max_k rows
-    category = F.element_at(
-        F.create_map(*[F.lit(x) for r in labels for x in (r["cluster"], r["category"])]),
-        F.col("cluster"),
-    )
-    label = F.coalesce(F.when(valid_row(), category), F.lit(OTHERS))
-    return best.transform(vectors(cluster_preprocess(df, text))).select(
-        *df.columns, label.alias("cluster_label")
-    )
+        return model
+    model.centres = best.centres.tolist()
+    representatives = cluster_representatives(model.assign(valid), row_id)
+    found = dict(label_clusters(representatives, vocabulary).collect())  # at most max_k rows
+    model.categories = [found.get(i, OTHERS) for i in range(len(model.centres))]
+    return model
+
+
+def product_clusters(
+    df: DataFrame, text: str = "commenttext", row_id: str = "commentid", max_k: int = MAX_K,
+    restarts: int = RESTARTS,
+) -> DataFrame:
+    """Add `cluster_label`, one of the category names or `others`, by a model fitted on the same rows; rows are
+    kept 1:1."""
+    return fit_clusters(df, text, row_id, max_k, restarts).apply(df, text)
 
 
 def dense_features(df: DataFrame, array: str, output: str = "features") -> DataFrame:

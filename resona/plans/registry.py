@@ -53,8 +53,8 @@ def _described(s, d):
 
 def _scored(s, d):
     return score_comments(D.comments(s, d).drop(
-        "weighted_relevance", "sentiment_label", "sentiment_score", "actionability_score"
-    ), D.videos(s, d), cluster=False)
+        "weighted_relevance", "sentiment_label", "sentiment_score", "actionability_score", "cluster_label"
+    ), D.videos(s, d))
 
 
 def _labelled(s, d):
@@ -387,8 +387,8 @@ def _distinct_texts(s, d):
 
 def kmeans(s, d):
     texts = _distinct_texts(s, d)
-    model = K.kmeans(texts, 3, weight="weight")
-    return model.transform(texts).select("textcleaned", "weight", "cluster")
+    model = K.fit_kmeans(texts, [3], "textcleaned", weight="weight")[3]
+    return K.kmeans_assign(texts, K.centre_rows(s, model)).select("textcleaned", "weight", "cluster")
 
 
 def kmeans_assign(s, d):
@@ -404,7 +404,7 @@ def silhouette(s, d):
 
 
 def choose_k(s, d):
-    rows, _ = K.choose_k(_distinct_texts(s, d), weight="weight")
+    rows, _ = K.choose_k(_distinct_texts(s, d), "textcleaned", weight="weight", n_rows=_tokens(s, d).count())
     return s.createDataFrame(rows, "k int, score double, chosen boolean")
 
 
@@ -426,9 +426,10 @@ def cluster_keyphrases_mmr(s, d):
 
 
 def _labels(s, d):
-    filtered, _ = _filtered(s, d)
-    stored = cut_lineage(filtered.drop("features", "tokens"))
-    return stored, K.label_clusters(stored.where(K.valid_row()), "cluster_label")
+    filtered, model = _filtered(s, d)
+    stored = cut_lineage(filtered.drop("tokens"))
+    chosen = K.cluster_representatives(stored.where(K.valid_row()), "commentid", "cluster_label")
+    return stored, K.label_clusters(chosen, model, "cluster_label")
 
 
 def apply_cluster_label(s, d):

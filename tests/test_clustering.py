@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from resona.operators import clustering as K
-from resona.operators import tfidf
+from resona.operators import kmeans, tfidf
 
 TEXTS = [
     "hydrating serum texture", "hydrating serum glow", "serum texture cream", "matte lipstick shade",
@@ -93,27 +93,86 @@ def test_assignment_and_representatives_by_brute_force(points):
 
 def test_choose_k_finds_the_groups(points):
     _, df = points
-    rows, model = K.choose_k(df.drop("cluster"), restarts=3)
-    assert [r[0] for r in rows if r[2]] == [3] and len(model.clusterCenters()) == 3
+    rows, model = K.choose_k(df.drop("cluster"), "id", restarts=3)
+    assert [r[0] for r in rows if r[2]] == [3] and len(model.centres) == 3
     assert all(-1 <= score <= 1 for _, score, _ in rows)
 
 
 def test_choose_k_with_too_few_rows(points):
     _, df = points
-    rows, _ = K.choose_k(df.drop("cluster").limit(1), restarts=2)
+    rows, _ = K.choose_k(df.drop("cluster").limit(1), "id", restarts=2)
     assert rows == [(2, -1.0, True)]
 
 
 def test_weights_stand_for_copies(spark):
     rows = [([0.0, 0.0], 5.0), ([0.0, 1.0], 1.0), ([5.0, 5.0], 1.0), ([5.0, 6.0], 9.0)]
     df = spark.createDataFrame(rows, "v array<double>, weight double").withColumn(
-        "features", array_to_vector("v")).drop("v")
-    copies = df.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int")))).drop("i")
-    centres = [
-        sorted(tuple(round(float(x), 9) for x in c) for c in m.clusterCenters())
-        for m in (K.kmeans(df, 2, weight="weight", restarts=3), K.kmeans(copies, 2, restarts=3))
+        "features", array_to_vector("v"))
+    copies = df.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int"))))
+    keyed = copies.withColumn("key", F.concat_ws(" ", "v", "i"))
+    both = [
+        K.fit_kmeans(df, [2], "v", weight="weight", restarts=3)[2], K.fit_kmeans(keyed, [2], "key", restarts=3)[2],
     ]
-    assert centres[0] == centres[1]
+    assert sorted(both[0].centres.round(9).tolist()) == sorted(both[1].centres.round(9).tolist())
+    assert abs(both[0].cost - both[1].cost) < 1e-9
+
+
+def lloyd(data, weights, centres, steps):
+    """k-means steps by the book; centres without points stay."""
+    for _ in range(steps):
+        near = ((data[:, None] - centres[None]) ** 2).sum(-1).round(9).argmin(1)
+        centres = np.array([
+            np.average(data[near == j], axis=0, weights=weights[near == j]) if (near == j).any() else c
+            for j, c in enumerate(centres)
+        ])
+    d = ((data[:, None] - centres[None]) ** 2).sum(-1)
+    return centres, (weights * d.min(1)).sum()
+
+
+def test_all_models_at_once_equal_separate_fits(spark):
+    rng = np.random.default_rng(3)
+    data, weights = rng.normal(0, 1, (80, 5)), rng.integers(1, 9, 80).astype(float)
+    rows = [(f"t{i}", [float(x) for x in p], float(w)) for i, (p, w) in enumerate(zip(data, weights))]
+    df = spark.createDataFrame(rows, "id string, v array<double>, weight double").repartition(5)
+    found = kmeans.points(df.withColumn("features", array_to_vector("v")), "id", weight="weight").cache()
+    ks = [2, 3, 4, 5, 6]
+    together = kmeans.fit_all(found, ks, restarts=4, seed=7, max_iter=6)
+    starts = kmeans.draw(found, 5, 6, 4, 7)
+    for start, drawn in enumerate(starts):
+        assert drawn.shape == (6, 5) and len({tuple(p) for p in drawn}) == 6
+        assert {tuple(p.round(9)) for p in drawn} <= {tuple(p.round(9)) for p in data}
+        for k in ks:
+            centres, cost = lloyd(data, weights, drawn[:k], 6)
+            model = together[k, start]
+            assert np.allclose(model.centres, centres) and abs(model.cost - cost) < 1e-6
+    for k in ks:
+        alone = kmeans.fit_all(found, [k], restarts=4, seed=7, max_iter=6)
+        assert all(abs(alone[k, r].cost - together[k, r].cost) < 1e-6 for r in range(4))
+    best = kmeans.best_per_k(together)
+    assert all(best[k].cost <= min(together[k, r].cost for r in range(4)) + 1e-6 for k in ks)
+    scores = kmeans.silhouettes(found, best)
+    for k in ks:
+        near = ((data[:, None] - best[k].centres[None]) ** 2).sum(-1).argmin(1)
+        own = [(float(x), int(c)) for x, c in zip(weights, near)]
+        copies = df.join(spark.createDataFrame([(f"t{i}", c) for i, (_, c) in enumerate(own)], "id string, cluster int"), "id")
+        copies = copies.withColumn("features", array_to_vector("v"))
+        assert abs(scores[k] - K.silhouette(copies, weight="weight")) < 1e-6
+    found.unpersist()
+
+
+def test_models_take_one_scan_per_step(spark, points, monkeypatch):
+    _, df = points
+    found, scans = kmeans.points(df, "id"), []
+    add_up = kmeans._add_up
+    monkeypatch.setattr(kmeans, "_add_up", lambda *args: scans.append(1) or add_up(*args))
+    models = kmeans.fit_all(found, [2, 3, 4, 5, 6], restarts=10, max_iter=8)
+    assert len(models) == 50 and len(scans) <= 8 + 1  # the last one finds costs and sizes
+
+
+def test_fewer_points_than_clusters_and_equal_points(spark):
+    df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0])], "id string, v array<double>")
+    models = kmeans.fit_all(kmeans.points(df.withColumn("features", array_to_vector("v")), "id"), [2, 3], restarts=2)
+    assert all(len(m.centres) == 1 and m.cost == 0 and m.sizes.tolist() == [2.0] for m in models.values())
 
 
 def test_keyphrases_equal_greedy_selection(spark, tokens):
@@ -151,14 +210,61 @@ def test_top_terms_have_positive_scores(tokens):
     assert len(rows) == 12 and all(r["score"] > 0 for r in rows)
 
 
-def test_labels(spark):
-    df = spark.createDataFrame([(0, "lipstick mascara"), (0, "serum"), (1, "plain words"), (2, "curl shampoo")],
-                               "cluster int, textcleaned string")
-    labels = K.label_clusters(df)
-    assert {r[0]: r[1] for r in labels.collect()} == {0: "Cosmetics (Eye & Lip)", 1: "others", 2: "Hair treatment"}
+def test_labels_by_cosine_with_representatives(spark):
+    texts = [
+        (0, "lipstick mascara"), (0, "serum"), (1, "plain words"), (2, "curl shampoo"), (3, "serum serum lipstick"),
+        (4, "lipstick serum"),
+    ]
+    df = spark.createDataFrame([(c, t.split()) for c, t in texts], "cluster int, tokens array<string>")
+    model = K.fit_terms(df)
+    labels = K.label_clusters(K.add_vectors(df, model), model)
+    got = dict(labels.collect())
+
+    def brute(cluster):
+        index = {t: i for i, t in enumerate(model.terms)}
+        total = np.zeros(len(index))
+        for c, t in texts:
+            if c == cluster:
+                v, words = np.zeros(len(index)), t.split()
+                for g in words + [" ".join(p) for p in zip(words, words[1:])]:
+                    if g in index:
+                        v[index[g]] += model.idf[index[g]]
+                total += v / (np.linalg.norm(v) or 1)
+        scores = {}
+        for name, listed in K.PROTOTYPES.items():
+            p = np.zeros(len(index))
+            for t in listed:
+                if t in index:
+                    p[index[t]] = model.idf[index[t]]
+            scores[name] = round(float(total @ p / (np.linalg.norm(p) or 1)), 9)
+        best = max(scores, key=scores.get)
+        return best if scores[best] > 0 else "others"
+
+    assert got == {c: brute(c) for c in range(5)}
+    assert got[1] == "others" and got[2] == "Hair treatment" and got[3] == "Skin care"
     rows = spark.createDataFrame([(0,), (1,), (None,), (7,)], "cluster int")
-    got = {r["cluster"]: r["cluster_label"] for r in K.apply_cluster_label(rows, labels).collect()}
-    assert got == {0: "Cosmetics (Eye & Lip)", 1: "others", None: "others", 7: "others"}
+    named = {r["cluster"]: r["cluster_label"] for r in K.apply_cluster_label(rows, labels).collect()}
+    assert named == {0: got[0], 1: "others", None: "others", 7: "others"}
+
+
+def test_a_saved_model_gives_the_same_labels(spark, tmp_path):
+    df = comments(spark, TEXTS * 3 + ["", None, "ok", "!!!"])
+    model = K.fit_clusters(df, restarts=2, max_k=3)
+    model.save(spark, str(tmp_path))
+    model.save(spark, str(tmp_path))
+    again = K.ClusterModel.load(spark, str(tmp_path))
+    assert again == model and len(again.centres) == len(again.categories) >= 2
+    first, second = (sorted(map(tuple, m.apply(df).collect()), key=str) for m in (model, again))
+    assert first == second == sorted(map(tuple, K.product_clusters(df, restarts=2, max_k=3).collect()), key=str)
+    plan = again.apply(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_an_empty_model_can_be_saved(spark, tmp_path):
+    model = K.fit_clusters(comments(spark, ["", None]))
+    model.save(spark, str(tmp_path))
+    again = K.ClusterModel.load(spark, str(tmp_path))
+    assert [r["cluster_label"] for r in again.apply(comments(spark, ["a lovely lipstick"])).collect()] == ["others"]
 
 
 def comments(spark, texts):

@@ -81,8 +81,8 @@ def test_hot_keys_and_null_keys_join_like_any_other(spark):
 
 
 def test_star_keys_hold(spark, base):
-    given = D.comments(spark, base).drop("weighted_relevance", "sentiment_label", "sentiment_score", "actionability_score")
-    scored = score_comments(given, D.videos(spark, base), cluster=False)
+    given = D.comments(spark, base).drop("weighted_relevance", "sentiment_label", "sentiment_score", "actionability_score", "cluster_label")
+    scored = score_comments(given, D.videos(spark, base))
     tables = star.build_star(scored, star.prepare_videos(D.videos(spark, base)))
     assert set(tables) == set(schemas.WAREHOUSE)
     for name, df in tables.items():
