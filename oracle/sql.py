@@ -151,6 +151,10 @@ VECTORS = ["""cells AS MATERIALIZED (SELECT vec_id, label, unnest(embedding)::DO
 DAYS = """days AS (SELECT DISTINCT d FROM (SELECT CAST(l_shipdate AS DATE) AS d FROM lineitem
   UNION ALL SELECT CAST(o_orderdate AS DATE) FROM orders) WHERE d IS NOT NULL)"""
 TAGS = f"tags AS MATERIALIZED (SELECT commentid, videoid, unnest(list_distinct({X.hashtags('commenttext')})) AS hashtag FROM comments)"
+EMOJIS = [f"emoji_name(e, name) AS ({values((k, v) for k, v in X.NAMES.items() if 0x1F300 <= ord(k) <= 0x1F6FF)})",
+          f"found AS (SELECT commentid, unnest(list_distinct(regexp_extract_all(commenttext, {lit(P.EMOJI)}))) AS e FROM comments)",
+          """emojis_of AS MATERIALIZED (SELECT commentid, coalesce(string_agg(coalesce(name, e), '|' ORDER BY coalesce(name, e)), '') AS emojis
+            FROM comments LEFT JOIN found USING (commentid) LEFT JOIN emoji_name USING (e) GROUP BY commentid)"""]
 TOPICS = "topics AS MATERIALIZED (SELECT videoid, unnest(list_distinct(topics)) AS topiccategory FROM typed)"
 
 ID = "[a-zA-Z0-9_-]{11}"
@@ -312,7 +316,6 @@ def statements() -> dict[str, str]:
       GROUP BY c_custkey, c_name ORDER BY sum(l_extendedprice) DESC, c_custkey LIMIT 10"""
     out["sql_log_audit"] = query([LOG], f"SELECT event_id, query_text, {reason()} = 'Valid SQL query' AS valid, {reason()} AS reason FROM log", flags=["valid"])
     out["preview"] = query(FACT, "SELECT *, (SELECT count(*) FROM dim_video) AS row_count FROM dim_video ORDER BY videoid LIMIT 10", doubles=["engagement_rate"])
-    out["write_scored"] = given("SELECT commentid, commentpublishedat, commentlikes, commenttext, cluster_label FROM comments", dates=["commentpublishedat"])
 
     # Projections, predicates, scalar functions
     v_of = "regexp_extract(regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1), '(?:^|&)v=([^&]+)', 1)"
@@ -331,11 +334,7 @@ def statements() -> dict[str, str]:
     out["coerce_ints"] = query([NUMBER_TEXTS], "SELECT event_id, t, CAST(trunc(coalesce(TRY_CAST(t AS DOUBLE), 0)) AS BIGINT) AS n FROM number_texts")
     out["combined_video_text"] = query([VIDEOS, TYPED], "SELECT videoid, combined FROM typed")
     out["extract_hashtags"] = given(f"SELECT commentid, array_to_string({X.hashtags('commenttext')}, '|') AS hashtags FROM comments")
-    names = [(k, v) for k, v in X.NAMES.items() if 0x1F300 <= ord(k) <= 0x1F6FF]
-    out["extract_emojis"] = query([COMMENTS, f"emoji_name(e, name) AS ({values(names)})",
-        f"found AS (SELECT commentid, unnest(list_distinct(regexp_extract_all(commenttext, {lit(P.EMOJI)}))) AS e FROM comments)"],
-        """SELECT commentid, coalesce(string_agg(coalesce(name, e), '|' ORDER BY coalesce(name, e)), '') AS emojis
-           FROM comments LEFT JOIN found USING (commentid) LEFT JOIN emoji_name USING (e) GROUP BY commentid""")
+    out["extract_emojis"] = query([COMMENTS, *EMOJIS], "SELECT commentid, emojis FROM emojis_of")
     out["clean_text_basic"] = given(f"SELECT commentid, {X.clean_basic('commenttext')} AS cleaned FROM comments")
     out["clean_text_sentiment"] = given(f"SELECT commentid, {X.clean_sentiment('commenttext')} AS cleaned FROM comments")
     out["clean_text_actionability"] = query([COMMENTS, ACTION_CLEAN], "SELECT commentid, text_cleaned AS cleaned FROM action_clean")
@@ -469,6 +468,10 @@ def statements() -> dict[str, str]:
         count(*) FILTER (sentiment_label = 'NEGATIVE') / count(*) AS negative FROM fact WHERE sentiment_label IS NOT NULL GROUP BY cluster_label""", doubles=["positive", "negative"])
     out["actionability_distribution"] = query([COMMENTS, *ACTION], "SELECT actionability_label, count(*) AS count FROM action GROUP BY actionability_label")
     out["relevance_sentiment_points"] = query(FACT, "SELECT weighted_relevance, sentiment_score, cluster_label FROM fact", doubles=["weighted_relevance", "sentiment_score"])
-    out["comment_table"] = query([COMMENTS, VIDEOS], "SELECT c.commentid, c.commentpublishedat, c.commentlikes, c.commenttext, c.cluster_label, c.sentiment_label, c.sentiment_score, c.weighted_relevance, c.actionability_score, v.duration FROM comments c JOIN videos v USING (videoid)",
-        doubles=["sentiment_score", "weighted_relevance"], dates=["commentpublishedat"])
+    table = "commentid, commentpublishedat, commentlikes, commenttext, hashtags_comments, emojis_comments, spam_score, is_spam, weighted_relevance, is_relevant, sentiment_label, sentiment_score, actionability_score, actionability_label, cluster_label, product_resonance_score"
+    shown = dict(doubles=["spam_score", "weighted_relevance", "sentiment_score", "product_resonance_score"],
+                 dates=["commentpublishedat"], flags=["is_spam", "is_relevant"])
+    marked = [*SCORED, *EMOJIS, f"marked AS (SELECT s.*, array_to_string({X.hashtags('s.commenttext')}, '|') AS hashtags_comments, emojis AS emojis_comments FROM prs s JOIN emojis_of USING (commentid))"]
+    out["comment_table"] = query(marked, f"SELECT {table} FROM marked", **shown)
+    out["write_scored"] = query(marked, f"SELECT {table}, videoid, channelid FROM marked", **shown)
     return out

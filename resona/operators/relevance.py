@@ -65,10 +65,9 @@ def embed(df: DataFrame, keys: Sequence[str], text: str, idf: DataFrame) -> Data
 
 
 def _raw_weights(df: DataFrame, keys: Sequence[str], text: str, idf: DataFrame) -> DataFrame:
-    return (
-        _words(df, keys, text).join(idf, "term").groupBy(*keys, "term")
-        .agg((F.count("*") * F.first("idf")).alias("weight"))
-    )
+    """Words are counted per text before they meet their idf, so a frequent word is shuffled once per text."""
+    counted = _words(df, keys, text).groupBy(*keys, "term").agg(F.count("*").alias("_tf"))
+    return counted.join(idf, "term").select(*keys, "term", (F.col("_tf") * F.col("idf")).alias("weight"))
 
 
 def embed_dense(
@@ -145,15 +144,18 @@ def relevance(
     max_score: float = 1.0,
     threshold: float = THRESHOLD,
     idf: DataFrame | None = None,
+    histogram: DataFrame | None = None,
 ) -> DataFrame:
     """Add `weighted_relevance` and `is_relevant`; blank comments and comments of videos without
-    text get 0, also if no video has a text. `comments` come from `preprocess_comments`."""
+    text get 0, also if no video has a text. `comments` come from `preprocess_comments`; `histogram` are their
+    rows per video (`key_histogram`), if they were counted before."""
     described = with_video_text(videos)
     idf = idf or fit_idf(distinct_video_texts(described))
     texts = cut_lineage(one_text(described))
     found = cosines(comments, texts, idf).withColumnRenamed("cosine", "_cosine")
     video_side = texts.select("videoid", "hashtags_video", F.lit(True).alias("_text"))
-    joined = salted_join(comments, video_side, "videoid", "commentid", "left").join(found, "commentid", "left")
+    joined = salted_join(comments, video_side, "videoid", "commentid", "left", histogram=histogram)
+    joined = joined.join(found, "commentid", "left")
     score = weighted_relevance(
         F.coalesce("_cosine", F.lit(0.0)),
         hashtag_bonus(F.col("hashtags_comments"), F.col("hashtags_video"), bonus),

@@ -19,7 +19,8 @@ SECTIONS = [
 
 VIDEO_COLUMNS = [
     "videoid", "title", "description", "publishedat", "channelid", "tags", "viewcount", "likecount",
-    "commentcount", "topiccategory", "contentduration_seconds", "hashtags_video", "emojis_video",
+    "commentcount", "topiccategory", "contentduration_seconds", "hashtags_video", "emojis_video", "duration",
+    "engagement_rate", "video_text",
 ]
 
 
@@ -182,5 +183,5 @@ def relevance_sentiment_points(df: DataFrame) -> DataFrame:
 
 
 def comment_table(df: DataFrame) -> DataFrame:
-    """The scored table without the columns of its video."""
+    """The scored table without the columns of its video, `duration` among them."""
     return df.drop(*VIDEO_COLUMNS)

@@ -16,13 +16,18 @@ from resona.plans import metrics
 from resona.plans.catalogue import DESCRIPTIONS, GIVEN_REFERENCES, GIVEN_TABLES
 from resona.plans.score import score_comments
 from resona.plans.skew import salted_join
-from resona.session import cut_lineage
+from resona.session import cut_lineage, new_path
 from resona.sources import derived as D
-from resona.sources import threads, warehouse
+from resona.sources import sink, threads, warehouse
 from resona.sources.warehouse import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 TEXT = "commenttext"
+SCORED_COLUMNS = [
+    "commentid", "videoid", "channelid", "commentpublishedat", "commentlikes", "commenttext", "hashtags_comments",
+    "emojis_comments", "spam_score", "is_spam", "weighted_relevance", "is_relevant", "sentiment_label", "sentiment_score",
+    "actionability_score", "actionability_label", "cluster_label", "product_resonance_score",
+]
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -154,11 +159,11 @@ def adhoc_sql(s, d):
 
 
 def write_scored(s, d):
-    comments = D.comments(s, d).withColumn("text_cleaned", T.clean_text_sentiment(F.col(TEXT)))
-    return warehouse.written_and_read_back(comments.select(
-        "commentid", "commentpublishedat", "commentlikes", "commenttext", "cluster_label",
-        "text_cleaned",
-    ))
+    """The whole chain, written twice under one run name and read back: one copy."""
+    path, scored = new_path(s, "scored"), cut_lineage(_scored(s, d))
+    for _ in range(2):
+        sink.write_scored(scored, path, "query")
+    return sink.read_scored(s, path).select(*SCORED_COLUMNS)
 
 
 SOURCES = {
@@ -511,7 +516,7 @@ METRIC_QUERIES = dict(zip(
 
 def comment_table(s, d):
     videos = D.videos(s, d).drop("channelid")
-    return report.comment_table(salted_join(D.comments(s, d), videos, "videoid", "commentid"))
+    return report.comment_table(salted_join(_scored(s, d), videos, "videoid", "commentid"))
 
 
 REPORT = {

@@ -5,24 +5,20 @@ from pyspark.sql import functions as F
 
 from resona.session import cut_lineage
 
-MAX_HOT_KEYS = 10_000
-NULL_SLOTS = 4096
+ROWS_PER_TASK = 5_000_000
 
 
-def hot_keys(facts: DataFrame, key: str, rows_per_task: int) -> DataFrame:
-    """Keys (null among them) with more rows than one task should take, and over how many tasks to
-    spread them.
+def key_histogram(facts: DataFrame, key: str) -> DataFrame:
+    """(key, n): how many rows each key has, null among them. The pass reads the key column only and counts before it
+    shuffles. Store it (`cut_lineage`) where several joins of one table use it."""
+    return facts.groupBy(key).agg(F.count("*").alias("n"))
 
-    A hot key holds more than 1/MAX_HOT_KEYS of all rows, so there are fewer than MAX_HOT_KEYS of
-    them whatever the size of the table; that bound is what makes it safe to collect them. The pass
-    reads the key column only and counts before it shuffles.
-    """
-    counts = facts.groupBy(key).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("n"))
-    floor = F.greatest(F.lit(rows_per_task), total.scalar() / MAX_HOT_KEYS)
-    return counts.where(F.col("n") > floor).select(
-        key, F.ceil(F.col("n") / rows_per_task).cast("int").alias("_spread")
-    )
+
+def hot_keys(histogram: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """(key, _spread): every key with more rows than one task should take, and over how many tasks to spread it.
+    Of N rows there are fewer than N / rows_per_task such keys."""
+    spread = F.ceil(F.col("n") / rows_per_task).cast("long").alias("_spread")
+    return histogram.where((F.col("n") > rows_per_task) & F.col(key).isNotNull()).select(key, spread)
 
 
 def salted_join(
@@ -31,28 +27,28 @@ def salted_join(
     key: str,
     row_id: str,
     how: str = "inner",
-    rows_per_task: int = 5_000_000,
+    rows_per_task: int = ROWS_PER_TASK,
+    histogram: DataFrame | None = None,
 ) -> DataFrame:
-    """`facts` join `per_key` on `key`, with the rows of hot keys spread by a hash of `row_id`.
+    """`facts` join `per_key` on `key`, with the rows of every hot key spread by a hash of `row_id`.
 
-    Without hot keys this is a plain join. Otherwise the `per_key` rows of a hot key are copied once
-    per spread slot, all other keys join as usual, and rows without a key, which match nothing, are
-    spread as well. The result equals a plain join for every input.
+    The `per_key` rows of a hot key are copied once per spread slot, and its rows in `facts` meet one of the copies;
+    all other keys join as usual. Rows without a key match nothing; each gets a slot of its own, so they are spread
+    over all tasks. The result equals a plain join for every input. Nothing runs while the plan is made: the hot keys
+    are part of it, from `histogram` if it is given, else counted on the way. They are broadcast, which is bounded:
+    fewer than one row per `rows_per_task` rows of `facts` (200,000 for 10^12 rows).
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    found = hot_keys(facts, key, rows_per_task)
-    rows = found.collect()
-    if not rows:
-        return facts.join(per_key, key, how)
-    hot = F.broadcast(facts.sparkSession.createDataFrame(rows, found.schema))
-    spread = F.coalesce(F.col("_spread"), F.lit(1))
-    no_key = F.lit(-1) - F.pmod(F.xxhash64(row_id), F.lit(NULL_SLOTS))
-    slot = F.when(F.col(key).isNull(), no_key).otherwise(F.pmod(F.xxhash64(row_id), spread))
-    left = facts.join(hot, key, "left").withColumn("_slot", slot.cast("int")).drop("_spread")
+    if histogram is None:
+        histogram = key_histogram(facts, key)
+    hot = F.broadcast(hot_keys(histogram, key, rows_per_task))
+    spread, place = F.coalesce(F.col("_spread"), F.lit(1)), F.xxhash64(row_id)
+    slot = F.when(F.col(key).isNull(), place).otherwise(F.pmod(place, spread))
+    left = facts.join(hot, key, "left").withColumn("_slot", slot).drop("_spread")
     right = (
         per_key.join(hot, key, "left")
-        .withColumn("_slot", F.explode(F.sequence(F.lit(0), spread - 1)))
+        .withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), spread - 1)))
         .drop("_spread")
     )
     return left.join(right, [key, "_slot"], how).drop("_slot")

@@ -1,4 +1,4 @@
-"""Reading warehouse tables: column scans, counts, ad-hoc SELECTs, previews, scored output."""
+"""Reading warehouse tables: column scans, counts, ad-hoc SELECTs, previews."""
 
 from collections.abc import Sequence
 
@@ -6,13 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resona.functions.guard import check_sql
-from resona.session import new_path
-
-# Columns that exist only while scoring.
-SCRATCH_COLUMNS = (
-    "duration", "video_text", "comment_clean", "text_cleaned", "textcleaned", "too_short",
-)
-
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
@@ -50,19 +43,3 @@ def preview(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
     """First n rows in a fixed order, each with the row count of the whole table."""
     total = df.agg(F.count("*").alias("n"))
     return df.orderBy(*order).limit(n).withColumn("row_count", total.scalar())
-
-
-def write_scored(df: DataFrame, path: str, partition: str = "commentpublishedat") -> None:
-    """Write the scored table by day, without the scratch columns.
-
-    The rebalance step gathers small days and splits a day that holds most of the rows, so the
-    number of files follows the amount of data.
-    """
-    kept = df.drop(*SCRATCH_COLUMNS)
-    kept.hint("rebalance", partition).write.partitionBy(partition).parquet(path)
-
-
-def written_and_read_back(df: DataFrame, partition: str = "commentpublishedat") -> DataFrame:
-    path = new_path(df.sparkSession, "scored")
-    write_scored(df, path, partition)
-    return df.sparkSession.read.parquet(path)

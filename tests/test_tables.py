@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from resona.operators import audit, kpi, report, star
 from resona.operators.relevance import preprocess_comments
 from resona.plans import metrics, skew
+from resona.session import cut_lineage
 from resona.plans.score import score_comments, score_text
 from resona.sources import derived as D
-from resona.sources import schemas, threads, warehouse
+from resona.sources import schemas, sink, threads, warehouse
 from resona.streaming import ingest
 
 PAGE = {
@@ -70,16 +71,45 @@ def test_hot_keys_and_null_keys_join_like_any_other(spark):
         .otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("videoid"),
     )
     dims = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(30)], "videoid string, x int")
-    hot = skew.hot_keys(facts, "videoid", 100).collect()
-    assert {(r["videoid"], r["_spread"]) for r in hot} == {("hot", 10), (None, 3)}
+    histogram = skew.key_histogram(facts, "videoid")
+    hot = skew.hot_keys(histogram, "videoid", 100).collect()
+    assert {(r["videoid"], r["_spread"]) for r in hot} == {("hot", 10)}
+    stored = cut_lineage(histogram)
     for how in ("inner", "left"):
         plain = facts.join(dims, "videoid", how).select("commentid", "videoid", "x")
-        salted = skew.salted_join(facts, dims, "videoid", "commentid", how, rows_per_task=100)
-        assert sorted(map(str, salted.select("commentid", "videoid", "x").collect())) == sorted(map(str, plain.collect()))
+        for known in (None, stored):
+            salted = skew.salted_join(facts, dims, "videoid", "commentid", how, rows_per_task=100, histogram=known)
+            assert sorted(map(str, salted.select("commentid", "videoid", "x").collect())) == sorted(map(str, plain.collect()))
     usual = skew.salted_join(facts, dims, "videoid", "commentid", "left")
     assert sorted(map(str, usual.select("commentid", "videoid", "x").collect())) == sorted(map(str, plain.collect()))
 
 
+def jobs_started(spark, run):
+    """The number of jobs that `run` starts."""
+    group = f"count-{run.__name__}"
+    spark.sparkContext.setJobGroup(group, "")
+    run()
+    found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return found
+
+
+def test_twenty_thousand_hot_keys(spark):
+    """Every key above the bound is split, however many there are, and nothing runs while the plan is made."""
+    facts = spark.range(20_000 * 12).select(
+        F.col("id").alias("commentid"), (F.col("id") % 20_000).alias("videoid")
+    ).unionByName(spark.range(500).select((-F.col("id") - 1).alias("commentid"), F.lit(None).cast("long").alias("videoid")))
+    dims = spark.range(15_000).select(F.col("id").alias("videoid"), (F.col("id") * 3).alias("x"))
+    assert skew.hot_keys(skew.key_histogram(facts, "videoid"), "videoid", 10).count() == 20_000
+
+    def plan():
+        return skew.salted_join(facts, dims, "videoid", "commentid", "left", rows_per_task=10)
+
+    assert jobs_started(spark, plan) == 0
+    compared = plan().join(facts.join(dims, "videoid", "left").select("commentid", F.col("x").alias("y")), "commentid")
+    assert compared.where("x <=> y").count() == compared.count() == 20_000 * 12 + 500
+
+
 def test_star_keys_hold(spark, base):
     given = D.comments(spark, base).drop("weighted_relevance", "sentiment_label", "sentiment_score", "actionability_score", "cluster_label")
     scored = score_comments(given, D.videos(spark, base))
@@ -113,12 +143,49 @@ def test_calendar(spark):
     assert rows["20240101"]["monthname"] == "January" and rows["20231231"]["quarter"] == 4
 
 
-def test_written_table_is_partitioned_and_complete(spark, base, tmp_path):
-    scored = D.comments(spark, base).withColumn("text_cleaned", F.lit("x"))
-    warehouse.write_scored(scored, str(tmp_path / "scored"))
-    back = spark.read.parquet(str(tmp_path / "scored"))
-    assert "text_cleaned" not in back.columns and back.count() == scored.count()
-    assert any(p.name.startswith("commentpublishedat=") for p in (tmp_path / "scored").iterdir())
+def days(spark, *rows):
+    frame = spark.createDataFrame(rows, "commentid string, day string, score double")
+    return frame.select("commentid", F.to_date("day").alias("commentpublishedat"), "score", F.lit("x").alias("text_cleaned"))
+
+
+def published(spark, path):
+    rows = sink.read_scored(spark, path).collect()
+    return sorted((r["commentid"], str(r["commentpublishedat"]), r["score"]) for r in rows)
+
+
+def test_repeated_and_later_runs_leave_one_copy(spark, tmp_path):
+    path = str(tmp_path / "scored")
+    with pytest.raises(ValueError, match="nothing was published"):
+        sink.read_scored(spark, path)
+    first = days(spark, ("a", "2024-01-01", 1.0), ("b", "2024-01-02", 2.0), ("c", None, 3.0))
+    for _ in range(2):
+        sink.write_scored(first, path, "7")
+        assert published(spark, path) == [("a", "2024-01-01", 1.0), ("b", "2024-01-02", 2.0), ("c", "None", 3.0)]
+    assert "text_cleaned" not in sink.read_scored(spark, path).columns
+    sink.write_scored(days(spark, ("b", "2024-01-02", 9.0), ("c", None, 8.0), ("d", "2024-01-03", 4.0)), path, "8")
+    both = [("a", "2024-01-01", 1.0), ("b", "2024-01-02", 9.0), ("c", "None", 8.0), ("d", "2024-01-03", 4.0)]
+    assert published(spark, path) == both
+    # the same run with other days: its earlier rows go
+    sink.write_scored(days(spark, ("e", "2024-01-05", 5.0)), path, "8")
+    assert published(spark, path) == [("a", "2024-01-01", 1.0), ("e", "2024-01-05", 5.0)]
+    sink.write_scored(first.limit(0), path, "9")
+    assert published(spark, path) == [("a", "2024-01-01", 1.0), ("e", "2024-01-05", 5.0)]
+    assert all(any(d.name.startswith("commentpublishedat=") for d in a.iterdir())
+               for a in list((tmp_path / "scored/data").iterdir())[:1])
+
+
+def test_a_run_that_fails_half_way_is_not_seen(spark, tmp_path):
+    path = str(tmp_path / "scored")
+    sink.write_scored(days(spark, ("a", "2024-01-01", 1.0)), path, "1")
+    broken = days(spark, ("a", "2024-01-01", 2.0), ("b", "2024-01-02", 0.0)).withColumn(
+        "score", F.when(F.col("score") == 0, F.raise_error(F.lit("lost"))).otherwise(F.col("score")))
+    with pytest.raises(Exception, match="lost"):
+        sink.write_scored(broken, path, "2")
+    # days written, but never published
+    days(spark, ("a", "2024-01-01", 7.0)).write.partitionBy("commentpublishedat").parquet(f"{path}/data/attempt=a-x")
+    assert published(spark, path) == [("a", "2024-01-01", 1.0)]
+    sink.write_scored(days(spark, ("a", "2024-01-01", 2.0)), path, "2")
+    assert published(spark, path) == [("a", "2024-01-01", 2.0)]
 
 
 def test_adhoc_sql_is_guarded(spark):
