@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resona.llm.common import as_id, as_text, bounded_batches, col, read
+from resona.llm.common import as_id, as_text, bounded_batches, col, read, scratch
 from resona.llm.passages import Membership
 from resona.session import cut_lineage
 
@@ -260,10 +260,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` (with doc_id and text) that are not contaminated."""
-    found = cut_lineage(
-        decontaminate(docs, benchmark).filter("contaminated").select(F.col("key").alias("_key")).distinct())
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(found, "_key", "left_anti").select(*[col(c) for c in docs.columns])
+    (key,) = scratch(docs, "key")
+    found = cut_lineage(decontaminate(docs, benchmark).filter("contaminated").select(F.col("key").alias(key)).distinct())
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    return keyed.join(found, key, "left_anti").select(*[col(c) for c in docs.columns])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,6 @@ from resona.session import cut_lineage
 
 BUCKETS = 1 << 16
 PRIOR = 1000.0  # n-grams of the raw model that are added to the target's
-CHUNK = 128  # n-grams whose evidence a document's weight stands for, so that length alone decides nothing
 TARGET_DOCS = 20_000  # good documents that the target model is fitted on at most, the first by a hash
 SHARE = 0.5  # of the documents that are drawn
 SEED = 42
@@ -58,8 +57,9 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log(p / q)
 
 
-def log_weight(spark: SparkSession, ratio: np.ndarray, text: Column) -> Column:
-    """Log importance weight of CHUNK n-grams (fewer, if the text has fewer) at the text's mean."""
+def log_weight(spark: SparkSession, ratio: np.ndarray, text: Column, most: int | None = None) -> Column:
+    """Log importance weight: the sum of the log ratios of all n-grams of a text; with `most`, of that many n-grams at
+    the text's mean where it has more."""
     shared = spark.sparkContext.broadcast(ratio)
 
     @F.pandas_udf("double")
@@ -68,7 +68,8 @@ def log_weight(spark: SparkSession, ratio: np.ndarray, text: Column) -> Column:
             found = []
             for text in batch:
                 own = features(text)
-                found.append(shared.value[own].mean() * min(len(own), CHUNK) if len(own) else 0.0)
+                scale = most / len(own) if most and len(own) > most else 1.0
+                found.append(shared.value[own].sum() * scale)
             yield pd.Series(found, dtype="float64")
 
     return run(text)
@@ -85,8 +86,9 @@ def ranked(rows: DataFrame, by: Column, tie: list[str]) -> DataFrame:
     the sizes of the parts before are added."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [by.desc(), *[F.asc_nulls_first(c) for c in tie]]
-    stored = cut_lineage(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    salted = rows.withColumn("salt", F.monotonically_increasing_id())  # spreads rows that are equal in all keys
+    order = [by.desc(), *[F.asc_nulls_first(c) for c in tie], F.asc("salt")]
+    stored = cut_lineage(salted.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
     sizes = stored.groupBy("part").agg(F.count("*").alias("n")).collect()
     before, offsets = 0, []
     for row in sorted(sizes, key=lambda r: r["part"]):
@@ -94,13 +96,13 @@ def ranked(rows: DataFrame, by: Column, tie: list[str]) -> DataFrame:
         before += row["n"]
     place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
     start = F.create_map(*offsets)[F.col("part")] if offsets else F.lit(0).cast("long")
-    return stored.withColumn("rank", start + place).drop("part")
+    return stored.withColumn("rank", start + place).drop("part", "salt")
 
 
 def resample(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
     label: str = "quality", share: float = SHARE, seed: int = SEED,
-    target_docs: int = TARGET_DOCS,
+    target_docs: int = TARGET_DOCS, most_ngrams: int | None = None,
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, log_weight, gumbel_key, rank, selected.
 
@@ -108,7 +110,8 @@ def resample(
     what is broadcast), the raw model the texts of all rows. The first ceil(share * rows) by falling log_weight + Gumbel noise are selected, which draws without
     replacement in proportion to the weights. Noise comes from doc_id and text, so exactly repeated rows
     share their key and stand next to each other. Null and empty texts weigh 0; without target texts
-    all weights are 0. Null ids are kept; an empty
+    all weights are 0. Very long texts weigh with all their n-grams, so the noise decides little about them; with
+    `most_ngrams` the evidence of a text counts as that of so many n-grams. Null ids are kept; an empty
     table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
@@ -124,7 +127,7 @@ def resample(
     key = F.col("log_weight") + gumbel(F.coalesce("doc_id", F.lit(-1)), F.col("mark"), seed=seed)
     weighed = cut_lineage(rows.select(  # stored, for range partitioning reads it twice
         "doc_id", F.xxhash64("text").alias("mark"),
-        log_weight(spark, ratio, F.col("text")).alias("log_weight"),
+        log_weight(spark, ratio, F.col("text"), most_ngrams).alias("log_weight"),
     ))
     found = ranked(weighed.withColumn("gumbel_key", key), F.col("gumbel_key"), ["doc_id", "mark"])
     total = cut_lineage(found)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resona.llm.common import bounded_batches, col, components, read
+from resona.llm.common import bounded_batches, col, components, read, scratch
 from resona.session import cut_lineage
 
 SEED = 42  # of XXH64
@@ -215,9 +215,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of `docs` for each component of `classes`, its first; equal rows are one."""
-    firsts = cut_lineage(classes(docs, doc_id, text, **options).select(F.col("first").alias("_key")).distinct())
-    keyed = docs.withColumn("_key", F.xxhash64(col(doc_id), col(text)))
-    return keyed.join(firsts, "_key").dropDuplicates(["_key"]).select(*[col(c) for c in docs.columns])
+    (key,) = scratch(docs, "key")
+    firsts = cut_lineage(classes(docs, doc_id, text, **options).select(F.col("first").alias(key)).distinct())
+    keyed = docs.withColumn(key, F.xxhash64(col(doc_id), col(text)))
+    return keyed.join(firsts, key).dropDuplicates([key]).select(*[col(c) for c in docs.columns])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

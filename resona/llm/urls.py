@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resona.llm.common import col, read
+from resona.llm.common import col, read, scratch
 from resona.session import cut_lineage
 
 MAX_RULES_BROADCAST = 50_000  # rows of the rule index sent to all tasks; a longer one is joined
@@ -103,25 +103,27 @@ def judge(
     """`pages` with the added columns host, path, rule and verdict; columns of these names are replaced.
 
     The verdict is that of the longest fitting host rule; without one, `block` if a pattern matches and
-    `allow` otherwise, so null and empty URLs are allowed. Patterns run once per distinct URL. Rows come
-    back one for one, repeated ones too; an empty table gives an empty result.
+    `allow` otherwise, so null and empty URLs are allowed. Patterns run once per distinct URL, however long. Rows come
+    back one for one, repeated ones too; an empty table gives an empty result; other columns stay, whatever their names.
     """
     spark, given = pages.sparkSession, col(url)
     host, path = parts(given)
     rule, verdict = host_rule(host, path, host_rules)
-    ruled = pages.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "verdict": verdict})
-    urls = cut_lineage(pages.select(given.alias("_url")).filter("_url is not null").distinct())
-    url_tokens = urls.select("_url", F.explode(tokens(F.col("_url"))).alias("token"))
+    ours = {"host": host, "path": path, "rule": rule, "verdict": verdict}
+    key, hit, *kept = scratch(pages, "url", "hit", *ours)
+    ruled = pages.withColumns(dict(zip(kept, (host, path)))).withColumns(dict(zip(kept[2:], (rule, verdict))))
+    urls = cut_lineage(pages.select(given.alias("url")).filter("url is not null").distinct())
+    url_tokens = urls.select("url", F.explode(tokens(F.col("url"))).alias("token"))
     index = cut_lineage(index_patterns(spark, patterns, url_tokens))
     index = F.broadcast(index) if len(patterns) <= MAX_RULES_BROADCAST else index
     hits = (
-        url_tokens.join(index, "token").filter(F.rlike(F.lower("_url"), F.col("regex")))
-        .select("_url").distinct().withColumn("_hit", F.lit("block"))
-    )
-    return (
-        ruled.join(cut_lineage(hits), given == F.col("_url"), "left")
-        .withColumn("verdict", F.coalesce("verdict", "_hit", F.lit("allow"))).drop("_url", "_hit")
+        url_tokens.join(index, "token").filter(F.rlike(F.lower("url"), F.col("regex")))
+        .select(F.col("url").alias(key)).distinct().withColumn(hit, F.lit("block"))
     )
+    names = [c for c in pages.columns if c.lower() not in ours]
+    joined = ruled.join(cut_lineage(hits), given == col(key), "left")
+    judged = F.coalesce(col(kept[3]), col(hit), F.lit("allow")).alias("verdict")
+    return joined.select(*map(col, names), *[col(k).alias(n) for k, n in zip(kept[:3], ours)], judged)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
