@@ -10,6 +10,7 @@ from resona.functions.guard import BANNED_WORDS
 from resona.operators.kpi import CHART_CATEGORIES
 from resona.plans.catalogue import DESCRIPTIONS, GIVEN_REFERENCES, GIVEN_TABLES
 from resona.plans.metrics import METRICS
+from resona.sources.derived import PHRASES, SEQUENCES
 
 # ---- shared pieces -----------------------------------------------------------------------------
 
@@ -408,6 +409,20 @@ def statements() -> dict[str, str]:
     out["label_cluster"] = query(given_labels, "SELECT cluster AS cluster_label, category FROM category_of")
     out["apply_cluster_label"] = query(given_labels, "SELECT commentid, coalesce(category, 'others') AS cluster_label FROM ft LEFT JOIN clustered USING (commentid) LEFT JOIN category_of USING (cluster)")
     out["kmeans"] = query([*FILTERED, *K.TEXTS, *K.fitted([3])], "SELECT textcleaned, w AS weight, CAST(j AS INTEGER) AS cluster FROM dt JOIN own USING (p)", doubles=["weight"])
+    out["kmeans_of_vectors"] = query([*K.VECTORS, *K.fitted([3])], "SELECT p AS vec_id, CAST(j AS INTEGER) AS cluster FROM own")
+    out["relevance_of_vectors"] = query([], """SELECT a.vec_id AS commentid, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine,
+        least(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + CASE WHEN a.label = b.label THEN 0.1 ELSE 0.0 END, 1.0) AS weighted_relevance
+        FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id % 50""", doubles=["cosine", "weighted_relevance"])
+    out["lemmatize_by_table"] = query(["w AS (SELECT doc_id, [t FOR t IN string_split_regex(lower(text), '[^a-z]+') IF t <> ''] AS t FROM documents)"],
+        """SELECT doc_id, array_to_string([CASE WHEN regexp_full_match(x, '[a-z]{2,}ed') THEN x[:-3] WHEN regexp_full_match(x, '[a-z]{3,}s') THEN x[:-2]
+           ELSE x END FOR x IN t], ' ') AS tokens FROM w""")
+    spelled = f"{X.pick_of(PHRASES, 'event_id')} || ' ' || {X.pick_of(SEQUENCES, 'event_id')}"
+    names = {"👩🏿‍💻": "woman_technologist_dark_skin_tone", "👩‍💻": "woman_technologist", "💇‍♀️": "woman_getting_haircut",
+             "👍🏽": "thumbs_up_medium_skin_tone", "🇫🇷": "flag_fr", "🇩🇪": "flag_de", "1️⃣": "keycap_1", "❤️": "red_heart", "👍": "thumbs_up",
+             "😍": "smiling_face_with_heart-eyes", "💇": "person_getting_haircut", "😂": X.NAMES["😂"]}
+    for sequence, name in names.items():
+        spelled = f"replace({spelled}, {lit(sequence)}, {lit(f':{name}:')})"
+    out["demojize_sequences"] = f"SELECT 'c' || event_id AS commentid, {spelled} AS spelled FROM events"
     out["choose_k"] = query([*FILTERED, *K.TEXTS, *K.CHOICE], "SELECT CAST(s.k AS INTEGER) AS k, score, s.k = pick.k AS chosen FROM scores s, pick", doubles=["score"], flags=["chosen"])
     out["product_clusters"] = query([*FILTERED, *K.LABELLED], "SELECT commentid, cluster_label FROM category_label")
 

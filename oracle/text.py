@@ -1,6 +1,6 @@
 """DuckDB expressions of the text functions."""
 
-from oracle.base import lit
+from oracle.base import lit, pick
 from resona.functions import linear
 from resona.functions import patterns as P
 from resona.functions import rules as R
@@ -15,6 +15,10 @@ def listed(items) -> str:
     return "[" + ", ".join(lit(i) for i in items) + "]"
 
 
+def pick_of(items, index):
+    return pick(items, f"{index} % {len(items)}")
+
+
 def strip(x):
     return sub(x, P.EDGE_SPACES)
 

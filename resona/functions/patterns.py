@@ -28,6 +28,14 @@ EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x
 # Characters that may need a name when emoji are spelled out; wider than EMOJI.
 PICTOGRAPH = r"[\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{1F300}-\x{1FAFF}]"
 
+# One emoji of any number of code points, the longest first: flags of two letters or of tags, keycaps, and elements
+# (a pictograph with its variant and skin tone) held together by joiners. Single flag letters and tones come last.
+JOINER, VARIANT, TONE, FLAG_LETTER = r"\x{200D}", r"\x{FE0F}", r"[\x{1F3FB}-\x{1F3FF}]", r"[\x{1F1E6}-\x{1F1FF}]"
+ELEMENT = rf"[\x{{2600}}-\x{{27BF}}\x{{2B00}}-\x{{2BFF}}\x{{1F300}}-\x{{1F3FA}}\x{{1F400}}-\x{{1FAFF}}]{VARIANT}?{TONE}?"
+KEYCAP = rf"[0-9#*]{VARIANT}?\x{{20E3}}"
+TAG_FLAG = r"\x{1F3F4}[\x{E0020}-\x{E007E}]+\x{E007F}"
+EMOJI_SEQUENCE = rf"(?:{FLAG_LETTER}{{2}}|{KEYCAP}|{TAG_FLAG}|{ELEMENT}(?:{JOINER}{ELEMENT})*|{FLAG_LETTER}|{TONE})"
+
 # Upper-case characters by Unicode's Uppercase property: category Lu and the letter-like symbols.
 UPPERCASE = (
     r"[\p{Lu}\x{2160}-\x{216F}\x{24B6}-\x{24CF}"

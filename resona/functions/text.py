@@ -42,23 +42,62 @@ def extract_hashtags(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text_or_empty(text), F.lit(P.HASHTAG), 1))
 
 
+def emoji_name(sequence: Column, names: Mapping[str, str] | None = None) -> Column:
+    """The name of one emoji of any number of code points; itself if it has none.
+
+    A sequence that `names` lists has that name. Else it is made up: `flag_fr`, `keycap_1`; of joined elements the
+    name of a person at work (`woman_technologist`), of a person of a gender (`woman_running`), or all names one after
+    the other; with the skin tones behind it.
+    """
+    given = W.emoji_names() if names is None else names
+    name_of, person, work, sign, tone = (lookup(t) for t in (given, W.PERSONS, W.OCCUPATIONS, W.SIGNS, W.TONES))
+    plain = F.regexp_replace(F.regexp_replace(sequence, P.VARIANT, ""), P.TONE, "")
+    parts = F.split(plain, P.JOINER)
+    first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    known = F.transform(parts, name_of)
+    pair = F.size(parts) == 2
+    base = F.coalesce(
+        name_of(plain),
+        F.when(pair & person(first).isNotNull() & work(second).isNotNull(),
+               F.concat_ws("_", person(first), work(second))),
+        F.when(pair & sign(second).isNotNull(),
+               F.concat_ws("_", sign(second), F.regexp_replace(name_of(first), "^person_", ""))),
+        F.when(F.size(parts) > 1, F.when(F.forall(known, lambda n: n.isNotNull()), F.array_join(known, "_"))),
+    )
+    tones = F.array_distinct(F.regexp_extract_all(sequence, F.lit(P.TONE), 0))
+    toned = F.when(base.isNotNull(), F.concat_ws("_", base, F.array_join(F.transform(tones, tone), "_")))
+    letters = F.transform(F.split(sequence, ""), lambda c: F.char(F.ascii(c) - 0x1F1E6 + ord("a")))
+    tagged = F.transform(F.slice(F.split(sequence, ""), 2, F.length(sequence) - 2), lambda c: F.char(F.ascii(c) - 0xE0000))
+    return F.coalesce(
+        name_of(sequence),
+        F.when(sequence.rlike(f"^{P.FLAG_LETTER}{{2}}$"), F.concat(F.lit("flag_"), F.array_join(letters, ""))),
+        F.when(sequence.rlike(f"^{P.KEYCAP}$"), F.concat(F.lit("keycap_"), F.substring(sequence, 1, 1))),
+        F.when(sequence.rlike(f"^{P.TAG_FLAG}$"), F.concat(F.lit("flag_"), F.array_join(tagged, ""))),
+        F.when(F.size(tones) > 0, toned).otherwise(base),
+        sequence,
+    )
+
+
 def extract_emojis(text: Column, names: Mapping[str, str] | None = None) -> Column:
-    """Names of the distinct emoji in a text, sorted (the order carries no meaning)."""
-    name = lookup(W.emoji_names() if names is None else names)
-    found = F.array_distinct(F.regexp_extract_all(text_or_empty(text), F.lit(P.EMOJI), 0))
-    return F.array_sort(F.transform(found, lambda e: F.coalesce(name(e), e)))
+    """Names of the distinct emoji in a text, sorted (the order carries no meaning). A sequence of several code
+    points is one emoji."""
+    sequences = F.regexp_extract_all(text_or_empty(text), F.lit(P.EMOJI_SEQUENCE), 0)
+    found = F.array_distinct(F.filter(sequences, lambda e: e.rlike(f"^(?:{P.EMOJI}|{P.KEYCAP})")))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda e: emoji_name(e, names))))
 
 
 def demojize(text: Column, names: Mapping[str, str] | None = None) -> Column:
-    """Replace each emoji by `:name:`; only characters in the pictograph blocks are looked up."""
-    name_of = lookup(W.emoji_names() if names is None else names)
+    """Replace each emoji by `:name:`; a sequence of several code points (skin tones, joiners, flags, keycaps) is one,
+    the longest first, and neighbours stay apart. One without a name stays."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s){P.EMOJI_SEQUENCE}|."), 0)
 
-    def spelled(ch: Column) -> Column:
-        name = F.concat(F.lit(":"), name_of(ch), F.lit(":"))
-        return F.when(ch.rlike(P.PICTOGRAPH), F.coalesce(name, ch)).otherwise(ch)
+    def spelled(piece: Column) -> Column:
+        name = emoji_name(piece, names)
+        return F.when(name == piece, piece).otherwise(F.concat(F.lit(":"), name, F.lit(":")))
 
     return F.when(
-        text.rlike(P.PICTOGRAPH), F.array_join(F.transform(F.split(text, ""), spelled), "")
+        text.rlike(P.EMOJI_SEQUENCE),
+        F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"^{P.EMOJI_SEQUENCE}$"), spelled(p)).otherwise(p)), ""),
     ).otherwise(text)
 
 

@@ -87,6 +87,20 @@ EMOJI_SHORT_NAMES = {
 }
 
 
+# What a person joined with a thing is called, and the names of skin tones.
+OCCUPATIONS = {
+    "💻": "technologist", "⚕": "health_worker", "🎓": "student", "🏫": "teacher", "⚖": "judge", "🌾": "farmer",
+    "🍳": "cook", "🔧": "mechanic", "🏭": "factory_worker", "💼": "office_worker", "🔬": "scientist",
+    "🎤": "singer", "🎨": "artist", "✈": "pilot", "🚀": "astronaut", "🚒": "firefighter",
+}
+TONES = {
+    "🏻": "light_skin_tone", "🏼": "medium-light_skin_tone", "🏽": "medium_skin_tone", "🏾": "medium-dark_skin_tone",
+    "🏿": "dark_skin_tone",
+}
+PERSONS = {"👨": "man", "👩": "woman", "🧑": "person"}
+SIGNS = {"♀": "woman", "♂": "man"}
+
+
 def emoji_names(first: int = 0x1F300, last: int = 0x1FAFF) -> dict[str, str]:
     """Emoji -> name, from the Unicode names of the pictographic blocks plus the short names above."""
     names = {}

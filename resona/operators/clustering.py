@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from resona.functions import text as T
 from resona.functions import words
 from resona.operators import kmeans, tfidf
+from resona.operators.dictionary import replace_tokens
 from resona.plans.skew import broadcast_checked
 from resona.session import cut_lineage
 
@@ -47,13 +48,18 @@ def cluster_preprocess(
     df: DataFrame,
     text: str = "commenttext",
     stop_words: Sequence[str] = STOP_WORDS,
-    lemmas: Mapping[str, str] = words.DEMO_LEMMAS,
+    lemmas: Mapping[str, str] | DataFrame = words.DEMO_LEMMAS,
+    row_id: str = "commentid",
 ) -> DataFrame:
-    """Add `tokens` and `textcleaned` (tokens joined by a space). Every row is kept."""
+    """Add `tokens` and `textcleaned` (tokens joined by a space). Every row is kept. `lemmas` are a small mapping, or a
+    table of any size (see `dictionary.replace_tokens`; rows then need a unique `row_id`)."""
     tokens = T.tokenize_reduce(T.clean_text_cluster(F.col(text)))
     tokens = T.drop_short_tokens(T.expand_slang(tokens))
     tokens = T.drop_meaningless_tokens(T.remove_stopwords(tokens, stop_words))
-    with_tokens = df.withColumn("tokens", T.lemmatize(tokens, lemmas))
+    if isinstance(lemmas, DataFrame):
+        with_tokens = replace_tokens(df.withColumn("tokens", tokens), row_id, lemmas)
+    else:
+        with_tokens = df.withColumn("tokens", T.lemmatize(tokens, lemmas))
     return with_tokens.withColumn("textcleaned", F.array_join("tokens", " "))
 
 

@@ -125,6 +125,29 @@ def rowwise_cosine(
     return joined.join(found, "commentid", "left").withColumn("cosine", similarity).drop("_text", "_cosine")
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def unit_vector(vector: Column) -> Column:
+    """The vector at length 1; null for a null or zero vector and one with a component that is missing."""
+    exact = vector.cast("array<double>")
+    length = F.sqrt(_dot(exact, exact))
+    return F.when(length > 0, F.transform(exact, lambda x: x / length))
+
+
+def cosine_of_vectors(
+    comments: DataFrame, videos: DataFrame, vector: str = "embedding", histogram: DataFrame | None = None,
+) -> DataFrame:
+    """Add `cosine` of each comment's vector with that of its own video, both given as arrays in the column `vector`; null
+    without one of them. Each video's unit vector (of several the least) is joined by its id, hot videos spread, and
+    the product is made in place."""
+    sides = videos.select("videoid", unit_vector(F.col(vector)).alias("_unit")).where(F.col("_unit").isNotNull())
+    one = sides.groupBy("videoid").agg(F.min("_unit").alias("_unit"))
+    joined = salted_join(comments, one, "videoid", "commentid", "left", histogram=histogram)
+    return joined.withColumn("cosine", _dot(unit_vector(F.col(vector)), F.col("_unit"))).drop("_unit")
+
+
 def hashtag_bonus(mine: Column, theirs: Column, bonus: float = HASHTAG_BONUS) -> Column:
     return F.when(F.arrays_overlap(mine, theirs), bonus).otherwise(0.0)
 
@@ -145,14 +168,20 @@ def relevance(
     threshold: float = THRESHOLD,
     idf: DataFrame | None = None,
     histogram: DataFrame | None = None,
+    vector: str | None = None,
 ) -> DataFrame:
     """Add `weighted_relevance` and `is_relevant`; blank comments and comments of videos without
     text get 0, also if no video has a text. `comments` come from `preprocess_comments`; `histogram` are their
-    rows per video (`key_histogram`), if they were counted before."""
+    rows per video (`key_histogram`), if they were counted before.
+    With `vector`, a column of given embeddings in both tables, the cosine is theirs instead of that of the words."""
     described = with_video_text(videos)
-    idf = idf or fit_idf(distinct_video_texts(described))
     texts = cut_lineage(one_text(described))
-    found = cosines(comments, texts, idf).withColumnRenamed("cosine", "_cosine")
+    if vector:
+        given = cosine_of_vectors(comments.select("commentid", "videoid", vector), videos, vector, histogram)
+        found = given.select("commentid", F.col("cosine").alias("_cosine"))
+    else:
+        idf = idf or fit_idf(distinct_video_texts(described))
+        found = cosines(comments, texts, idf).withColumnRenamed("cosine", "_cosine")
     video_side = texts.select("videoid", "hashtags_video", F.lit(True).alias("_text"))
     joined = salted_join(comments, video_side, "videoid", "commentid", "left", histogram=histogram)
     joined = joined.join(found, "commentid", "left")

@@ -11,6 +11,7 @@ from resona.functions import video as V
 from resona.functions import words as W
 from resona.operators import actionability as A
 from resona.operators import audit, clustering as K, kpi, prs, relevance as R
+from resona.operators.dictionary import replace_tokens
 from resona.operators import report, sentiment as SE, spam as SP, star, tfidf
 from resona.plans import metrics
 from resona.plans.catalogue import DESCRIPTIONS, GIVEN_REFERENCES, GIVEN_TABLES
@@ -214,6 +215,14 @@ def boost_terms(s, d):
     return tfidf.corpus_term_scores(non_empty, model, T.boost_terms, minimum=0.0)
 
 
+def lemmatize_by_table(s, d):
+    forms, tags = D.word_forms(s, d)
+    documents = spread(table(s, d, "documents")).select("doc_id", F.filter(
+        F.split(F.lower("text"), r"[^a-z]+"), lambda t: t != "").alias("tokens"))
+    return replace_tokens(documents, "doc_id", forms, tags=tags).select(
+        "doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
 FUNCTIONS = {
     "video_id_from_url": lambda s, d: D.links(s, d).withColumn(
         "video_id", V.video_id_from_url(F.col("url"))
@@ -252,6 +261,10 @@ FUNCTIONS = {
         T.drop_short_tokens(T.split_words(F.lower(c)))), " ")),
     "lemmatize": _per_comment("tokens", lambda c: F.array_join(
         T.lemmatize(T.split_words(F.lower(c))), " ")),
+    "demojize_sequences": lambda s, d: D.emoji_comments(s, d).select(
+        "commentid", T.demojize(F.col(TEXT)).alias("spelled")
+    ),
+    "lemmatize_by_table": lemmatize_by_table,
     "too_short_flag": lambda s, d: _tokens(s, d).select(
         "commentid", T.too_short(F.col("textcleaned")).alias("too_short")
     ),
@@ -327,6 +340,18 @@ def relevance_routing(s, d):
     )
 
 
+def relevance_of_vectors(s, d):
+    """Every embedding is the vector of a comment, the first fifty are those of the videos too; labels are hashtags."""
+    given = table(s, d, "embeddings").select(
+        F.col("vec_id").alias("commentid"), (F.col("vec_id") % 50).alias("videoid"), "embedding",
+        F.array(F.col("label").cast("string")).alias("tags"))
+    videos = given.where(F.col("commentid") < 50)
+    measured = R.cosine_of_vectors(given, videos)
+    tagged = measured.join(videos.select("videoid", F.col("tags").alias("theirs")), "videoid", "left")
+    score = R.weighted_relevance(F.col("cosine"), R.hashtag_bonus(F.col("tags"), F.col("theirs")))
+    return tagged.select("commentid", "cosine", score.alias("weighted_relevance"))
+
+
 def _action_clean(s, d):
     return D.raw_comments(s, d).select(
         "commentid", T.clean_text_actionability(F.col(TEXT)).alias("text_cleaned")
@@ -356,6 +381,7 @@ SCORING = {
         F.count_if("is_relevant").alias("relevant"), F.count("*").alias("comments")
     ),
     "relevance_routing": relevance_routing,
+    "relevance_of_vectors": relevance_of_vectors,
     "sentiment": lambda s, d: SE.sentiment(D.raw_comments(s, d)).select(
         "commentid", "sentiment_label", "sentiment_score"
     ),
@@ -396,6 +422,12 @@ def kmeans(s, d):
     return K.kmeans_assign(texts, K.centre_rows(s, model)).select("textcleaned", "weight", "cluster")
 
 
+def kmeans_of_vectors(s, d):
+    vectors = _embeddings(s, d)
+    model = K.fit_kmeans(vectors, [3], "vec_id")[3]
+    return K.kmeans_assign(vectors, K.centre_rows(s, model)).select("vec_id", "cluster")
+
+
 def kmeans_assign(s, d):
     vectors = _embeddings(s, d)
     return K.kmeans_assign(
@@ -455,6 +487,7 @@ CLUSTERING = {
         "commentid", "textcleaned"
     ),
     "kmeans": kmeans,
+    "kmeans_of_vectors": kmeans_of_vectors,
     "kmeans_assign": kmeans_assign,
     "silhouette": silhouette,
     "choose_k": choose_k,

@@ -71,6 +71,31 @@ def comments(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+SEQUENCES = ["👍🏽", "🇫🇷", "👩‍💻", "1️⃣", "👍🏽👍", "🇫🇷🇩🇪", "❤️", "👩🏿‍💻😍", "💇‍♀️ #1", ""]
+
+
+def emoji_comments(spark: SparkSession, base: str) -> DataFrame:
+    """Comments with an emoji of several code points, or two neighbours, behind the text."""
+    e = table(spark, base, "events")
+    i = F.col("event_id")
+    return e.select(
+        F.concat(F.lit("c"), i).alias("commentid"),
+        F.concat(pick(PHRASES, i % len(PHRASES)), F.lit(" "), pick(SEQUENCES, i % len(SEQUENCES))).alias("commenttext"),
+    )
+
+
+def word_forms(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """A dictionary of all words of the documents, (token, pos, form) and (token, pos): verbs lose `ed`, nouns lose a
+    last `s`; as nouns the verbs would have another form."""
+    text = F.lower("text")
+    words = spread(table(spark, base, "documents")).select(F.explode(F.split(text, r"[^a-z]+")).alias("token")).distinct()
+    verbs, nouns = F.col("token").rlike("^[a-z]{2,}ed$"), F.col("token").rlike("^[a-z]{3,}s$")
+    verb = words.where(verbs).select("token", F.lit("v").alias("pos"), F.regexp_replace("token", "ed$", "").alias("form"))
+    other = words.where(verbs).select("token", F.lit("n").alias("pos"), F.lit("wrong").alias("form"))
+    noun = words.where(nouns).select("token", F.lit("n").alias("pos"), F.regexp_replace("token", "s$", "").alias("form"))
+    return verb.unionByName(other).unionByName(noun), verb.select("token", "pos")
+
+
 COMMENT_COLUMNS = [
     "commentid", "videoid", "channelid", "commentpublishedat", "commentlikes", "commenttext",
 ]

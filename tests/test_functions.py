@@ -130,3 +130,29 @@ def test_engagement_without_views(spark):
     df = spark.createDataFrame([(3, 2, 0), (3, 2, 10)], "l long, c long, v long")
     got = [r[0] for r in df.select(V.engagement_rate(F.col("l"), F.col("c"), F.col("v"))).collect()]
     assert got == [5.0, 0.5]
+
+
+SEQUENCES = {
+    "👍🏽": "thumbs_up_medium_skin_tone", "🇫🇷": "flag_fr", "👩‍💻": "woman_technologist", "1️⃣": "keycap_1",
+    "👩🏿‍💻": "woman_technologist_dark_skin_tone", "#⃣": "keycap_#", "❤️": "red_heart", "💇‍♀️": "woman_getting_haircut",
+    "🏴\U000E0067\U000E0062\U000E0073\U000E0063\U000E0074\U000E007F": "flag_gbsct", "😍": "smiling_face_with_heart-eyes",
+    "👨‍👩‍👦": "man_woman_boy",
+}
+
+
+def test_each_emoji_sequence_has_one_name(apply):
+    for sequence, name in SEQUENCES.items():
+        assert apply(T.demojize, f"a{sequence}b") == f"a:{name}:b", name
+        assert apply(T.demojize, sequence * 2) == f":{name}::{name}:", name
+    text, names = " ".join(SEQUENCES), " ".join(f":{n}:" for n in SEQUENCES.values())
+    assert apply(T.demojize, text) == names
+    assert apply(T.demojize, text.replace(" ", "")) == names.replace(" ", "")
+    assert apply(T.demojize, "🇫🇷🇩🇪🇫") == ":flag_fr::flag_de:🇫"
+    assert apply(T.demojize, "12 # * plain\ntext") == "12 # * plain\ntext"
+    assert apply(T.demojize, None) is None and apply(T.demojize, "") == ""
+
+
+def test_named_sequences_come_first(apply):
+    names = {"🇫🇷": "France", "👍": "yes", "👍🏽": "yes_indeed"}
+    assert apply(lambda c: T.demojize(c, names), "🇫🇷👍🏽👍🏿👍") == ":France::yes_indeed::yes_dark_skin_tone::yes:"
+    assert apply(T.extract_emojis, "👍🏽 🇫🇷 👩‍💻 1️⃣ 👍🏽 ☀") == sorted(SEQUENCES[e] for e in ("👍🏽", "🇫🇷", "👩‍💻", "1️⃣"))
