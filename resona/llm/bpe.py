@@ -7,7 +7,7 @@ as a sparse matrix, each left id's row shifted so that the rows interlock in one
 Such a lookup takes the same few steps for any number of ranks, where a map literal is searched key by
 key. Decoding looks up the bytes of each id in an array literal and joins them.
 
-The fold in Spark runs once for each of the most frequent words. A step of it costs about 10 microseconds,
+The fold in Spark runs once for each of the words that are most frequent in a sample of the texts. A step of it costs about 10 microseconds,
 so the many rare words are folded in the task that meets them, many words at a time as one array, by the
 same steps over the same literal.
 """
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from resona.llm.common import bounded_batches, col, read
 from resona.session import cut_lineage
 
-KNOWN_WORDS = 100_000  # most frequent distinct words: encoded once in Spark, looked up by all tasks
+KNOWN_WORDS = 50_000  # most frequent distinct words: encoded once in Spark, looked up by all tasks
+SAMPLE = 16  # one of so many texts, by a hash, is counted to find them
 LONG_WORD = 128  # bytes; longer words are merged through a heap
 HELD_WORDS = 200_000  # rare words whose ids a task keeps before it begins anew
 HELD_COUNTS = 200_000  # distinct words a task counts before it passes them on
@@ -251,23 +252,24 @@ def count_words(docs: DataFrame, pattern: str) -> DataFrame:
 
 def encode(
     docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text",
-    known_words: int = KNOWN_WORDS,
+    known_words: int = KNOWN_WORDS, sample: int = SAMPLE,
 ) -> DataFrame:
     """`docs` with the added column `ids` array<int>; a column of this name is replaced.
 
     Each match of the pattern is encoded by itself, as one token if it is one, else by merges; special
     tokens are ordinary text. Null and empty texts
     have no ids. Rows come back one for one, repeated ones too; an empty table gives an empty result.
-    `path` is read on the driver. All words are counted; the `known_words` most frequent ones (ties by
-    word) are encoded once and sent to all tasks, which bounds what is sent; the result is the same for
-    every value.
+    `path` is read on the driver. Very long texts are encoded whole. The `known_words` most frequent words of every
+    `sample`-th text by a hash (ties by word) are encoded once and sent to all tasks, which bounds what is sent; every
+    other word is encoded where it is met, so the ids are the same for all values of both.
     """
     spark, source = docs.sparkSession, col(text)
     bounded_batches(spark)
     ranks = load_ranks(path)
     whole = {w: i for p, i in ranks.items() if (w := p.decode(errors="ignore")).encode() == p}
     tokens = F.broadcast(spark.createDataFrame(pd.DataFrame({"word": list(whole)}), "word string"))
-    counts = count_words(docs.select(source.alias("text")), pattern).join(tokens, "word", "left_anti")
+    drawn = docs.select(source.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
+    counts = count_words(drawn, pattern).join(tokens, "word", "left_anti")
     top = counts.orderBy(F.desc("n"), "word").limit(known_words)
     spread = top.select(F.encode("word", "UTF-8").alias("word")).repartition(
         4 * spark.sparkContext.defaultParallelism)  # the limit leaves one part
