@@ -9,7 +9,7 @@ from resona.functions import words as W
 from resona.functions.guard import BANNED_WORDS
 from resona.operators.kpi import CHART_CATEGORIES
 from resona.plans.catalogue import DESCRIPTIONS, GIVEN_REFERENCES, GIVEN_TABLES
-from resona.plans.metrics import METRICS
+from resona.plans.metrics import METRICS, POINTS
 from resona.sources.derived import PHRASES, SEQUENCES
 
 # ---- shared pieces -----------------------------------------------------------------------------
@@ -247,6 +247,8 @@ def catalogue():
     }
     selects = []
     for name, (key, statement) in zip(METRICS, KPI.items()):
+        if name == POINTS:
+            continue
         keys, numbers = measures.get(key, ([], KPI_DOUBLES.get(key)))
         key_sql = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys) or "''"
         for number in numbers:

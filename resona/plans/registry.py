@@ -103,6 +103,18 @@ class _Star:
     hashtags = cached_property(lambda self: star.dim_hashtag(_tagged(*self.source)))
 
 
+class _StoredStar(_Star):
+    """The same with the columns of the facts that metrics need stored once; what else comes from the facts is made of
+    them."""
+
+    comments = cached_property(lambda self: cut_lineage(D.star_comments(*self.source).select(
+        "videoid", "dateid", "cluster_label", "sentiment_label", "sentiment_score", "is_spam", "product_resonance_score",
+        "topiccategoryid",
+    )))
+    dates = cached_property(lambda self: self.comments.select("dateid", F.col("dateid").alias("date")).distinct())
+    topics = cached_property(lambda self: self.comments.select("topiccategoryid", "videoid").distinct())
+
+
 def _per_comment(name: str, function: Callable[[Column], Column]) -> Query:
     return lambda s, d: D.raw_comments(s, d).select(
         "commentid", function(F.col(TEXT)).alias(name)
@@ -543,8 +555,8 @@ METRIC_QUERIES = dict(zip(
         "kpi_total_comments", "kpi_spam_ratio", "kpi_comment_quality_pct", "kpi_sentiment_ratio",
         "top_hashtags", "avg_prs_by_category", "category_sentiment", "category_trend",
     ],
-    [_on_star(metric) for metric in metrics.METRICS.values()],
-)) | {"metric_catalogue": _on_star(metrics.metric_catalogue)}
+    [_on_star(metric.run) for metric in metrics.METRICS.values()],
+)) | {"metric_catalogue": lambda s, d: metrics.metric_catalogue(_StoredStar(s, d))}
 
 
 def comment_table(s, d):

@@ -1,5 +1,6 @@
 import datetime
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,6 +211,25 @@ def test_unknown_metric():
     assert len(metrics.METRICS) == 16
 
 
+def test_the_catalogue_reads_the_comments_once(spark):
+    rows = [(i % 5, i % 3, ["a", "b", None][i % 3], ["P", None][i % 2], 0.1 * (i % 10), i % 4 == 0, None if i % 7 == 0 else 0.1 * i)
+            for i in range(60)] + [(None, 1, "a", "P", 0.9, True, 0.2)]
+    comments = spark.createDataFrame(
+        rows, "videoid long, dateid int, cluster_label string, sentiment_label string, sentiment_score double, is_spam boolean, "
+        "product_resonance_score double")
+    days, videos = metrics.fact_sums(comments)
+    assert sum(r["n"] for r in days.collect()) == len(rows) and sum(r["n"] for r in videos.collect()) == len(rows) - 1
+    shared = metrics._comment_metrics(days)
+    star = metrics.Star(comments, None, None, None, None, None)
+    for name, df in shared.items():
+        one, other = (sorted(map(str, x.collect())) for x in (df, metrics.fetch_metric(name, star)))
+        assert [re.sub(r"(\d\.\d{9})\d*", r"\1", x) for x in one] == [re.sub(r"(\d\.\d{9})\d*", r"\1", x) for x in other], name
+    per = {(r["videoid"], r["cluster_label"]): (r["n"], r["n_prs"]) for r in kpi.per_video(comments).collect()}
+    assert {(r["videoid"], r["cluster_label"]): (r["n"], r["n_prs"]) for r in videos.collect()} == per
+    for df in (days, videos):
+        assert "LocalTableScan" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_page_percentages_round_half_to_even(spark):
     df = spark.createDataFrame([(i == 0, True, 0.5) for i in range(8)],
                                "is_spam boolean, is_relevant boolean, product_resonance_score double")
