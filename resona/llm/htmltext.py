@@ -1,7 +1,12 @@
-"""Blocks of text of an HTML page, each with the containers around it."""
+"""Blocks of text of an HTML page, each with the containers around it.
+
+Containers are a tree: each has a number, its parent's number, and the number of its path, which is interned as
+(path of the parent, step). So the work grows with the page, however deeply it is nested.
+"""
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
@@ -77,17 +82,76 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 @dataclass
 class Block:
-    """Text between block boundaries; `path` names the containers around it, the outermost first, and
-    `nodes` numbers them within the page. `linked` counts the characters inside links, `heading` tells
-    whether it is one."""
+    """Text between block boundaries in the container numbered `node`, 0 for none. `linked` counts the characters inside
+    links, `heading` tells whether it is one."""
 
     text: str
-    path: tuple[str, ...]
-    nodes: tuple[int, ...]
+    node: int
     linked: int
     heading: bool = False
 
 
+class Page(list):
+    """The blocks of a page in order, and its containers: parents come before their children, so `parents[n] < n`.
+    Number 0 stands for the page itself."""
+
+    def __init__(self):
+        super().__init__()
+        self.parents, self.steps, self.paths = [0], [""], [0]
+        self.numbers: dict[tuple[int, str], int] = {}  # of paths
+
+    def container(self, parent: int, name: str) -> int:
+        key = (self.paths[parent], name)
+        self.parents.append(parent)
+        self.steps.append(name)
+        self.paths.append(self.numbers.setdefault(key, len(self.numbers) + 1))
+        return len(self.parents) - 1
+
+    def tag(self, node: int) -> str:
+        return self.steps[node].split(".")[0]
+
+    def path(self, node: int) -> tuple[str, ...]:
+        """Steps from the outermost container to this one."""
+        found = []
+        while node:
+            found.append(self.steps[node])
+            node = self.parents[node]
+        return tuple(reversed(found))
+
+    def number(self, path: str) -> int | None:
+        """Of a path of steps with spaces between, None if no container has it."""
+        at: int | None = 0
+        for name in path.split(" "):
+            at = self.numbers.get((at, name))
+            if at is None:
+                return None
+        return at
+
+    def up(self, values: list[float], share: float = 1.0) -> list[float]:
+        """For each container its value and `share` of what its children have."""
+        found = list(values)
+        for node in range(len(found) - 1, 0, -1):
+            found[self.parents[node]] += share * found[node]
+        return found
+
+    def below(self, marked) -> list[bool]:
+        """For each container whether `marked(number)` holds for it or one around it."""
+        found = [False] * len(self.parents)
+        for node in range(1, len(found)):
+            found[node] = found[self.parents[node]] or marked(node)
+        return found
+
+    def spans(self) -> list[tuple[int, int]]:
+        """For each container the first block in it and the one behind the last; they follow each other."""
+        first, last = [len(self)] * len(self.parents), [0] * len(self.parents)
+        for i, block in enumerate(self):
+            first[block.node], last[block.node] = min(first[block.node], i), max(last[block.node], i + 1)
+        for node in range(len(first) - 1, 0, -1):
+            parent = self.parents[node]
+            first[parent], last[parent] = min(first[parent], first[node]), max(last[parent], last[node])
+        return list(zip(first, last))
+
+
 def attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)}
 
@@ -128,44 +192,60 @@ def _named(given: dict[str, str]) -> set[str]:
     return found
 
 
-def dropped(
-    pieces: list[tuple[str, tuple[int, ...], bool]], named: dict[int, set[str]], holding: dict[int, set[str]],
-    framed: bool,
-) -> set[int]:
-    """Which of the elements with such names (`named`) to drop: not those that hold a main element, and,
-    if they don't name texts of others, not those that hold an article. Where no article or main element
-    has text outside them (`framed`), those that hold more than half of the text outside links stay too, unless
-    they name notes. `pieces` are (text, such elements around it, linked)."""
-    sizes, whole = dict.fromkeys(named, 0), 0
-    for text, around, linked in pieces:
-        if not linked and not any(named[n] & OTHERS for n in around):
-            whole += len(text.strip())
-            for n in around:
-                sizes[n] += len(text.strip())
-    return {
-        n for n, words in named.items() if "main" not in holding[n] and (
-            words & OTHERS or not ("article" in holding[n] or not framed and not words & NOTES and 2 * sizes[n] > whole))
-    }
-
-
-def blocks(source: str | None) -> list[Block]:
-    """Blocks of a page in order, without the parts that `is_boilerplate` and `dropped` name; those of
-    `dropped` stay where nothing else is left. Null has none."""
+class _Named:
+    """Elements whose names speak against them, as a tree of their own; 0 stands for none."""
+
+    def __init__(self):
+        self.parents, self.words, self.holding = [0], [set()], [set()]
+
+    def add(self, parent: int, words: set[str]) -> int:
+        self.parents.append(parent)
+        self.words.append(words)
+        self.holding.append(set())
+        return len(self.parents) - 1
+
+    def dropped(self, pieces: list[tuple[str, int, bool]], framed: bool) -> list[bool]:
+        """For each of them whether it, or one around it, is dropped: not those that hold a main element, and, if they
+        don't name texts of others, not those that hold an article. Where no article or main element has text outside
+        them (`framed`), those that hold more than half of the text outside links stay too, unless they name notes.
+        `pieces` are (text, innermost such element around it, linked)."""
+        count = len(self.parents)
+        others, sizes, whole = [False] * count, [0] * count, 0
+        for n in range(1, count):
+            others[n] = others[self.parents[n]] or bool(self.words[n] & OTHERS)
+        for text, around, linked in pieces:
+            if not linked and not others[around]:
+                sizes[around] += len(text.strip())
+                whole += len(text.strip())
+        for n in range(count - 1, 0, -1):
+            sizes[self.parents[n]] += sizes[n]
+            self.holding[self.parents[n]] |= self.holding[n]
+        gone = [False] * count
+        for n in range(1, count):
+            words, holding = self.words[n], self.holding[n]
+            alone = "main" not in holding and bool(
+                words & OTHERS or not ("article" in holding or not framed and not words & NOTES and 2 * sizes[n] > whole))
+            gone[n] = gone[self.parents[n]] or alone
+        return gone
+
+
+def blocks(source: str | None) -> Page:
+    """Blocks of a page in order, without the parts that `is_boilerplate` and `_Named.dropped` name; those of the
+    latter stay where nothing else is left. Null has none."""
     source, at = source or "", 0
     open_tags: list[tuple[str, bool, bool]] = []  # tag, boilerplate (also above), inside an article
-    path: list[tuple[str, int, int]] = []  # container step, its number, depth in open_tags
-    number = dropping = links = headings = 0
-    text: list[tuple[str, tuple[int, ...], bool]] = []  # piece, named elements around it, inside a link
-    pieces: list[tuple[list, tuple, tuple, bool]] = []
-    around: tuple[int, ...] = ()
-    depths: list[int] = []  # in open_tags, of the elements `around`
-    named: dict[int, set[str]] = {}
-    holding: dict[int, set[str]] = {}
+    opened: Counter = Counter()  # how many of each tag are open
+    page, node = Page(), 0
+    holders: list[int] = []  # depth in open_tags of each open container
+    dropping = links = headings = 0
+    text: list[tuple[str, int, bool]] = []  # piece, innermost named element around it, inside a link
+    pieces: list[tuple[list, int, bool]] = []
+    named, around = _Named(), 0
+    depths: list[int] = []  # in open_tags, of the named elements
 
     def flush() -> None:
         if any(t.strip() for t, _, _ in text):
-            steps, nodes = tuple(p[0] for p in path), tuple(p[1] for p in path)
-            pieces.append((text.copy(), steps, nodes, bool(headings)))
+            pieces.append((text.copy(), node, bool(headings)))
         text.clear()
 
     def add(piece: str) -> None:
@@ -173,19 +253,21 @@ def blocks(source: str | None) -> list[Block]:
             text.append((html.unescape(piece), around, links > 0))
 
     def close(depth: int) -> None:
-        nonlocal dropping, links, headings, around
+        nonlocal dropping, links, headings, around, node
         while len(open_tags) > depth:
             tag, drops, _ = open_tags.pop()
+            opened[tag] -= 1
             if tag in BLOCK:
                 flush()
             dropping -= drops
             if depths and depths[-1] >= len(open_tags):
                 depths.pop()
-                around = around[:-1]
+                around = named.parents[around]
             links -= tag == "a"
             headings -= tag in HEADING
-            while path and path[-1][2] >= len(open_tags):
-                path.pop()
+            while holders and holders[-1] >= len(open_tags):
+                holders.pop()
+                node = page.parents[node]
 
     size = len(source)
     while at < size:
@@ -199,7 +281,7 @@ def blocks(source: str | None) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for depth in range(len(open_tags) - 1, -1, -1):
+            for depth in range(len(open_tags) - 1, -1, -1) if opened[tag] else ():
                 if open_tags[depth][0] == tag:
                     close(depth)
                     break
@@ -217,7 +299,7 @@ def blocks(source: str | None) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            for depth in range(len(open_tags) - 1, -1, -1):
+            for depth in range(len(open_tags) - 1, -1, -1) if opened["p"] else ():
                 if open_tags[depth][0] == "p":
                     close(depth)
                     break
@@ -225,7 +307,7 @@ def blocks(source: str | None) -> list[Block]:
                     break
         if tag in ENDS:
             ended, until = ENDS[tag]
-            for depth in range(len(open_tags) - 1, -1, -1):
+            for depth in range(len(open_tags) - 1, -1, -1) if any(opened[t] for t in ended) else ():
                 if open_tags[depth][0] in until:
                     break
                 if open_tags[depth][0] in ended:
@@ -241,35 +323,36 @@ def blocks(source: str | None) -> list[Block]:
             continue
         if m[3].endswith("/") and tag not in BLOCK:
             continue
-        number += 1
         words = set() if drops else boilerplate_words(tag, given, inside)
         if tag in ("article", "main") and not dropping and not words:
-            for n in around:
-                holding[n].add(tag)
+            named.holding[around].add(tag)
         if words:
-            around, named[number], holding[number] = (*around, number), words, set()
+            around = named.add(around, words)
             depths.append(len(open_tags))
         open_tags.append((tag, drops, inside or tag in ("article", "main")))
+        opened[tag] += 1
         dropping += drops
         links += tag == "a"
         headings += tag in HEADING
         if tag in CONTAINER:
-            path.append((step(tag, given), number, len(open_tags) - 1))
+            node = page.container(node, step(tag, given))
+            holders.append(len(open_tags) - 1)
     close(0)
     flush()
 
-    def built(without: set[int]) -> list[Block]:
-        kept = []
-        for own, steps, nodes, heading in pieces:
-            left = [p for p in own if without.isdisjoint(p[1])]
+    def build(without: list[bool]) -> None:
+        for own, place, heading in pieces:
+            left = [p for p in own if not without[p[1]]]
             whole = " ".join("".join(p[0] for p in left).split())
             if whole:
-                kept.append(Block(whole, steps, nodes, sum(len(p[0].strip()) for p in left if p[2]), heading))
-        return kept
+                page.append(Block(whole, place, sum(len(p[0].strip()) for p in left if p[2]), heading))
 
-    framed = any(
-        s.split(".")[0] in ("article", "main") for own, steps, *_ in pieces if not all(p[1] for p in own) for s in steps)
-    return built(dropped([p for own, *_ in pieces for p in own], named, holding, framed)) or built(set())
+    in_main = page.below(lambda n: page.tag(n) in ("article", "main"))
+    framed = any(in_main[place] for own, place, _ in pieces if not all(p[1] for p in own))
+    build(named.dropped([p for own, *_ in pieces for p in own], framed))
+    if not page:
+        build([False] * len(named.parents))
+    return page
 
 
 def host(url: str | None) -> str:

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from resona.llm import extract
@@ -20,8 +23,8 @@ def page(body):
 def test_blocks_leave_out_what_is_no_article():
     assert "\n".join(b.text for b in blocks(ARTICLE)) == TEXT
     assert extract.text_of(blocks(ARTICLE), []) == TEXT
-    path, _ = extract.best(blocks(ARTICLE))
-    assert path == ("body.has-sidebar", "div.layout", "main", "div.post.post-#")
+    page_ = blocks(ARTICLE)
+    assert page_.path(extract.best(page_)[0]) == ("body.has-sidebar", "div.layout", "main", "div.post.post-#")
 
 
 def test_title_in_front_of_the_text_belongs_to_it():
@@ -94,6 +97,50 @@ def test_consensus_overrules_a_page(spark):
     assert extract.extract(frame.limit(0)).collect() == []
 
 
+def test_an_article_beside_the_winning_path_is_kept(spark):
+    """Ten pages of a host with only `lead`; one with `lead` and a `story` that no other page has beside its article."""
+    lead = "<div class=lead><p>Lead of page {}, with some words, and more of them here.</p></div>"
+    story = "<div class=story>" + "<p>The story goes on, with sentences, and more.</p>" * 15 + "</div>"
+    rows = [(i, "https://a.example.org/x", page(lead.format(i))) for i in range(10)]
+    rows.append((10, "https://a.example.org/y", page(lead.format(10) + story)))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r.page_id: r.text for r in extract.extract(frame).collect()}
+    assert text[3] == "Lead of page 3, with some words, and more of them here."
+    assert text[10].startswith("Lead of page 10") and text[10].count("The story goes on") == 15
+
+
+def test_work_grows_with_the_page_however_deep():
+    for deep in ("<div>text, here. ", "<div class=ad>text, here. ", "<article><p>text, here. ", "<li><div>text, here. "):
+        began = time.perf_counter()
+        source = page(deep * 20_000)
+        assert extract.text_of(blocks(source), ["body div"]).count("text, here.") == 20_000
+        assert time.perf_counter() - began < 8, deep
+    began = time.perf_counter()
+    assert extract.text_of(blocks("<div>x" * 5000 + "</b></span></p>" * 20_000), [])
+    assert time.perf_counter() - began < 8
+
+
+def test_whole_result_by_brute_force(spark):
+    """Generated pages whose article is known: every word of it, none of what stands around it."""
+    rng = random.Random(7)
+
+    def words(n):
+        return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(n))
+
+    rows, expected = [], {}
+    for i in range(60):
+        host_, body = rng.randrange(4), [f"{words(rng.randint(8, 60)).capitalize()}." for _ in range(rng.randint(2, 9))]
+        blocks_ = "".join(f"<{rng.choice(['p', 'p class=x', 'h2'])}>{b}" for b in body)
+        around = [("<article>", "</article>"), ("<main><div class=post>", "</div></main>"), ("<div class='entry e12'>", "</div>"),
+                  ("<section><div class=text>", "</div></section>")][host_]
+        noise = f"<nav><a href=x>{words(3)}</a></nav><div class=sidebar>{words(40)}.</div><aside>{words(9)}</aside>"
+        rows.append((i, f"https://h{host_}.example.org/{i}", f"<body><header>{words(4)}</header>{noise}{around[0]}{blocks_}{around[1]}"
+                     f"<div id=comments><p>{words(50)}.</div><footer>{words(5)}</footer><script>{words(9)}</script>"))
+        expected[i] = "\n".join(body)
+    found = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == expected
+
+
 def test_query(spark, base):
     rows = extract.op10(spark, base).collect()
     assert all("<article" not in r.text and "©" not in r.text for r in rows)
