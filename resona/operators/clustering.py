@@ -220,16 +220,9 @@ def cluster_representatives(
     return measured.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def cluster_keyphrases(
-    df: DataFrame, model: tfidf.TfidfModel, cluster: str = "cluster", n: int = 10,
-    diversity: float = 0.5,
-) -> DataFrame:
-    """Keyphrases (cluster, rank, phrase, relevance) by maximal marginal relevance.
-
-    Candidates are all 1- and 2-grams of a cluster's tokens. Each round scores every candidate in
-    place against the few phrases picked so far and takes the best one per cluster, so no cluster's
-    candidates are gathered in one task and none are left out.
-    """
+def _phrase_candidates(df: DataFrame, model: tfidf.TfidfModel, cluster: str) -> DataFrame:
+    """(cluster, phrase, relevance, at, weights): all 1- and 2-grams of a cluster's tokens, each with its vector and the
+    cosine of that with the cluster's mean; stored."""
     rows = df.where(F.col(cluster).isNotNull())
     centres = broadcast_checked(centroids(rows, cluster))
     found = F.explode(F.array_distinct(tfidf.ngrams(F.col("tokens")))).alias("phrase")
@@ -240,36 +233,69 @@ def cluster_keyphrases(
     length = F.sqrt(F.aggregate(centre, F.lit(0.0), lambda acc, x: acc + x * x))
     pairs = F.arrays_zip(tfidf.indices(vector).alias("i"), tfidf.values(vector).alias("v"))
     product = F.aggregate(pairs, F.lit(0.0), lambda acc, e: acc + e["v"] * F.get(centre, e["i"]))
-    candidates = cut_lineage(
+    return cut_lineage(
         model.transform(phrases, "_terms", "vector").join(centres, cluster)
         .withColumn("relevance", F.coalesce(F.try_divide(product, length), F.lit(0.0)))
         .select(cluster, "phrase", "relevance", tfidf.indices(vector).alias("at"),
                 tfidf.values(vector).alias("weights"))
     )
 
-    def similarity(p: Column) -> Column:
-        mine = F.arrays_zip(F.col("at"), F.col("weights"))
-        return F.aggregate(mine, F.lit(0.0), lambda acc, e: acc + e["weights"] * F.coalesce(
-            F.get(p["weights"], F.array_position(p["at"], e["at"]).cast("int") - 1), F.lit(0.0)
-        ))
-
-    best = F.struct(F.col("order"), *[F.col(c) for c in ("phrase", "relevance", "at", "weights")])
-    one = F.array(F.min("best"))
-    picks = (
-        candidates.withColumn("order", -F.round("relevance", 9)).withColumn("best", best)
-        .groupBy(cluster).agg(one.alias("picked"))
-    )
-    for _ in range(n - 1):
-        taken = F.exists("picked", lambda p: p["phrase"] == F.col("phrase"))
-        overlap = F.array_max(F.transform("picked", similarity))
+
+def _similarity(p: Column) -> Column:
+    """Product of a row's vector with that of a picked phrase."""
+    mine = F.arrays_zip(F.col("at"), F.col("weights"))
+    return F.aggregate(mine, F.lit(0.0), lambda acc, e: acc + e["weights"] * F.coalesce(
+        F.get(p["weights"], F.array_position(p["at"], e["at"]).cast("int") - 1), F.lit(0.0)
+    ))
+
+
+def cluster_keyphrases(
+    df: DataFrame, model: tfidf.TfidfModel, cluster: str = "cluster", n: int = 10,
+    diversity: float = 0.5, scored_per_round: list[int] | None = None,
+) -> DataFrame:
+    """Keyphrases (cluster, rank, phrase, relevance) by maximal marginal relevance, chosen lazily.
+
+    A phrase's margin, its relevance less its likeness to what was picked, can only fall as more is picked, so the last
+    one computed is an upper bound. Each round scores the phrase with the highest bound of its cluster; then only
+    phrases whose bound is not below that margin can win and are scored. Phrases that were never near are not looked
+    at again: `active` holds the others, with their bounds. No cluster's candidates are gathered in one task and
+    none are left out. `scored_per_round` receives the number of phrases scored in each round.
+    """
+    relevance = F.round((1 - diversity) * F.col("relevance"), 9)
+    base = _phrase_candidates(df, model, cluster).withColumn("bound", relevance)
+    columns = ["phrase", "relevance", "at", "weights"]
+    best = F.min(F.struct("order", *columns))
+    first = base.withColumn("order", -F.round("relevance", 9)).groupBy(cluster).agg(F.array(best).alias("picked"))
+    picks = cut_lineage(first.withColumn("limit", F.lit(float("inf"))))
+    active = base.limit(0)
+    taken = F.exists("picked", lambda p: p["phrase"] == F.col("phrase"))
+
+    def with_margin(rows: DataFrame) -> DataFrame:
+        overlap = F.array_max(F.transform("picked", _similarity))
         margin = (1 - diversity) * F.col("relevance") - diversity * overlap
-        picks = (
-            candidates.join(F.broadcast(picks), cluster)  # one row per cluster
-            .withColumn("order", -F.round(margin, 9)).withColumn("best", F.when(~taken, best))
-            .groupBy(cluster).agg(
-                F.concat(F.max("picked"), F.array_compact(one)).alias("picked")
-            )
-        )
+        return rows.withColumn("bound", F.round(margin, 9))
+
+    for _ in range(n - 1):
+        known = broadcast_checked(picks)
+        held = active.join(known, cluster).where(~taken)
+        fresh = base.join(known, cluster).where((F.col("bound") < F.col("limit")) & ~taken)
+        leaders = held.unionByName(fresh).groupBy(cluster).agg(
+            F.max_by(F.struct(*columns), F.struct("bound", "phrase")).alias("leader"), F.first("picked").alias("picked"))
+        least = with_margin(leaders.select(cluster, "leader.*", "picked")).select(cluster, F.col("bound").alias("least"))
+        least = broadcast_checked(least)
+        held, fresh = held.join(least, cluster), fresh.join(least, cluster).where(F.col("bound") >= F.col("least"))
+        near = held.where(F.col("bound") >= F.col("least")).unionByName(fresh)
+        scored = with_margin(near).withColumn("scored", F.lit(True))
+        far = held.where(F.col("bound") < F.col("least")).withColumn("scored", F.lit(False))
+        kept = cut_lineage(scored.unionByName(far).select(cluster, *columns, "bound", "scored"))
+        chosen = kept.where("scored").withColumn("order", -F.col("bound")).groupBy(cluster).agg(best.alias("best"))
+        if scored_per_round is not None:
+            scored_per_round.append(kept.where("scored").count())
+        active = kept.drop("scored")
+        grown = picks.join(chosen, cluster, "left").join(least, cluster, "left")
+        picks = cut_lineage(grown.select(
+            cluster, F.concat("picked", F.array_compact(F.array("best"))).alias("picked"),
+            F.least("limit", "least").alias("limit")))
     return picks.select(cluster, F.posexplode("picked").alias("pos", "p")).select(
         cluster, (F.col("pos") + 1).alias("rank"), "p.phrase", "p.relevance"
     )

@@ -179,7 +179,10 @@ def test_keyphrases_equal_greedy_selection(spark, tokens):
     terms = tokens.withColumn("terms", tfidf.ngrams(F.col("tokens")))
     model = tfidf.fit(terms, "terms")
     vectors = model.transform(terms, "terms")
-    got = K.cluster_keyphrases(vectors, model, n=5).collect()
+    counts: list[int] = []
+    got = K.cluster_keyphrases(vectors, model, n=5, scored_per_round=counts).collect()
+    every = vectors.select("cluster", F.explode(F.array_distinct("terms"))).where("cluster IS NOT NULL").distinct().count()
+    assert len(counts) == 4 and all(c < every for c in counts) and counts[-1] < counts[0]
     index = {t: i for i, t in enumerate(model.terms)}
     for cluster in (0, 1, 2):
         rows = [t.split() for i, t in enumerate(TEXTS) if i // 3 == cluster]
@@ -203,6 +206,36 @@ def test_keyphrases_equal_greedy_selection(spark, tokens):
         assert mine == picked
 
 
+def test_lazy_keyphrases_score_few_of_many_candidates(spark):
+    rng = np.random.default_rng(4)
+    words = [f"word{i}" for i in range(400)]
+    rows = [(int(rng.integers(0, 3)), [words[int(x)] for x in rng.zipf(1.4, 14) if x < 400]) for _ in range(250)]
+    df = spark.createDataFrame(rows, "cluster int, tokens array<string>").withColumn("terms", tfidf.ngrams(F.col("tokens")))
+    model = tfidf.fit(df, "terms")
+    vectors = model.transform(df, "terms")
+    counts: list[int] = []
+    got = K.cluster_keyphrases(vectors, model, n=6, scored_per_round=counts).collect()
+    every = vectors.select("cluster", F.explode("terms").alias("t")).distinct()
+    assert sum(counts) < 0.5 * 5 * every.count()
+    centres = {r["cluster"]: np.array(r["centre"]) for r in K.centroids(vectors).collect()}
+    index = {t: i for i, t in enumerate(model.terms)}
+    for cluster, centre in centres.items():
+        phrases = {}
+        for (t,) in every.where(F.col("cluster") == cluster).select("t").collect():
+            v = np.zeros(len(index))
+            for g in dict.fromkeys([*t.split(), t]):
+                if g in index:
+                    v[index[g]] += model.idf[index[g]] * (2 if t.split() == [g, g] else 1)
+            phrases[t] = v / (np.linalg.norm(v) or 1)
+        rel = {p: float(v @ centre / np.linalg.norm(centre)) for p, v in phrases.items()}
+        picked = [min(rel, key=lambda p: (-round(rel[p], 9), p))]
+        while len(picked) < 6:
+            rest = {p: round(0.5 * rel[p] - 0.5 * max(float(phrases[p] @ phrases[q]) for q in picked), 9)
+                    for p in phrases if p not in picked}
+            picked.append(min(rest, key=lambda p: (-rest[p], p)))
+        assert [r["phrase"] for r in sorted(got, key=lambda r: r["rank"]) if r["cluster"] == cluster] == picked
+
+
 def test_top_terms_have_positive_scores(tokens):
     terms = tokens.where("cluster IS NOT NULL").withColumn("terms", tfidf.ngrams(F.col("tokens")))
     model = tfidf.fit(terms, "terms")
