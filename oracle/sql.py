@@ -399,11 +399,18 @@ def statements() -> dict[str, str]:
         "SELECT avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM ab", doubles=["silhouette"])
     out["invalid_to_other"] = query(FILTERED, "SELECT commentid, CASE WHEN v.commentid IS NULL THEN 'others' ELSE ft.cluster_label END AS label FROM ft LEFT JOIN valid v USING (commentid)")
     out["cluster_sizes"] = query(FILTERED, "SELECT cluster_label, count(*) AS size FROM valid GROUP BY cluster_label")
-    out["cluster_top_terms"] = query([*FILTERED, *grams("fgram", "ft"), weights("fw", "fgram"), """ranked AS (SELECT cluster_label, term, score,
+    top_terms = [*grams("fgram", "ft"), weights("fw", "fgram"), """ranked AS (SELECT cluster_label, term, score,
         row_number() OVER (PARTITION BY cluster_label ORDER BY round(score, 9) DESC, term) AS rank FROM (
           SELECT cluster_label, term, sum(weight) / any_value(n) AS score FROM fw JOIN valid USING (commentid)
-            JOIN (SELECT cluster_label, count(*) AS n FROM valid GROUP BY cluster_label) USING (cluster_label) GROUP BY cluster_label, term) WHERE score > 0)"""],
+            JOIN (SELECT cluster_label, count(*) AS n FROM valid GROUP BY cluster_label) USING (cluster_label) GROUP BY cluster_label, term) WHERE score > 0)"""]
+    out["cluster_top_terms"] = query([*FILTERED, *top_terms],
         "SELECT cluster_label, CAST(rank AS INTEGER) AS rank, term, score FROM ranked WHERE rank <= 10", doubles=["score"])
+    out["cluster_profile"] = query([*FILTERED, *top_terms, *K.TEXTS, *K.GIVEN, *K.CATEGORY,
+        "terms_of AS (SELECT cluster_label, string_agg(term, '|' ORDER BY rank) AS top_terms FROM ranked WHERE rank <= 10 GROUP BY cluster_label)",
+        """near_of AS (SELECT cluster AS cluster_label, string_agg(commentid, '|' ORDER BY rank) AS representatives,
+          string_agg(textcleaned, '|' ORDER BY rank) AS samples FROM chosen JOIN dt USING (p) GROUP BY cluster)"""],
+        """SELECT cluster_label, size, top_terms, representatives, samples FROM (SELECT cluster_label, count(*) AS size FROM valid GROUP BY cluster_label)
+           LEFT JOIN terms_of USING (cluster_label) LEFT JOIN near_of USING (cluster_label)""")
     out["cluster_representatives"] = query([*VECTORS, """ranked AS (SELECT label, vec_id, distance, row_number() OVER (PARTITION BY label ORDER BY round(distance, 9), vec_id) AS rank
         FROM (SELECT label, vec_id, sqrt(sum((x - c) ** 2)) AS distance FROM cells JOIN centre USING (label, i) GROUP BY ALL))"""],
         "SELECT label, vec_id, CAST(rank AS INTEGER) AS rank, distance FROM ranked WHERE rank <= 3", doubles=["distance"])

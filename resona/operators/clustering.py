@@ -345,6 +345,30 @@ def label_clusters(
     return scored.select(cluster, ladder.otherwise(OTHERS).alias("category"))
 
 
+def cluster_profile(
+    df: DataFrame, model: tfidf.TfidfModel, row_id: str, cluster: str = "cluster", text: str = "textcleaned",
+    n: int = 10, phrases: bool = True,
+) -> DataFrame:
+    """What a cluster is about, one row each: size, top_terms, representatives (their ids, nearest first), their texts
+    as samples, and keyphrases (without `phrases`: none)."""
+
+    def listed(rows: DataFrame, value: str, name: str) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct("rank", value)))
+        return rows.groupBy(cluster).agg(F.transform(ordered, lambda x: x[value]).alias(name))
+
+    stored = cut_lineage(cluster_representatives(df, row_id, cluster).select(cluster, "rank", row_id, text))
+    parts = [
+        listed(cluster_top_terms(df, model, cluster, n), "term", "top_terms"),
+        listed(stored, row_id, "representatives"), listed(stored, text, "samples"),
+    ]
+    if phrases:
+        parts.append(listed(cluster_keyphrases(df, model, cluster, n), "phrase", "keyphrases"))
+    found = cluster_sizes(df, cluster)
+    for part in parts:
+        found = found.join(part, cluster, "left")
+    return found
+
+
 def apply_cluster_label(df: DataFrame, labels: DataFrame, cluster: str = "cluster") -> DataFrame:
     """Add `cluster_label`: the category of the row's cluster, `others` without one."""
     joined = df.join(broadcast_checked(labels), cluster, "left")

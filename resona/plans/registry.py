@@ -474,6 +474,11 @@ def cluster_keyphrases_mmr(s, d):
     return K.cluster_keyphrases(vectors, model, "cluster_label")
 
 
+def cluster_profile(s, d):
+    vectors, model = _valid_vectors(s, d)
+    return K.cluster_profile(vectors, model, "commentid", "cluster_label", phrases=False)
+
+
 def _labels(s, d):
     filtered, model = _filtered(s, d)
     stored = cut_lineage(filtered.drop("tokens"))
@@ -512,6 +517,7 @@ CLUSTERING = {
     "cluster_representatives": lambda s, d: K.cluster_representatives(
         _embeddings(s, d), "vec_id", "label"
     ).select("label", "vec_id", "rank", "distance"),
+    "cluster_profile": cluster_profile,
     "label_cluster": lambda s, d: _labels(s, d)[1],
     "apply_cluster_label": apply_cluster_label,
     "product_clusters": lambda s, d: K.product_clusters(

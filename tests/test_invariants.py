@@ -50,7 +50,7 @@ def test_product_clusters(run):
 
 def test_registry_is_complete():
     names = set(registry())
-    assert len(names) == 117 and names <= set(entry.queries())
+    assert len(names) == 118 and names <= set(entry.queries())
     without_sql = names - set(entry.oracle_sql())
     assert without_sql == {
         "spam_model_trained", "sentiment_trained", "text_embedding_word2vec", "cluster_keyphrases_mmr",

@@ -207,3 +207,21 @@ def test_sentiment_shares_of_any_label(spark):
         [("v", "POSITIVE"), ("v", "MIXED"), ("v", "MIXED"), ("w", "MIXED"), ("w", None)], "videoid string, sentiment_label string")
     assert {tuple(r) for r in report_sentiment_dist(df).collect()} == {
         ("v", "POSITIVE", 1 / 3), ("v", "MIXED", 2 / 3), ("w", "MIXED", 1.0)}
+
+
+def test_models_of_the_chain_can_be_swapped(spark, base):
+    from resona.operators.clustering import ClusterModel
+    from resona.operators.tfidf import TfidfModel
+    from resona.plans.score import Scorers, score_comments
+    from resona.sources import derived as D
+
+    given = D.raw_comments(spark, base).limit(60).withColumns({
+        "p_spam": F.when(F.col("commentlikes") % 2 == 0, 0.9).otherwise(0.0), "p_good": F.lit(0.8), "v": F.array(F.lit(1.0), F.lit(0.0))})
+    videos = D.videos(spark, base).withColumn("v", F.array(F.lit(1.0), F.lit(1.0)))
+    clusters = ClusterModel(TfidfModel([], []), [], [], [])
+    scored = score_comments(given, videos, clusters, Scorers(F.col("p_spam"), F.col("p_good")), vector="v").collect()
+    assert len(scored) == 60 and {r["cluster_label"] for r in scored} == {"others"}
+    assert {r["sentiment_label"] for r in scored} == {"POSITIVE"} and {r["sentiment_score"] for r in scored} == {0.8}
+    assert {r["spam_score"] for r in scored} <= {0.0, 0.9, 1.0} and {0.0, 0.9} <= {r["spam_score"] for r in scored}
+    relevances = {round(r["weighted_relevance"], 6) for r in scored}
+    assert relevances <= {0.0, round(0.5 ** 0.5, 6), round(0.5 ** 0.5 + 0.1, 6)} and len(relevances) > 1
