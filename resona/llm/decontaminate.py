@@ -2,10 +2,12 @@
 
 The index is split by documents: each shard holds the postings of its documents, a sorted position list
 per term, where positions run through the shard's documents one after the other. It is stored as a table
-with one row per shard. The distinct phrases of the benchmark are a stored table too, in blocks, and every
-block meets every shard in Spark; a shard starts with the rarest term of a phrase and intersects the
-lists of the other terms, moved by their offsets, in ascending order of length. Terms are 64-bit hashes of
-words. Only terms that some phrase uses, and the few others that pass a bitmap of them, get a posting list.
+with one row per shard. The distinct phrases of the benchmark are a stored table too. How many shards have a
+term is counted over the whole index; a phrase goes only to the shards that have the rarest of its terms, by a join on
+that term, and nowhere if no shard has one of them. There the search starts with the term that is rarest in the shard
+and intersects the lists of the other terms, moved by their offsets, in ascending order of length. Hits carry the
+phrase; the items that have it are joined at the end. Terms are 64-bit hashes of words. Only terms that some phrase
+uses, and the few others that pass a bitmap of them, get a posting list.
 """
 
 import re
@@ -25,14 +27,15 @@ from resona.session import cut_lineage
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 13
 SHARD_WORDS = 400_000  # a shard is closed once it holds so many words; a longer document has one alone
-BLOCK_BYTES = 8_000_000  # text of the windows in one block
+BLOCK_PHRASES = 50_000  # phrases that meet a shard at once, about
 
 SHARD = (
     "shard long, starts array<int>, terms array<long>, offsets array<int>, positions array<int>, "
     "ids array<string>, keys array<long>, sizes array<int>"
 )
-PHRASES = "phrases array<array<long>>, owners array<array<string>>"
-HITS = "shard long, doc int, hits array<struct<first:int,last:int,items:array<string>,near:boolean>>"
+PHRASES = "phrase long, terms array<long>, items array<string>"
+HIT = "struct<first:int,last:int,phrase:long,near:boolean>"
+HITS = f"shard long, doc int, hits array<{HIT}>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -126,51 +129,54 @@ def covering(postings, phrase: list[int], centre: int, low: int, high: int, reac
 
 
 def phrase_rows(items: DataFrame, window: int) -> DataFrame:
-    """(phrase, items): the distinct windows of the rows (item, text), and the ids of the items that have them."""
+    """PHRASES: the distinct windows of the rows (item, text) with a hash of each, its terms, and the ids of the items that
+    have it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for item, text in zip(batch["item"], batch["text"]):
                 found = [b" ".join(w).decode() for w in windows(words(text), window)]
-                yield pd.DataFrame({"phrase": found, "item": [item] * len(found)}, dtype=object)
-
-    return items.mapInPandas(run, "phrase string, item string").groupBy("phrase").agg(
-        F.array_sort(F.collect_set("item")).alias("items"))
+                yield pd.DataFrame({"window": found, "item": [item] * len(found)}, dtype=object)
 
+    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            split = [w.encode().split(b" ") for w in batch["window"]]
+            yield pd.DataFrame({
+                "phrase": batch["phrase"], "terms": [hashed(t, len(t)) for t in split], "items": batch["items"]})
 
-def phrase_blocks(phrases: DataFrame, limit: int) -> DataFrame:
-    """PHRASES: rows of about `limit` bytes of windows each."""
+    owned = items.mapInPandas(run, "window string, item string").groupBy("window").agg(
+        F.array_sort(F.collect_set("item")).alias("items"))
+    return owned.withColumn("phrase", F.xxhash64("window")).mapInPandas(terms, PHRASES)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, owners, held = [], [], 0
-        for batch in batches:
-            for phrase, items in zip(batch["phrase"], batch["items"]):
-                tokens = phrase.encode().split(b" ")
-                block.append(hashed(tokens, len(tokens)).tolist())
-                owners.append(list(items))
-                held += len(phrase) + sum(map(len, items))
-                if held >= limit:
-                    yield pd.DataFrame({"phrases": [block], "owners": [owners]})
-                    block, owners, held = [], [], 0
-        if block:
-            yield pd.DataFrame({"phrases": [block], "owners": [owners]})
 
-    return phrases.mapInPandas(run, PHRASES)
+def wanted(phrases: DataFrame, lists: DataFrame, block_phrases: int) -> DataFrame:
+    """(shard, phrases): the phrases that each shard is searched for, in blocks of about `block_phrases`."""
+    having = lists.select("shard", F.explode("terms").alias("term"))
+    spread = having.groupBy("term").agg(F.count("*").alias("shards"))
+    each = phrases.select("phrase", F.explode(F.array_distinct("terms")).alias("term"))
+    rarest = each.join(spread, "term", "left").groupBy("phrase").agg(
+        F.min(F.struct(F.coalesce("shards", F.lit(0)).alias("shards"), "term")).alias("least"))
+    placed = rarest.where("least.shards > 0").select("phrase", F.col("least.term").alias("term")).join(having, "term")
+    met = cut_lineage(placed.select("shard", "phrase"))
+    sizes = met.groupBy("shard").agg(F.ceil(F.count("*") / block_phrases).alias("blocks"))
+    block = F.pmod(F.col("phrase"), F.col("blocks")).alias("block")
+    rows = met.join(sizes, "shard").select("shard", block, "phrase").join(phrases.select("phrase", "terms"), "phrase")
+    return rows.groupBy("shard", "block").agg(F.collect_list(F.struct("phrase", "terms")).alias("phrases")).drop("block")
 
 
 def occurrences(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
     item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slack: int | None = None,
-    block_bytes: int = BLOCK_BYTES,
+    block_phrases: int = BLOCK_PHRASES,
 ) -> DataFrame:
-    """One row per document row: doc_id, key (xxhash64 of doc_id and text), n_words, and `hits`, an array
-    of (first, last, items, near): word positions of each match of a benchmark window and the items that
-    have that window.
-
-    The windows of the benchmark are stored in blocks of about `block_bytes`, and every block meets every
-    shard of the documents, which are read and indexed once; the driver holds no text, only a bitmap of terms.
-    Null texts have no words, null item texts and ids no windows, empty tables give no rows or no hits.
-    Repeated rows are kept; other columns are not read.
+    """One row per document row: doc_id, key (xxhash64 of doc_id and text), n_words, `hits`, an array of (first, last,
+    phrase, near): word positions of each match of a benchmark window, and `items`, the ids of all items that have
+    one of these windows, sorted.
+
+    The documents are read and indexed once, and a shard meets at most about `block_phrases` phrases at once; the driver
+    holds no text, only a bitmap of terms. Null texts have no words, null item texts and ids no windows, empty tables
+    give no rows or no hits. A very long document has a shard of its own. Repeated rows are kept; other columns are not
+    read.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -178,14 +184,8 @@ def occurrences(
     items = benchmark.select(col(item_id).cast("string").alias("item"), col(item_text).alias("text")).dropna()
     phrases = cut_lineage(phrase_rows(items, window))
 
-    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            used = {t for phrase in batch["phrase"] for t in phrase.encode().split(b" ")}
-            yield pd.DataFrame({"term": hashed(used, len(used))})
-
-    used = cut_lineage(phrases.select("phrase").mapInPandas(terms, "term long").distinct())
+    used = cut_lineage(phrases.select(F.explode("terms").alias("term")).distinct())
     known = spark.sparkContext.broadcast(Membership.of(used, "term"))
-    blocks = cut_lineage(phrase_blocks(phrases, block_bytes))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, count, ids, keys, number = [], 0, [], [], TaskContext.get().partitionId() << 32
@@ -211,8 +211,9 @@ def occurrences(
         for batch in batches:
             for shard in batch.itertuples():
                 hits: dict[int, list] = {}
-                for doc, first, last, phrase, near in lookup(shard, [p.tolist() for p in shard.phrases], slack):
-                    hits.setdefault(doc, []).append((first, last, list(shard.owners[phrase]), near))
+                phrases = [list(p["terms"]) for p in shard.phrases]
+                for doc, first, last, at, near in lookup(shard, phrases, slack):
+                    hits.setdefault(doc, []).append((first, last, shard.phrases[at]["phrase"], near))
                 if hits:
                     yield pd.DataFrame(
                         {"shard": [shard.shard] * len(hits), "doc": list(hits), "hits": list(hits.values())})
@@ -220,12 +221,17 @@ def occurrences(
     rows = source.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("doc_id", as_text("doc_id"))
     stored = cut_lineage(rows.select("doc_id", "key", "text").mapInPandas(index, SHARD))
     lists = stored.select("shard", "starts", "terms", "offsets", "positions")
-    found = lists.crossJoin(blocks.hint("shuffle_replicate_nl")).mapInPandas(search, HITS).groupBy("shard", "doc").agg(
-        F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    pairs = wanted(phrases, stored.select("shard", "terms"), block_phrases).join(lists, "shard")
+    found = cut_lineage(pairs.mapInPandas(search, HITS))
+    hits = found.groupBy("shard", "doc").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    seen = found.select("shard", "doc", F.explode("hits.phrase").alias("phrase")).distinct()
+    owners = phrases.select("phrase", F.explode("items").alias("item"))
+    items = seen.join(owners, "phrase").groupBy("shard", "doc").agg(F.array_sort(F.collect_set("item")).alias("items"))
     each = stored.select("shard", F.posexplode(F.arrays_zip("ids", "keys", "sizes")).alias("doc", "row"))
-    return each.join(found, ["shard", "doc"], "left").select(
+    return each.join(hits, ["shard", "doc"], "left").join(items, ["shard", "doc"], "left").select(
         F.col("row.ids").cast("long").alias("doc_id"), F.col("row.keys").alias("key"), F.col("row.sizes").alias("n_words"),
-        F.coalesce("hits", F.array().cast("array<struct<first:int,last:int,items:array<string>,near:boolean>>")).alias("hits"))
+        F.coalesce("hits", F.array().cast(f"array<{HIT}>")).alias("hits"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def judged(matches: DataFrame) -> DataFrame:
@@ -235,14 +241,13 @@ def judged(matches: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, key, size, hits in zip(*(batch[c] for c in ("doc_id", "key", "n_words", "hits"))):
+            for doc, key, size, hits, found in zip(*(batch[c] for c in ("doc_id", "key", "n_words", "hits", "items"))):
                 hit = np.zeros(size + 1, np.int32)
                 for h in hits:
                     hit[h["first"]] += 1
                     hit[h["last"] + 1] -= 1
-                found = sorted({i for h in hits for i in h["items"]})
                 n_hit = int((np.cumsum(hit[:size]) > 0).sum())
-                rows.append((doc, key, size, n_hit, len(found), found, n_hit > 0 and 20 * n_hit >= size))
+                rows.append((doc, key, size, n_hit, len(found), list(found), n_hit > 0 and 20 * n_hit >= size))
             out = pd.DataFrame(
                 rows, columns=["doc_id", "key", "n_words", "n_hit", "n_items", "items", "contaminated"])
             yield out
