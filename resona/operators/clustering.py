@@ -113,33 +113,36 @@ def centroids(df: DataFrame, cluster: str = "cluster", features: str = "features
     )
 
 
-def squared_distance(vector: Column, centre: Column) -> Column:
-    """Squared Euclidean distance of a sparse or dense vector to a dense array."""
+def squared_norm(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + x * x)
+
+
+def squared_distance(vector: Column, centre: Column, norm: Column) -> Column:
+    """Squared Euclidean distance of a sparse or dense vector to a dense array with the squared length `norm`."""
     pairs = F.arrays_zip(tfidf.indices(vector).alias("i"), tfidf.values(vector).alias("v"))
-    norm = F.aggregate(centre, F.lit(0.0), lambda acc, x: acc + x * x)
     return F.greatest(norm + F.aggregate(
         pairs, F.lit(0.0),
         lambda acc, e: acc + e["v"] * (e["v"] - 2 * F.get(centre, e["i"])),
     ), F.lit(0.0))
 
 
+def _nearest(features: str, listed: Column) -> Column:
+    """The cluster of the nearest of an array of (cluster, centre, norm); the lowest id wins a tie."""
+    nearest = F.array_min(F.transform(listed, lambda c: F.struct(
+        F.round(squared_distance(F.col(features), c["centre"], c["norm"]), 9).alias("d"), c["cluster"].alias("cluster"))))
+    return nearest["cluster"]
+
+
 def kmeans_assign(df: DataFrame, centres: DataFrame, features: str = "features") -> DataFrame:
     """Add `cluster`, the nearest of the given (cluster, centre) rows; the lowest id wins a tie.
 
     The centres are a model of a few rows; they reach the rows as one array from a scalar subquery,
     so there is no join and every row meets its k centres in place.
     """
-    listed = centres.agg(F.array_sort(F.collect_list(F.struct("cluster", "centre"))).alias("c"))
-    nearest = F.array_min(F.transform(
-        F.col("_centres"),
-        lambda c: F.struct(
-            F.round(squared_distance(F.col(features), c["centre"]), 9).alias("d"), c["cluster"].alias("cluster")
-        ),
-    ))
-    return (
-        df.withColumn("_centres", listed.scalar()).withColumn("cluster", nearest["cluster"])
-        .drop("_centres")
-    )
+    row = F.struct("cluster", "centre", squared_norm(F.col("centre")).alias("norm"))
+    listed = centres.agg(F.array_sort(F.collect_list(row)).alias("c"))
+    found = df.withColumn("_centres", listed.scalar())
+    return found.withColumn("cluster", _nearest(features, F.col("_centres"))).drop("_centres")
 
 
 def silhouette(
@@ -213,9 +216,9 @@ def cluster_representatives(
     """The n rows nearest to the mean of their cluster. Each task keeps its own n best rows of a
     cluster before anything is shuffled (window group limit)."""
     rows = df.where(F.col(cluster).isNotNull())
-    centres = broadcast_checked(centroids(rows, cluster, features))
-    distance = F.sqrt(squared_distance(F.col(features), F.col("centre")))
-    measured = rows.join(centres, cluster).withColumn("distance", distance).drop("centre")
+    centres = centroids(rows, cluster, features).withColumn("_norm", squared_norm(F.col("centre")))
+    distance = F.sqrt(squared_distance(F.col(features), F.col("centre"), F.col("_norm")))
+    measured = rows.join(broadcast_checked(centres), cluster).withColumn("distance", distance).drop("centre", "_norm")
     order = W.partitionBy(cluster).orderBy(F.round("distance", 9), row_id)
     return measured.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
@@ -418,10 +421,11 @@ class ClusterModel:
 
     def assign(self, vectors: DataFrame, output: str = "cluster") -> DataFrame:
         """Add the nearest centre of rows with `features`; null for rows that are not clustered."""
-        listed = F.array(*[F.struct(F.lit(i).alias("cluster"), _constant(c).alias("centre")) for i, c in enumerate(self.centres)])
-        nearest = F.array_min(F.transform(listed, lambda c: F.struct(
-            F.round(squared_distance(F.col("features"), c["centre"]), 9).alias("d"), c["cluster"].alias("cluster"))))
-        return vectors.withColumn(output, F.when(valid_row(), nearest["cluster"]))
+        listed = F.array(*[
+            F.struct(F.lit(i).alias("cluster"), _constant(c).alias("centre"), F.lit(float(sum(x * x for x in c))).alias("norm"))
+            for i, c in enumerate(self.centres)
+        ])
+        return vectors.withColumn(output, F.when(valid_row(), _nearest("features", listed)))
 
     def apply(self, df: DataFrame, text: str = "commenttext") -> DataFrame:
         """Add `cluster_label` to every row, in place: no join, no shuffle, batch or stream. Texts that are not

@@ -88,13 +88,14 @@ def draw(found: DataFrame, size: int, k: int, restarts: int, seed: int) -> list[
 
         def race(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: dict[int, tuple] = {}
+            drawn = [i for i, centres in enumerate(shared.value) if len(centres) == step]
+            known = np.vstack([shared.value[i] for i in drawn]) if step and drawn else None
             for h, w, rows in _blocks(batches, size):
-                for start, centres in enumerate(shared.value):
-                    if len(centres) < step:
-                        continue
+                near = None if known is None else _distances(rows, known).reshape(len(rows), len(drawn), step).min(axis=2)
+                for place, start in enumerate(drawn):
                     a, b = multipliers(start, step, seed)
                     u = ((h * a + b) % PRIME + 1) / (PRIME + 1)
-                    rate = w * (_distances(rows, centres).min(axis=1) if step else 1.0)
+                    rate = w * (1.0 if near is None else near[:, place])
                     with np.errstate(divide="ignore"):
                         time = np.where(rate > 0, -np.log(u) / rate, math.inf)
                     i = int(time.argmin())

@@ -153,10 +153,9 @@ def test_all_models_at_once_equal_separate_fits(spark):
     scores = kmeans.silhouettes(found, best)
     for k in ks:
         near = ((data[:, None] - best[k].centres[None]) ** 2).sum(-1).argmin(1)
-        own = [(float(x), int(c)) for x, c in zip(weights, near)]
-        copies = df.join(spark.createDataFrame([(f"t{i}", c) for i, (_, c) in enumerate(own)], "id string, cluster int"), "id")
-        copies = copies.withColumn("features", array_to_vector("v"))
-        assert abs(scores[k] - K.silhouette(copies, weight="weight")) < 1e-6
+        rows = [([float(x) for x in p], int(c)) for p, c, w in zip(data, near, weights) for _ in range(int(w))]
+        copies = spark.createDataFrame(rows, "v array<double>, cluster int").withColumn("features", array_to_vector("v"))
+        assert abs(scores[k] - K.silhouette(copies)) < 1e-6  # a weight stands for so many rows
     found.unpersist()
 
 
