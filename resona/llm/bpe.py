@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resona.llm.common import bounded_batches, col, read
+from resona.llm.common import bounded_batches, col, read, short_plan_texts
 from resona.session import cut_lineage
 
 KNOWN_WORDS = 50_000  # most frequent distinct words: encoded once in Spark, looked up by all tasks
@@ -83,15 +83,15 @@ def pair_rows(path: str) -> tuple[np.ndarray, np.ndarray]:
 
 def literal(values, kind: str) -> Column:
     """A constant column of a nested value; Spark parses it once, when it plans."""
-    return F.from_json(F.lit(json.dumps(values)), kind)
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
 
 
 def pair_table(path: str) -> Column:
-    """The literal that `joined` looks pairs up in."""
+    """The literal that `joined` looks pairs up in; free places are null."""
     starts, entries = pair_rows(path)
     return F.struct(
         literal(starts.tolist(), "array<int>").alias("starts"),
-        literal(entries.tolist(), "array<bigint>").alias("entries"),
+        literal([None if x == NO_ENTRY else x for x in entries.tolist()], "array<bigint>").alias("entries"),
     )
 
 
@@ -273,7 +273,8 @@ def encode(
     top = counts.orderBy(F.desc("n"), "word").limit(known_words)
     spread = top.select(F.encode("word", "UTF-8").alias("word")).repartition(
         4 * spark.sparkContext.defaultParallelism)  # the limit leaves one part
-    stored = cut_lineage(encode_words(spread, path))
+    with short_plan_texts(spark):
+        stored = cut_lineage(encode_words(spread, path))
     packed = stored.select(F.decode("word", "UTF-8").alias("word"), "ids").toArrow()
     words, found = packed["word"].to_pylist(), packed["ids"]
     known = {w: i for i, w in enumerate([*whole, *words])}

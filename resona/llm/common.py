@@ -1,5 +1,8 @@
 """What the operators share: reading tables, bounded Arrow batches, connected components."""
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,23 @@ def scratch(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+@contextmanager
+def short_plan_texts(spark: SparkSession, most: int = 20_000) -> Iterator[None]:
+    """While it lasts, the printed plans that Spark keeps of each query end after `most` characters: one with a large
+    literal would be held several times over by the driver. A smaller setting of the session stays."""
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key, None)
+    if before is None or not before.isdigit() or int(before) > most:
+        spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Hand Python workers at most BATCH_ROWS rows at once: texts are long, and a batch is held whole.
     A smaller setting of the session stays."""
