@@ -26,7 +26,7 @@ from resona.session import cut_lineage
 SCALE = 1024
 PARTS, ENTRIES, ROUNDS = 4, 256, 4
 BLOCK = 1024  # parts compared at once
-FIRST = 4  # coefficients before the first entries are given up; then as many again, and so on
+FIRST = 8  # coefficients before the first entries are given up; then as many again, and so on
 
 
 def sequency(size: int) -> np.ndarray:
