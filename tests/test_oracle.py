@@ -26,6 +26,10 @@ def test_every_statement_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_flagship(spark):
-    rows = entry.entry(spark).collect()
-    assert len(rows) == 6 and all(0 < r["avg_prs"] < 1 for r in rows)
+def test_flagship(spark, duck):
+    """Mean score by category of the whole chain, categories fitted on the comments."""
+    rows = {r["cluster_label"]: r["avg_prs"] for r in entry.entry(spark).collect()}
+    chain = entry.oracle_sql()["score_comments"]
+    expected = dict(duck.execute(
+        f"SELECT cluster_label, avg(product_resonance_score) FROM ({chain}) GROUP BY cluster_label").fetchall())
+    assert rows == {k: pytest.approx(v, abs=1e-5) for k, v in expected.items()} and len(rows) > 1
