@@ -6,6 +6,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from resona.functions import text as T
 from resona.operators import clustering as K
 from resona.operators import kmeans, tfidf
 
@@ -316,3 +317,45 @@ def test_product_clusters_keep_every_row(spark):
 def test_product_clusters_without_a_vocabulary(spark, texts):
     rows = K.product_clusters(comments(spark, texts) if texts else comments(spark, ["x"]).limit(0)).collect()
     assert [r["cluster_label"] for r in rows] == ["others"] * len(texts)
+
+
+ODD_TEXTS = [
+    None, "", "  ", "soooo goood 😍 #tag @me spf50 xxrtzk 12 a i u r2 luv idk w/ tbh products\\nserum cream toner", "ÀÉ İx Kelvin shades",
+    "aaaa1111bbbb 3ce c3po brb123 the_end under_score", "serum\x85cream\x1cgel 　 lip-stick #a#b @c@d e@f", "2 4 w/ b4 plz omg",
+]
+
+
+def test_tokens_in_batches_equal_those_by_columns(spark):
+    df = comments(spark, ODD_TEXTS + TEXTS)
+    both = df.select(
+        K.reduced_tokens(T.plain_text_cluster(F.col("commenttext"))).alias("a"),
+        K.tokens_by_columns(T.clean_text_cluster(F.col("commenttext"))).alias("b"),
+        K.reduced_tokens(T.plain_text_cluster(F.col("commenttext")), lemmas=None).alias("c"),
+        K.tokens_by_columns(T.clean_text_cluster(F.col("commenttext")), lemmas=None).alias("d"),
+    ).collect()
+    assert all(r["a"] == r["b"] and r["c"] == r["d"] for r in both) and any(r["a"] for r in both)
+
+
+def test_terms_of_tokens_equal_terms_of_ngrams(spark, monkeypatch):
+    """Pairs are counted only where they can get in, and nothing is lost: words as frequent as the last one stay."""
+    rows = [(["aa", "bb", "aa", "bb", "x"],), (["bb", "aa", "cc"],), ([],), (["cc", "dd", "ee", "ff"],), (["zz", None, "aa", "bb"],)]
+    df = spark.createDataFrame(rows * 3, "tokens array<string>")
+    for spaced in (df, df.unionByName(spark.createDataFrame([(["aa bb", "aa", "bb"],)], df.schema))):
+        terms = spaced.withColumn("t", tfidf.ngrams(F.col("tokens")))
+        for most, block in ((3, 1), (100, tfidf.BLOCK)):
+            monkeypatch.setattr(tfidf, "BLOCK", block)
+            model = tfidf.fit(spaced, "tokens", most, sizes=tfidf.SIZES)
+            assert model == tfidf.fit(terms, "t", most)
+            told = model.transform(model.transform(terms, "t", "x"), "tokens", "y", tfidf.SIZES).select("x", "y").collect()
+            assert all(r["x"] == r["y"] for r in told)
+        sums = {r["index"]: r["total"] for r in model.totals(spaced, "tokens", tfidf.SIZES).collect()}
+        parts = tfidf.entries(model.transform(terms, "t"), []).groupBy("index").agg(F.sum("weight").alias("w")).collect()
+        assert sums == pytest.approx({r["index"]: r["w"] for r in parts})
+
+
+def test_rare_pairs_are_not_counted(spark):
+    words = [f"w{i:03}" for i in range(60)]
+    df = spark.createDataFrame([(["aa", "bb", w],) for w in words], "tokens array<string>")
+    counted = tfidf._counted(df, "tokens", (1,))
+    assert sorted(tfidf._frequent(counted, 2, 60)) == ["aa", "bb"]
+    assert tfidf._frequent(counted, 70, 60) is None
