@@ -5,6 +5,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from resona.functions.guard import VALID, sql_reason
 
@@ -21,16 +22,20 @@ def fk_audit(
     """Child keys without a parent: (constraint, key, n_rows) over all given references.
 
     Each reference is (name, child, child column, parent, parent column). Child rows are counted per
-    key before the anti join, so a key with very many rows is one row there.
+    key before the anti join, so a key with very many rows is one row there. Whole numbers of one type are counted and
+    joined as they are, which holds much less memory than their digits; other keys as text.
     """
     parts = []
     for name, child, column, parent, parent_column in references:
-        used = child.select(F.col(column).cast("string").alias("key")).where("key IS NOT NULL")
+        kinds = {df.schema[c].dataType for df, c in ((child, column), (parent, parent_column))}
+        kind = kinds.pop() if len(kinds) == 1 else StringType()
+        kind = kind if isinstance(kind, IntegralType) else StringType()
+        used = child.select(F.col(column).cast(kind).alias("key")).where("key IS NOT NULL")
         counted = used.groupBy("key").agg(F.count("*").alias("n_rows"))
-        known = parent.select(F.col(parent_column).cast("string").alias("key"))
+        known = parent.select(F.col(parent_column).cast(kind).alias("key"))
         parts.append(
             counted.join(known, "key", "left_anti")
-            .select(F.lit(name).alias("constraint_name"), "key", "n_rows")
+            .select(F.lit(name).alias("constraint_name"), F.col("key").cast("string").alias("key"), "n_rows")
         )
     return reduce(DataFrame.unionByName, parts)
 
