@@ -31,15 +31,14 @@ class Metric:
     keys: tuple[str, ...] = ()
 
 
-POINTS = "Chart: Engagement Rate VS Product Resonance Score"
-
 # Metric names of the dashboards.
 METRICS: dict[str, Metric] = {
     "KPI: Total Video Analyzed": Metric(lambda s: kpi.kpi_total_videos(s.videos)),
     "KPI: Average Engagement Rate": Metric(lambda s: kpi.kpi_avg_engagement(s.videos)),
     "KPI: Average PRS Score": Metric(lambda s: kpi.kpi_avg_prs(s.comments)),
     "KPI: Video Quality Comments Ratio": Metric(lambda s: kpi.kpi_quality_comment_ratio(s.comments)),
-    POINTS: Metric(lambda s: kpi.engagement_vs_prs(s.comments, s.videos)),
+    "Chart: Engagement Rate VS Product Resonance Score":
+        Metric(lambda s: kpi.engagement_vs_prs(s.comments, s.videos)),
     "Chart: Average SoE Metric by Content Duration": Metric(
         lambda s: kpi.avg_by_duration(kpi.per_video(s.comments), s.videos), ("contentduration_seconds",)),
     "Chart: Top Liked Product Category Content": Metric(
@@ -126,10 +125,9 @@ def _comment_metrics(days: DataFrame) -> dict[str, DataFrame]:
 
 
 def metric_catalogue(star: Star) -> DataFrame:
-    """Every metric as one long table (metric, key, measure, value), but for the chart that lists every comment
-    (`POINTS`, see `fetch_metric`): so the rows are bounded by the groups, not by the comments.
+    """Every metric as one long table (metric, key, measure, value), the chart that lists every comment among them.
 
-    The comments are read once, for the sums by day and by video.
+    The comments are read twice: for the sums by day and by video, and for that chart.
     """
     days, videos = fact_sums(star.comments)
     shared = _comment_metrics(days)
@@ -138,5 +136,5 @@ def metric_catalogue(star: Star) -> DataFrame:
     shared["Chart: Top Liked Product Category Content"] = kpi.top_liked_category(videos, star.videos)
     return reduce(DataFrame.unionByName, [
         _long(name, shared[name] if name in shared else metric.run(star))
-        for name, metric in METRICS.items() if name != POINTS
+        for name, metric in METRICS.items()
     ])

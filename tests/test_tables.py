@@ -253,3 +253,23 @@ def test_sections(spark):
         "product_analysis": "lost? no", "content_performance": "clip", "recommendations": "",
     }
     assert set(row[1][1:]) == {""}
+
+
+def test_key_audit_counts_whole_numbers_as_they_are(spark):
+    child = spark.createDataFrame([(1, "1", 1), (2, "x", 2), (2, None, 2), (None, "01", None)], "a long, b string, c int")
+    parent = spark.createDataFrame([(1, 1), (1, None), (None, 3)], "k long, j int")
+    found = audit.fk_audit([
+        ("long", child, "a", parent, "k"), ("text", child, "b", parent, "k"), ("int", child, "c", parent, "k")])
+    assert sorted(map(tuple, found.collect())) == [("int", "2", 2), ("long", "2", 2), ("text", "01", 1), ("text", "x", 1)]
+    alike = audit.fk_audit([("long", child, "a", parent, "k")])._jdf.queryExecution().optimizedPlan().toString()
+    assert "cast(a" not in alike
+
+
+def test_the_catalogue_lists_every_comment(spark, base):
+    from resona.plans.registry import registry
+
+    chart = "Chart: Engagement Rate VS Product Resonance Score"
+    found = registry()["metric_catalogue"](spark, base).where(F.col("metric") == chart)
+    counts = {r["measure"]: r["count"] for r in found.groupBy("measure").count().collect()}
+    n = registry()["engagement_vs_prs"](spark, base).count()
+    assert counts == {"engagement_rate": n, "product_resonance_score": n} and n
