@@ -156,3 +156,25 @@ def test_named_sequences_come_first(apply):
     names = {"🇫🇷": "France", "👍": "yes", "👍🏽": "yes_indeed"}
     assert apply(lambda c: T.demojize(c, names), "🇫🇷👍🏽👍🏿👍") == ":France::yes_indeed::yes_dark_skin_tone::yes:"
     assert apply(T.extract_emojis, "👍🏽 🇫🇷 👩‍💻 1️⃣ 👍🏽 ☀") == sorted(SEQUENCES[e] for e in ("👍🏽", "🇫🇷", "👩‍💻", "1️⃣"))
+
+
+def test_words_left_in_batches_equal_those_by_columns(spark):
+    texts = [None, "", " ", "the serum\x85is\x1cnice　a", "where can i buy it it'll", "ünï the é", " the ", "x  y\n\nz"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    stop = W.ENGLISH_STOP_WORDS
+    rows = df.select(
+        T.without_words(F.col("x"), stop).alias("a"), F.array_join(T.remove_stopwords(T.split_words(F.col("x")), stop), " ").alias("b"),
+    ).collect()
+    assert all(r["a"] == r["b"] for r in rows)
+
+
+def test_the_distribution_of_labels_scores_each_text_once(spark):
+    from resona.operators import actionability as A
+    from resona.operators.report import actionability_distribution
+
+    df = spark.createDataFrame([("buy it now",), (None,), ("hello",)], "commenttext string")
+    counted = actionability_distribution(A.actionability(df))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("hits_by_automaton(") == 1
+    given = spark.createDataFrame([("x",), (None,), ("x",), ("y",)], "actionability_label string")
+    assert [tuple(r) for r in actionability_distribution(given).collect()] == [("x", 2), ("y", 1)]
