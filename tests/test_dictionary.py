@@ -69,3 +69,14 @@ def test_relevance_by_given_vectors(spark):
     assert {k: v if v is None else pytest.approx(v) for k, v in expected.items()} == got
     scored = R.relevance(R.preprocess_comments(comments), videos, vector="embedding").collect()
     assert {r["commentid"]: r["weighted_relevance"] for r in scored} == {k: pytest.approx(v or 0.0) for k, v in expected.items()}
+
+
+def test_only_words_with_a_form_come_back_to_their_row(spark):
+    forms = spark.createDataFrame([("cats", "cat"), ("nyc", "new york"), ("gone", None)], "token string, form string")
+    rows = [(1, ["Cats", "x", "cats", None, "nyc"]), (2, ["gone", "A b"]), (2, ["cats"]), (None, ["Cats"]), (3, [None]), (4, []), (5, None)]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>")
+    found = sorted((str(r.id), r.tokens) for r in replace_tokens(df, "id", forms).collect() if r.tokens)
+    assert found == [
+        ("1", ["cat", "x", "cat", "new", "york"]), ("2", ["cat"]), ("2", ["gone", "a", "b"]), ("3", [None]), ("None", ["Cats"])]
+    met = replace_tokens(df, "id", forms)._jdf.queryExecution().optimizedPlan().toString()
+    assert "places" not in met and "collect_list" not in met
