@@ -65,9 +65,11 @@ def embed(df: DataFrame, keys: Sequence[str], text: str, idf: DataFrame) -> Data
 
 
 def _raw_weights(df: DataFrame, keys: Sequence[str], text: str, idf: DataFrame) -> DataFrame:
-    """Words are counted per text before they meet their idf, so a frequent word is shuffled once per text."""
-    counted = _words(df, keys, text).groupBy(*keys, "term").agg(F.count("*").alias("_tf"))
-    return counted.join(idf, "term").select(*keys, "term", (F.col("_tf") * F.col("idf")).alias("weight"))
+    """Words are counted per text before they meet their idf, so a frequent word is shuffled once per text, and words
+    without an idf go before rows of equal keys are added up."""
+    counted = df.select(*keys, F.inline(tfidf.word_counts(F.col(text))))
+    met = counted.join(idf, "term").groupBy(*keys, "term", "idf").agg(F.sum("tf").alias("_tf"))
+    return met.select(*keys, "term", (F.col("_tf") * F.col("idf")).alias("weight"))
 
 
 def embed_dense(
