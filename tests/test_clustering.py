@@ -359,3 +359,30 @@ def test_rare_pairs_are_not_counted(spark):
     counted = tfidf._counted(df, "tokens", (1,))
     assert sorted(tfidf._frequent(counted, 2, 60)) == ["aa", "bb"]
     assert tfidf._frequent(counted, 70, 60) is None
+
+
+def test_models_that_stand_still_are_not_scanned_again(spark, monkeypatch):
+    from resona.operators import kmeans
+
+    scanned, add_up = [], kmeans._add_up
+    monkeypatch.setattr(kmeans, "_add_up", lambda found, models, size: scanned.append(len(models)) or add_up(found, models, size))
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(10 * (i % 3), 1 + i % 2, 4)]) for i in range(300)]
+    found = kmeans.points(K.dense_features(spark.createDataFrame(rows, "id int, v array<double>"), "v"), "id").localCheckpoint()
+    models = kmeans.fit_all(found, [2, 3, 4], restarts=4, seed=1)
+    assert scanned[0] == scanned[-1] == 12 and min(scanned) < 12
+    for model in models.values():
+        again = add_up(found, [model.centres], 4)[0]
+        assert np.allclose(again["sums"] / again["weights"][:, None], model.centres)
+
+
+def test_assignment_in_batches_equals_that_by_columns(spark):
+    from resona.operators import kmeans
+
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.integers(0, 3, 5)]) for i in range(200)]
+    df = K.dense_features(spark.createDataFrame(rows, "id int, v array<double>"), "v")
+    centres = rng.integers(0, 3, (4, 5)).astype(float)
+    listed = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cluster int, centre array<double>")
+    both = K.kmeans_assign(df, listed).select("cluster", kmeans.nearest(F.col("features"), centres).alias("own")).collect()
+    assert len(both) == 200 and all(r.cluster == r.own for r in both)

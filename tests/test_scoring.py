@@ -225,3 +225,33 @@ def test_models_of_the_chain_can_be_swapped(spark, base):
     assert {r["spam_score"] for r in scored} <= {0.0, 0.9, 1.0} and {0.0, 0.9} <= {r["spam_score"] for r in scored}
     relevances = {round(r["weighted_relevance"], 6) for r in scored}
     assert relevances <= {0.0, round(0.5 ** 0.5, 6), round(0.5 ** 0.5 + 0.1, 6)} and len(relevances) > 1
+
+
+def test_logits_in_batches_equal_those_by_columns(spark):
+    from pyspark.sql import functions as F
+
+    from resona.functions import linear, text as T
+
+    texts = ["", None, "love LOVE worst", "éblove bad good", "see http://x.yz/love great-buy", "@love now", "  free\nwin  "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.regexp_replace(F.lower(T.clean_text_sentiment(F.col("t"))), "[^a-z0-9]+", " ")
+    clean = T.clean_text_basic(F.col("t"))
+    both = [
+        (linear.text_logit(F.lower(T.without_links_and_mentions(F.col("t"))), linear.SENTIMENT_WEIGHTS, 0.25, plain=True),
+         linear.logit(T.split_words(plain), linear.SENTIMENT_WEIGHTS, 0.25)),
+        (linear.text_logit(clean, linear.SPAM_WEIGHTS, -2.0), linear.logit(T.split_words(clean), linear.SPAM_WEIGHTS, -2.0)),
+        (linear.text_logit(F.col("t"), {"win": 1.0}, 0.0).isNull(), F.col("t").isNull()),
+    ]
+    for row in df.select(*[F.struct(a.alias("a"), b.alias("b")).alias(f"p{i}") for i, (a, b) in enumerate(both)]).collect():
+        assert all(p.a == p.b for p in row)
+
+
+def test_words_without_an_idf_are_not_shuffled_with_their_text(spark):
+    from resona.operators import relevance as R
+
+    df = spark.createDataFrame([(1, "a bb bb zz"), (1, "bb cc"), (2, None), (3, ""), (None, "cc")], "k int, t string")
+    idf = spark.createDataFrame([("bb", 2.0), ("cc", 1.0)], "term string, idf double")
+    met = R._raw_weights(df, ["k"], "t", idf)
+    assert sorted((str(r.k), r.term, r.weight) for r in met.collect()) == [("1", "bb", 6.0), ("1", "cc", 1.0), ("None", "cc", 1.0)]
+    lines = met._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert [x for x in lines if "Join" in x or "Aggregate" in x][0].strip().startswith("Aggregate")
