@@ -215,3 +215,48 @@ def test_null_ids_repeated_rows_and_empty_table(spark, docs):
 def test_words_are_cut_with_their_space():
     assert p.without("a b  c\nd e", [(1, 2)]) == "a d e"
     assert p.without(" a b", [(0, 1)]) == "" and p.without("a b c", [(1, 2)]) == "a"
+
+
+def test_what_is_found_behind_a_failed_lead_does_not_depend_on_the_size_of_its_group(spark, docs):
+    """Near copies that differ next to what they share with the lead; many documents that share only that."""
+    rng, sizes, rows = random.Random(14), (0, 12), []
+    seeds = p.mixed(np.arange(1, p.HASHES + 1, dtype=np.uint64))
+
+    def holds_minima(words):
+        tokens = p.shingles(" ".join(words))
+        return all(10 <= p.mixed(tokens ^ s).argmin() <= 35 for s in seeds)
+
+    pairs = []
+    while len(pairs) < 8:
+        words = text(rng, 60)
+        other = words[:40] + text(rng, 1) + words[41:]
+        if holds_minima(words) and holds_minima(other):
+            pairs.append((words, other, text(rng, 60), text(rng, 60), text(rng, 60)))
+    for side, size in enumerate(sizes):
+        for i, (words, other, *tails) in enumerate(pairs):
+            made = [words[:40] + tails[0], words + tails[1], other + tails[2]]
+            made += [words[:40] + text(rng, 60) for _ in range(size)]
+            rows += [(10_000 * side + 100 * i + j, w) for j, w in enumerate(made)]
+    results = []
+    for side in range(len(sizes)):
+        own = [(i % 10_000, " ".join(w)) for i, w in rows if i // 10_000 == side]
+        found = marked(p.passages(docs(*own)).collect())
+        results.append({i: x for i, x in found.items() if i % 100 < 3})
+    assert results[0] == results[1]
+    assert sum(n > 0 for _, n, _ in results[0].values()) >= 4
+
+
+def test_windows_of_all_equal_those_of_each():
+    rng = np.random.default_rng(15)
+    texts = [rng.integers(1, top, n).astype(np.uint64) for n, top in (
+        (0, 9), (3, 9), (200, 2**62), (7, 2**62), (300, 12), (8, 3), (40, 2), (0, 9), (90, 2**62))]
+    starts = np.append(0, np.cumsum([len(t) for t in texts]))
+    for least in (1, 7, 8, 46):
+        expected = sorted((int(a) + l, int(a) + c, int(a) + r) for a, t in zip(starts, texts) for l, c, r in p.windows(t, least))
+        assert sorted(map(tuple, p.windows_of_all(np.concatenate(texts), starts, least).tolist())) == expected
+
+
+def test_shingles_of_several_texts():
+    texts = ["a b c d e f", None, "", "x", "A  b\tC d e", "p q r s t u v w"]
+    tokens, starts = p.shingled(texts)
+    assert [tokens[a:b].tolist() for a, b in zip(starts, starts[1:])] == [p.shingles(t).tolist() for t in texts]
