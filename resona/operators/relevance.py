@@ -2,13 +2,13 @@
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Word2Vec
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resona.functions.text import clean_text_basic, extract_hashtags, split_words
 from resona.functions.video import combined_video_text
-from resona.operators import tfidf
+from resona.operators import tfidf, wordvectors
 from resona.plans.skew import salted_join
 from resona.session import cut_lineage
 
@@ -75,15 +75,14 @@ def _raw_weights(df: DataFrame, keys: Sequence[str], text: str, idf: DataFrame)
 def embed_dense(
     df: DataFrame, text: str, output: str, size: int = 32, parts: int = 8, min_count: int = 1
 ) -> DataFrame:
-    """The other embedding: mean of word vectors trained on the same texts.
+    """The other embedding: mean of word vectors trained on the same texts (see `wordvectors`).
 
-    The trainer holds one vector of `size` floats for each distinct word that occurs at least
-    `min_count` times on the driver and in the tasks; raise `min_count` for large vocabularies.
+    Words that occur fewer than `min_count` times have no vector and count as zeros. The texts are trained in at
+    least `parts` parts; neither the driver nor a task holds the whole vocabulary.
     """
-    words = df.withColumn("_words", split_words(F.col(text)))
-    model = Word2Vec(vectorSize=size, minCount=min_count, seed=42, numPartitions=parts, maxIter=1,
-                     inputCol="_words", outputCol=output).fit(words)
-    return model.transform(words).drop("_words")
+    words = df.withColumn("_words", F.coalesce(split_words(F.col(text)), F.array().cast("array<string>")))
+    found = wordvectors.embedded(words, "_words", output, size, parts, min_count)
+    return found.withColumn(output, array_to_vector(F.col(output))).drop("_words")
 
 
 def one_text(videos: DataFrame) -> DataFrame:
