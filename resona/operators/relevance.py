@@ -80,9 +80,8 @@ def embed_dense(
     Words that occur fewer than `min_count` times have no vector and count as zeros. The texts are trained in at
     least `parts` parts; neither the driver nor a task holds the whole vocabulary.
     """
-    words = df.withColumn("_words", F.coalesce(split_words(F.col(text)), F.array().cast("array<string>")))
-    found = wordvectors.embedded(words, "_words", output, size, parts, min_count)
-    return found.withColumn(output, array_to_vector(F.col(output))).drop("_words")
+    found = wordvectors.embedded(df, text, output, size, parts, min_count)
+    return found.withColumn(output, array_to_vector(F.col(output)))
 
 
 def one_text(videos: DataFrame) -> DataFrame:

@@ -12,18 +12,20 @@ def texts():
     return found
 
 
-def vectors_of(spark, texts, parts=2, min_count=1):
-    df = spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)], "id long, words array<string>")
-    rows = wordvectors.dealt(df, "words", parts)
-    met = wordvectors.part_words(rows, "words")
-    found = wordvectors.word_vectors(rows, met, "words", 16, min_count, 42).collect()
-    assert len(found) == len({r["word"] for r in found})
-    return {r["word"]: np.array(r["vector"]) for r in found}, rows.select("_part").distinct().count()
+def embedded(spark, listed, parts=2, min_count=1):
+    """By text, its vector; equal texts have one."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(listed)], "id long, t string")
+    rows = wordvectors.embedded(df, "t", "v", 16, parts, min_count).collect()
+    assert sorted(r["id"] for r in rows) == list(range(len(listed)))
+    found = {}
+    for r in rows:
+        assert np.allclose(found.setdefault(r["t"], np.array(r["v"])), r["v"], atol=1e-6)
+    return found
 
 
 def test_words_of_the_same_texts_are_alike(spark):
-    found, _ = vectors_of(spark, texts())
-    unit = {w: v / np.linalg.norm(v) for w, v in found.items()}
+    found = embedded(spark, texts() + " ".join(KINDS).split())
+    unit = {w: v / np.linalg.norm(v) for w, v in found.items() if " " not in w}
     kind = {w: i for i, k in enumerate(KINDS) for w in k.split()}
     inside = [unit[a] @ unit[b] for a in kind for b in kind if a < b and kind[a] == kind[b]]
     across = [unit[a] @ unit[b] for a in kind for b in kind if a < b and kind[a] != kind[b]]
@@ -31,29 +33,27 @@ def test_words_of_the_same_texts_are_alike(spark):
 
 
 def test_the_vocabulary_is_trained_in_parts(spark, monkeypatch):
-    """No part has all words, each word has a vector, and rare ones have none if so wished."""
-    monkeypatch.setattr(wordvectors, "PART_WORDS", 50)
-    many = [f"w{i} w{i + 1} w{i + 2} common" for i in range(300)]
-    found, parts = vectors_of(spark, many)
-    assert set(found) == {w for t in many for w in t.split()} and parts > 10
-    assert all(np.isfinite(v).all() and v.any() for v in found.values())
-    assert set(vectors_of(spark, many, min_count=300)[0]) == {"common"}
+    """No part has all words; a text has the mean of its words' vectors, whether they are of one part or of several."""
+    monkeypatch.setattr(wordvectors, "PART_CHARS", 200)
+    monkeypatch.setattr(wordvectors, "BLOCK", 5)
+    many = [f"w{i} w{i + 1} w{i + 2} common common" for i in range(100)]
+    words = sorted({w for t in many for w in t.split()})
+    df = spark.createDataFrame([(t,) for t in many + words + ["alone alone"]], "t string")
+    rows = wordvectors.dealt(df, "t", 2)
+    met = wordvectors.part_words(rows, "t").groupBy("_part").count().collect()
+    assert len(met) > 5 and max(r["count"] for r in met) < len(words) / 2
+    found = embedded(spark, many + words + ["alone alone"])
+    for t in many:
+        assert np.allclose(found[t], np.mean([found[w] for w in t.split()], axis=0), atol=1e-6)
+    assert all(v.any() for v in found.values())
 
 
-def test_a_text_has_the_mean_of_its_words(spark, monkeypatch):
-    """Over all its words, also without a vector, and in blocks; no words give zeros; other columns and copies stay."""
-    monkeypatch.setattr(wordvectors, "BLOCK", 3)
-    df = spark.createDataFrame(
-        [(1, "a b a".split()), (1, "a b a".split()), (None, []), (3, "b x".split()), (4, "b a a b b a b".split()), (5, ["x"]), (6, None)],
-        "id long, words array<string>")
-    rows = wordvectors.dealt(df, "words", 1)
-    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [4.0, -1.0])], "word string, vector array<float>")
-    found = wordvectors.add_means(rows, wordvectors.part_words(rows, "words"), vectors, "words", 2, "v").collect()
-    got = sorted((r["id"] or 0, [round(x, 6) for x in r["v"]]) for r in found)
-    assert found[0].asDict().keys() == {"id", "words", "v"}
-    assert got == [
-        (0, [0, 0]), (1, [2.0, 1.0]), (1, [2.0, 1.0]), (3, [2.0, -0.5]),
-        (4, [round(19 / 7, 6), round(2 / 7, 6)]), (5, [0, 0]), (6, [0, 0])]
+def test_words_without_a_vector_count_as_zeros(spark):
+    found = embedded(spark, ["a a b", "a", "b a", "", " ", None, "a\u00a0x", "a  a"], min_count=3)
+    a = found["a"]
+    assert a.any() and not found[""].any() and not found[" "].any() and not found[None].any()
+    for t, share in {"a a b": 2 / 3, "b a": 1 / 2, "a\u00a0x": 1 / 2, "a  a": 1}.items():
+        assert np.allclose(found[t], share * a, atol=1e-6)
 
 
 def test_dense_embedding_is_the_same_in_every_run(spark):
