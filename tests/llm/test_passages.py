@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from resona.llm import passages as p
 
@@ -260,3 +261,20 @@ def test_shingles_of_several_texts():
     texts = ["a b c d e f", None, "", "x", "A  b\tC d e", "p q r s t u v w"]
     tokens, starts = p.shingled(texts)
     assert [tokens[a:b].tolist() for a, b in zip(starts, starts[1:])] == [p.shingles(t).tolist() for t in texts]
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_only_groups_that_go_on_are_stored(spark, monkeypatch, few):
+    """Groups of one document, most of them, were stored and shuffled with those of several."""
+    monkeypatch.setattr(p, "FEW_GROUPS", few)
+    names = [c.split()[0] for c in p.GROUPED.split(", ")]
+    rows = spark.createDataFrame([
+        (True, 1, 1, 7, 0, 50, False, [3, 4]), (True, 2, 2, 7, 0, 50, False, [4, 5]), (True, 3, 3, 7, 0, 50, True, [6]),
+        (True, 4, 4, 8, 0, 50, True, [3]), (True, 5, 5, 9, 0, 50, False, []), (True, 6, 6, 9, 0, 50, False, []),
+    ], p.GROUPED + ", beside array<int>")
+    found = p.regrouped(rows)
+    assert found.columns == names
+    kept = found.collect()
+    # A shingle that two documents have; one document with several places in a pair of others; not a pair of its own.
+    assert sorted(r.key for r in kept) == [1, 2, 3]
+    assert len({r.pair for r in kept if r.key < 3}) == 1
